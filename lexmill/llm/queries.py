@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill.tables import table
 
-from . import near_duplicates
+from . import leaks, near_duplicates, split_overlap
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,5 +18,22 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(near_duplicates.news_rows(table(spark, folder, "news")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlap.overlaps(table(spark, folder, "news"), table(spark, folder, "liar"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlap.report(table(spark, folder, "news"), table(spark, folder, "liar"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
+
+
+def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("distance").alias("least_distance"), F.max("shared").alias("most_shared"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items}
 ORACLE: dict[str, str] = {}

@@ -366,8 +366,18 @@ def class_table(inc: DataFrame) -> DataFrame:
     return inc.groupBy("cls").agg(F.first("grams").alias("grams"), F.min("key").alias("rep"), F.count("*").alias("cnt"))
 
 
-def compare(pairs: DataFrame, inc: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sets really overlap by the threshold: ca, cb, rep_a, cnt_a, rep_b, cnt_b, similarity."""
+def covered(x: np.ndarray, shared: np.ndarray, k: int) -> int:
+    """Words of the sequence x that lie in spans whose k-word sequences are in ``shared``; spans are merged."""
+    hit = np.isin(x, shared)
+    reach = np.zeros(len(x) + k - 1, bool)
+    for j in range(k):
+        reach[j : j + len(x)] |= hit
+    return int(reach.sum())
+
+
+def compare(pairs: DataFrame, inc: DataFrame, threshold: float, *, k: int = 3) -> DataFrame:
+    """The pairs whose sets really overlap by the threshold: ca, cb, rep_a, cnt_a, rep_b, cnt_b, similarity, and for
+    sequences in text order the words of each side inside shared spans (cover_a, cover_b)."""
     sets = class_table(inc)
     a = sets.select(F.col("cls").alias("ca"), F.col("grams").alias("ga"), F.col("rep").alias("rep_a"), F.col("cnt").alias("cnt_a"))
     b = sets.select(F.col("cls").alias("cb"), F.col("grams").alias("gb"), F.col("rep").alias("rep_b"), F.col("cnt").alias("cnt_b"))
@@ -375,17 +385,21 @@ def compare(pairs: DataFrame, inc: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sim = []
-            for x, y in zip(batch.column(6), batch.column(7)):
-                p, q = np.unique(unpack40(x.as_py())), np.unique(unpack40(y.as_py()))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                sim.append(both / (len(p) + len(q) - both))
-            s = np.array(sim, np.float64)
-            ok = pa.array(np.flatnonzero(s >= threshold - 1e-12))
-            cols = [batch.column(i).take(ok) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s).take(ok)], names=["ca", "cb", "rep_a", "cnt_a", "rep_b", "cnt_b", "similarity"])
-
-    return joined.mapInArrow(run, "ca long, cb long, rep_a long, cnt_a long, rep_b long, cnt_b long, similarity double")
+            keep, sim, ends = [], [], []
+            for i, (x, y) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())):
+                x, y = unpack40(x), unpack40(y)
+                p, q = np.unique(x), np.unique(y)
+                both = np.intersect1d(p, q, assume_unique=True)
+                s = len(both) / (len(p) + len(q) - len(both))
+                if s >= threshold - 1e-12:
+                    keep.append(i)
+                    sim.append(s)
+                    ends.append((covered(x, both, k), covered(y, both, k)))
+            cols = [batch.column(i).take(pa.array(keep, pa.int64())) for i in range(6)]
+            ends = [pa.array([e[j] for e in ends], pa.int32()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sim, pa.float64()), *ends], names=["ca", "cb", "rep_a", "cnt_a", "rep_b", "cnt_b", "similarity", "cover_a", "cover_b"])
+
+    return joined.mapInArrow(run, "ca long, cb long, rep_a long, cnt_a long, rep_b long, cnt_b long, similarity double, cover_a int, cover_b int")
 
 
 def expand(pairs: DataFrame, inc: DataFrame, *, within: bool, cap: int = 64) -> DataFrame:
