@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.tables import table
 
-from . import leaks, near_duplicates, split_overlap
+from . import leaks, near_duplicates, split_overlap, term_counts, top_items
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,5 +35,47 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("distance").alias("least_distance"), F.max("shared").alias("most_shared"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items}
-ORACLE: dict[str, str] = {}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_terms(spark, folder).where("band <> 'kept'").select("term", "band")
+
+
+def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return term_counts.marked(table(spark, folder, "news"), table(spark, folder, "vocabulario"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return top_items.top_items(top_items.clean_runs(table(spark, folder, "similitudes"))).select("scheme", "qid", "pos", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_terms, p4_found, p5_found, p5_report, p7_found, p7_leaked_items)}
+
+P3_TERMS = r"""
+WITH found AS (
+  SELECT rec_id, unnest(regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '\p{Cf}+', '', 'g')), '[\p{L}\p{M}]+')) AS term FROM news
+), counted AS (
+  SELECT term, count(*) AS occurrences, count(DISTINCT rec_id) AS records FROM found GROUP BY term
+), wanted AS (
+  SELECT DISTINCT lower(trim(term)) AS term FROM vocabulario WHERE length(trim(term)) > 0
+), total AS (
+  SELECT count(text) AS n FROM news
+)
+SELECT coalesce(c.term, w.term) AS term, coalesce(occurrences, 0) AS occurrences, coalesce(records, 0) AS records,
+  CASE WHEN records IS NULL THEN 'unused' WHEN records <= 2 THEN 'rare' WHEN records > 0.5 * n THEN 'common' ELSE 'kept' END AS band
+FROM counted c FULL JOIN wanted w ON c.term = w.term CROSS JOIN total
+"""
+
+P4 = r"""
+WITH usable AS (
+  SELECT scheme, try_cast(regexp_extract(qid, '(\d+)', 1) AS BIGINT) AS qid, doc_id, max(similitud) AS s
+  FROM similitudes WHERE similitud > 0 AND similitud <= 1 AND NOT isnan(similitud) AND doc_id IS NOT NULL GROUP BY ALL
+), ranked AS (
+  SELECT scheme, qid, CAST(row_number() OVER (PARTITION BY scheme, qid ORDER BY s DESC, doc_id) AS INT) AS pos, doc_id FROM usable WHERE qid IS NOT NULL
+)
+SELECT * FROM ranked WHERE pos <= 5
+"""
+
+ORACLE: dict[str, str] = {
+    "p3_terms": P3_TERMS,
+    "p3_found": f"SELECT term, band FROM ({P3_TERMS}) WHERE band <> 'kept'",
+    "p4_found": P4,
+}
