@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.tables import table
 
-from . import leaks, near_duplicates, split_overlap, term_counts, top_items
+from . import leaks, mixing, near_duplicates, proportions, split_overlap, term_counts, top_items
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +47,34 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_items.top_items(top_items.clean_runs(table(spark, folder, "similitudes"))).select("scheme", "qid", "pos", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_terms, p4_found, p5_found, p5_report, p7_found, p7_leaked_items)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_report(spark, folder).where("short").select("subject", "label")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return proportions.report(table(spark, folder, "news"), table(spark, folder, "sample_targets"))
+
+
+def p6_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return proportions.sample(table(spark, folder, "news"), table(spark, folder, "sample_targets"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.short_sources(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p3_found, p3_terms, p4_found, p5_found, p5_report, p6_found, p6_report, p6_sample, p7_found, p7_leaked_items, p8_found, p8_mix, p8_report)
+}
 
 P3_TERMS = r"""
 WITH found AS (
@@ -74,8 +101,24 @@ WITH usable AS (
 SELECT * FROM ranked WHERE pos <= 5
 """
 
+P6 = r"""
+WITH usable AS (
+  SELECT id, lower(regexp_replace(subject, '[^\p{L}]', '', 'g')) AS s, label,
+    row_number() OVER (PARTITION BY coalesce(id, chr(1) || rec_id) ORDER BY loaded_at DESC NULLS LAST, rec_id DESC) AS r
+  FROM news WHERE regexp_matches(text, '[^\s\x{200B}\x{A0}]') AND regexp_matches(subject, '\S') AND label IS NOT NULL
+), have AS (
+  SELECT s, label, count(*) AS n FROM usable WHERE r = 1 GROUP BY ALL
+), size AS (
+  SELECT floor(sum(n) / 5) AS n FROM have
+)
+SELECT t.subject, t.label FROM sample_targets t CROSS JOIN size
+LEFT JOIN have h ON h.s = lower(regexp_replace(t.subject, '[^\p{L}]', '', 'g')) AND h.label = t.label
+WHERE coalesce(h.n, 0) < t.target_share * size.n OR coalesce(h.n, 0) < t.min_rows
+"""
+
 ORACLE: dict[str, str] = {
     "p3_terms": P3_TERMS,
     "p3_found": f"SELECT term, band FROM ({P3_TERMS}) WHERE band <> 'kept'",
     "p4_found": P4,
+    "p6_found": P6,
 }
