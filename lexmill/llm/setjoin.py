@@ -37,6 +37,7 @@ LEVEL = 3
 HOT = 8192
 BLOCK_ENTRIES = 1_500_000
 FLUSH = 3_000_000
+BROADCAST_PAIRS = 500_000
 ARROW_ROWS = 5000
 
 INCIDENCE = "key long, cls long, side int, n int, grams binary"
@@ -378,7 +379,11 @@ def covered(x: np.ndarray, shared: np.ndarray, k: int) -> int:
 def compare(pairs: DataFrame, inc: DataFrame, threshold: float, *, k: int = 3) -> DataFrame:
     """The pairs whose sets really overlap by the threshold: ca, cb, rep_a, cnt_a, rep_b, cnt_b, similarity, and for
     sequences in text order the words of each side inside shared spans (cover_a, cover_b)."""
-    sets = class_table(inc)
+    pairs = materialize(pairs, "candidates")
+    ids = pairs.select(F.col("ca").alias("cls")).unionAll(pairs.select("cb")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # else the classes in no pair fall out after the shuffle
+        ids = F.broadcast(ids)
+    sets = class_table(inc.join(ids, "cls", "left_semi"))
     a = sets.select(F.col("cls").alias("ca"), F.col("grams").alias("ga"), F.col("rep").alias("rep_a"), F.col("cnt").alias("cnt_a"))
     b = sets.select(F.col("cls").alias("cb"), F.col("grams").alias("gb"), F.col("rep").alias("rep_b"), F.col("cnt").alias("cnt_b"))
     joined = pairs.join(a, "ca").join(b, "cb").select("ca", "cb", "rep_a", "cnt_a", "rep_b", "cnt_b", "ga", "gb")
