@@ -1,7 +1,7 @@
 """Problem 9: the language of every document and of each segment of a mixed one.
 
 A bidirectional gated recurrent network over bytes (``bytes_gru``) is trained on a bounded sample of labelled documents
-and gives every byte a probability for each language. Probabilities are pooled over units (sentences, roughly); the best
+and gives every byte of the lower-cased text a probability for each language. Probabilities are pooled over units (sentences, roughly); the best
 path over a document's units, with a price for each change, gives stretches, and stretches under the least size fall out.
 """
 
@@ -52,7 +52,7 @@ class Windows:
         self.rng = np.random.default_rng(seed)
         self.texts: list[list[np.ndarray]] = [[] for _ in CODES]
         for code, text in sample:
-            self.texts[CODES.index(code)].append(np.frombuffer(text.encode(), np.uint8))
+            self.texts[CODES.index(code)].append(np.frombuffer(text.lower().encode(), np.uint8))
         self.known = [i for i, t in enumerate(self.texts) if t]
 
     def stretch(self, size: int) -> tuple[np.ndarray, int]:
@@ -149,19 +149,17 @@ def _score_texts(net: Network, texts: list[str]) -> list[list[tuple]]:
     """For each text its segments (language, confidence, first character, words)."""
     starts, sizes, owners, data, at, places = [], [], [], [], 0, []
     for d, text in enumerate(texts):
-        pos = 0
         for m in UNIT.finditer(text):
             piece = m.group()
             if not piece:
                 continue
-            raw = piece.encode("utf-8", "replace")
+            raw = piece.lower().encode("utf-8", "replace")
             starts.append(at)
             at += len(raw)
             data.append(raw)
             owners.append(d)
             places.append(m.start())
             sizes.append((sum(1 for w in piece.split() if LETTER.search(w)), sum(1 for c in piece if not c.isspace())) if len(piece) > 1 else (0, 0))
-            pos = m.end()
     out: list[list[tuple]] = [[] for _ in texts]
     if not starts:
         return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.tables import table
 
-from . import leaks, mixing, near_duplicates, proportions, split_overlap, term_counts, top_items
+from . import language, leaks, mixing, near_duplicates, proportions, sentences, split_overlap, term_counts, top_items
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +35,11 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("distance").alias("least_distance"), F.max("shared").alias("most_shared"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    news = sentences.sentence_units(table(spark, folder, "news"), "news", "rec_id", "text")
+    return news.unionAll(sentences.sentence_units(table(spark, folder, "evidence"), "evidence", "evid_id", "evidence_sentence"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("band <> 'kept'").select("term", "band")
 
@@ -71,9 +76,17 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.cases(language.segments(table(spark, folder, "documents")))
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return language.segments(table(spark, folder, "documents")).select("doc_id", "seg_no", "lang", "confidence", "start", "words")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p3_found, p3_terms, p4_found, p5_found, p5_report, p6_found, p6_report, p6_sample, p7_found, p7_leaked_items, p8_found, p8_mix, p8_report)
+    for f in (p1_found, p1_groups, p2_found, p3_found, p3_terms, p4_found, p5_found, p5_report, p6_found, p6_report, p6_sample, p7_found, p7_leaked_items, p8_found, p8_mix, p8_report, p9_found, p9_documents)
 }
 
 P3_TERMS = r"""
