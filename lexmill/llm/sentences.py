@@ -35,7 +35,7 @@ BEFORE_NUMBER = frozenset("no nos n fig figs sec secs eq eqs ch chap vol pp pg a
 EITHER = frozenset("etc inc ltd co corp plc llc jr sr al am pm a.m p.m u.s u.k u.n d.c ec ecc usw uu j.-c j.c др пр т.п т.д г гг в вв млн млрд тыс руб коп b.c a.d ff ibid".split())
 GERMAN_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jahrhundert".split())
 # what goes on after a time or a name in text without case
-GOING_ON = frozenset("on in at and or to of for by with from until till before after but as than then that which who".split())
+GOING_ON = frozenset("on in at and or to of for by with from until till before after but as than then".split())
 STARTERS = frozenset("the a an it in on at for this that these those we they he she i you there when while if but and no as his her our their what why how who is are was were after before".split())
 OPENING, CLOSING = "“«„‘‹「『【（〈《〔([¿¡", "”»’›」』】）〉》〕)]"
 # ------------------------------------------------------------------------------------------------------------------------
@@ -128,7 +128,10 @@ def _may_end(text: str, start: int, end: int, mode: int) -> int:
     if after == len(text):
         return close
     if after == close:
-        return -1
+        # a lost space: a small word, the stop, a capitalised word
+        glued = close == end and end + 1 < len(text) and text[end].isupper() and not text[end + 1].isupper() and text[max(0, start - 2) : start].islower()
+        word = WORD.search(text, max(0, start - 24), start) if glued else None
+        return close if word and word.group().isalpha() and word.group().lower() not in NEVER else -1
     first = SKIP.match(text, after).end()
     if first == len(text):
         return close
@@ -137,20 +140,26 @@ def _may_end(text: str, start: int, end: int, mode: int) -> int:
     next_word = following.group() if following else ""
     bare = next_word.strip(".,;:!?…\"'”’»)").lower()
     starts = not c.islower() or (len(next_word) > 1 and (next_word[1].isupper() or (c == "v" and next_word[1].isdigit())))
-    if mode == 1 and c.islower():
-        starts = close == end and bare not in GOING_ON
+    by_case = starts
+    if not starts and close == end and bare not in GOING_ON:
+        # a small letter starts a sentence in a text, or a stretch, without capitals
+        word = WORD.search(text, max(0, start - 24), start)
+        plain = word is not None and len(word.group()) > 1 and word.group().isalpha()
+        starts = mode == 1 or (plain and not any(map(str.isupper, text[first : first + 40])))
     if stop != "." or end - start > 1:
         # an ellipsis in running capitals or small letters goes on before a joining word
         return close if starts and not (mode and stop in ".…" and bare in GOING_ON) else -1
     before = WORD.search(text, max(0, start - 24), start)
     word = before.group() if before else ""
     low = word.lower().lstrip("-–—/")
+    if low not in NEVER and len(low.rpartition(".")[2]) > 1 and low.rpartition(".")[2] in NEVER:  # after a lost space
+        return -1
     caps_next = starts and not c.isdigit()
-    if low in NEVER and not (len(low) == 1 and low.isascii() and word.islower() and close > end):
+    if low in NEVER or (len(word) == 1 and word.isalpha() and text[close - 1] not in CLOSING):
         return -1
     if c.isdigit() and low in BEFORE_NUMBER:
         return -1
-    # an elision or a hyphen may stand before an abbreviation
+    # a hyphen may stand before an abbreviation
     if low in EITHER or low.rpartition("-")[2] in EITHER:
         if low in ("г", "гг") and caps_next:
             prior = text[max(0, before.start() - 6) : before.start()].rstrip()
@@ -159,14 +168,12 @@ def _may_end(text: str, start: int, end: int, mode: int) -> int:
             return -1
         if mode and low in ("p.m", "a.m", "pm", "am", "al", "u.s", "u.k", "u.n") and bare in GOING_ON:
             return -1
-        return close if starts else -1
+        return close if by_case or (mode == 1 and starts) else -1
     if not starts:
         return -1
     parts = word.split(".")
     if len(parts) > 1 and all(len(p) == 1 and p.isalpha() for p in parts):  # B.V., J.R.
         return close if bare in STARTERS and mode != 2 else -1
-    if len(word) == 1 and word.isupper() and word.isalpha():  # an initial; a letter after a number or at a low word's place
-        return -1
     if word.isdigit() and len(word) <= 2:
         if bare in GERMAN_MONTHS or _first_in_unit(text, before.start()):
             return -1
