@@ -236,6 +236,10 @@ def lemma(word: str, pos: str = "n") -> str:
     return w
 
 
+def verb_lemma(word: str) -> str:
+    return lemma(word, "v")
+
+
 def word_udf(function: Callable[[str], str]):
     """A Pandas UDF over words; null stays null."""
 

@@ -105,7 +105,11 @@ def conditional_frequency(corpus: DataFrame, condition: str, words: list[str]) -
     """One row per value of ``condition``, one column per word, 0 where it doesn't occur: counted within the row, then one
     aggregation by condition."""
     tokens = T.words(F.col("text"))
-    counts = corpus.select(condition, *[F.size(F.filter(tokens, lambda t, w=w: t == w)).alias(w) for w in words])
+
+    def occurrences(word: str) -> Column:
+        return F.size(F.filter(tokens, lambda t: t == word)).alias(word)
+
+    counts = corpus.select(condition, *[occurrences(w) for w in words])
     return counts.groupBy(condition).agg(*[F.coalesce(F.sum(w), F.lit(0)).alias(w) for w in words])
 
 
