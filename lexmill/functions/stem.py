@@ -240,13 +240,18 @@ def verb_lemma(word: str) -> str:
     return lemma(word, "v")
 
 
+def each(values: pd.Series, function: Callable) -> pd.Series:
+    """The function of every value; null stays null."""
+    return pd.Series([function(v) if v is not None and v == v else None for v in values], dtype=object)
+
+
 def word_udf(function: Callable[[str], str]):
     """A Pandas UDF over words; null stays null."""
 
     @F.pandas_udf(StringType())
     def apply(words: pd.Series) -> pd.Series:
-        known = {w: function(w) for w in words.dropna().unique()}
-        return words.map(known)
+        known: dict[str, str] = {}
+        return each(words, lambda w: known.get(w) or known.setdefault(w, function(w)))
 
     return apply
 
@@ -258,11 +263,6 @@ def text_udf(function: Callable[[str], str]):
     def apply(texts: pd.Series) -> pd.Series:
         known: dict[str, str] = {}
 
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            return " ".join(known.get(w) or known.setdefault(w, function(w)) for w in text.split(" ") if w)
-
-        return texts.map(one, na_action="ignore")
+        return each(texts, lambda text: " ".join(known.get(w) or known.setdefault(w, function(w)) for w in text.split(" ") if w))
 
     return apply

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .stem import each
+
 # A word tokeniser in the manner of the Penn Treebank: clitics split off, punctuation alone, abbreviations and decimals whole.
 _TREEBANK = re.compile(
     r"""(?:[A-Za-z]\.){2,}          # L.E.
@@ -33,13 +35,13 @@ def treebank(text: str) -> list[str]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def treebank_words(texts: pd.Series) -> pd.Series:
-    return texts.map(treebank, na_action="ignore")
+    return each(texts, treebank)
 
 
 @F.pandas_udf(StringType())
 def wrap(texts: pd.Series) -> pd.Series:
     """Lines of at most 70 characters, broken at white space."""
-    return texts.map(textwrap.fill, na_action="ignore")
+    return each(texts, textwrap.fill)
 
 
 class _Text(HTMLParser):
@@ -61,18 +63,18 @@ def html_text(page: str) -> str:
 
 @F.pandas_udf(StringType())
 def parsed_html(pages: pd.Series) -> pd.Series:
-    return pages.map(html_text, na_action="ignore")
+    return each(pages, html_text)
 
 
 @F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+    return each(texts, html.unescape)
 
 
 @F.pandas_udf(StringType())
 def char_name(chars: pd.Series) -> pd.Series:
     """Unicode name of a character, '' if it has none."""
-    return chars.map(lambda c: unicodedata.name(c[0], "") if c else "", na_action="ignore")
+    return each(chars, lambda c: unicodedata.name(c[0], "") if c else "")
 
 
 def decode_bytes(encoding: str):
@@ -80,7 +82,7 @@ def decode_bytes(encoding: str):
 
     @F.pandas_udf(StringType())
     def apply(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: bytes(b).decode(encoding, "ignore"), na_action="ignore")
+        return each(data, lambda b: bytes(b).decode(encoding, "ignore"))
 
     return apply
 

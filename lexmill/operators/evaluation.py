@@ -47,5 +47,5 @@ def bootstrap(per_query_values: DataFrame, value: str, *, rounds: int = 200, see
     # Poisson(1) by its cumulative probabilities
     weight = lambda i: sum(F.when(u(i) >= p, 1).otherwise(0) for p in (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406))
     each = per_query_values.select("qid", F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("i"))
-    means = each.groupBy("i").agg((F.sum(weight(F.col("i")) * F.col("v")) / F.sum(weight(F.col("i")))).alias("m"))
+    means = each.groupBy("i").agg(F.try_divide(F.sum(weight(F.col("i")) * F.col("v")), F.sum(weight(F.col("i")))).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
