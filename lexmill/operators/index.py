@@ -20,10 +20,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fixed(column: Column) -> Column:
+    """A generator of one row: the planner can't inline the column into what uses it, so it is computed once a row."""
+    return F.explode(F.array(column))
+
+
 def analysed(corpus: DataFrame, *, stop: bool = True) -> DataFrame:
     """(doc_id, tokens). Null texts have no token."""
     tokens = T.words(F.col("text"))
-    return corpus.select("doc_id", (F.filter(tokens, T.not_stopword) if stop else tokens).alias("tokens"))
+    return corpus.select("doc_id", fixed(F.filter(tokens, T.not_stopword) if stop else tokens).alias("tokens"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -32,9 +37,16 @@ def postings(tokens: DataFrame) -> DataFrame:
 
 
 def term_stats(tokens: DataFrame) -> DataFrame:
-    """(term, tf, df). The occurrences in one record are counted before the shuffle by the partial aggregation."""
-    each = tokens.select(F.explode("tokens").alias("term"), F.monotonically_increasing_id().alias("at"), "doc_id")
-    return each.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    """(term, tf, df) from the postings, which the partial aggregation makes within each partition. (Counting within the row
+    by array functions was tried: the planner inlines the sorted array into the lambda and sorts it once per element.)"""
+    return postings(tokens).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+def matching(tokens: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, term, tf, *keep) for the wanted terms only, cut before anything is shuffled."""
+    wanted = broadcast_if_small(terms.select("term").distinct())
+    each = tokens.select("doc_id", *keep, F.explode("tokens").alias("term")).join(wanted, "term")
+    return each.groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
@@ -79,4 +91,4 @@ def tfidf(post: DataFrame, idf_table: DataFrame) -> DataFrame:
 def grams(tokens: DataFrame) -> DataFrame:
     """tokens with the pairs of neighbours ('a b') added, within the row."""
     pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return tokens.select("doc_id", F.concat("tokens", pairs).alias("tokens"))
+    return tokens.select("doc_id", fixed(F.concat("tokens", pairs)).alias("tokens"))

@@ -32,18 +32,11 @@ def query_terms(queries: DataFrame, *, stop: bool = True) -> DataFrame:
     return I.postings(tokens).select(F.col("doc_id").alias("qid"), "term", F.col("tf").alias("qtf"))
 
 
-def matching(tokens: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, term, tf, *keep) for the wanted terms only."""
-    wanted = I.broadcast_if_small(terms.select("term").distinct())
-    each = tokens.select("doc_id", *keep, F.explode("tokens").alias("term")).join(wanted, "term")
-    return each.groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
-
-
 def cosine(corpus: DataFrame, queries: DataFrame, vocabulary: DataFrame, *, weighting: str = "tf_idf", k: int | None = None) -> DataFrame:
     """Cosine over a fixed vocabulary (term): raw counts (``tf``) or counts times ln(n / df) of the documents. Pairs with
     no common term, and vectors of length 0, give no row."""
     vocab = I.broadcast_if_small(vocabulary.select("term").distinct())
-    post = I.postings(I.analysed(corpus, stop=False)).join(vocab, "term")
+    post = I.matching(I.analysed(corpus, stop=False), vocabulary)
     asked = query_terms(queries, stop=False).join(vocab, "term")
     if weighting == "tf_idf":
         stats = I.idf(post.groupBy("term").agg(F.count("*").alias("df")), I.collection_size(corpus)).select("term", "idf")
@@ -68,7 +61,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, k1: float
     floor = df.agg((F.avg("raw") * 0.25).alias("f")).scalar()
     avgdl = tokens.agg(F.avg("dl").alias("a")).scalar()
     asked = query_terms(queries)
-    post = matching(tokens, asked, "dl")
+    post = I.matching(tokens, asked, "dl")
     weights = df.join(I.broadcast_if_small(asked.select("term").distinct()), "term").select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
     sides = asked.join(I.broadcast_if_small(weights), "term")
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -84,7 +77,8 @@ def tfidf(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, min_df:
     kept = stats.orderBy(F.col("tf").desc(), "term").limit(max_features)
     vocab = F.broadcast(kept.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))  # max_features rows
     weight = lambda tf: (1 + F.log(F.col(tf))) * F.col("idf")
-    post = I.postings(tokens).join(vocab, "term").withColumn("w", weight("tf"))
+    each = tokens.select("doc_id", F.explode("tokens").alias("term")).join(vocab, "term")
+    post = each.groupBy("doc_id", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", weight("tf"))
     q = I.grams(I.analysed(queries.select(F.col("qid").alias("doc_id"), "text")))
     asked = I.postings(q).join(vocab, "term").select(F.col("doc_id").alias("qid"), "term", weight("tf").alias("qw"))
     norms = post.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))

@@ -56,7 +56,7 @@ def vocabulary_index(spark: SparkSession, d: str) -> DataFrame:
 
 def tf_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Counts over the reduced vocabulary."""
-    return I.postings(I.analysed(corpus(spark, d), stop=False)).join(I.broadcast_if_small(vocab(spark, d)), "term").select("doc_id", "term", "tf")
+    return I.matching(I.analysed(corpus(spark, d), stop=False), vocab(spark, d)).select("doc_id", "term", "tf")
 
 
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
