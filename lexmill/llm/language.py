@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytes_gru import Network
@@ -30,15 +30,13 @@ BATCH_BYTES = 1_500_000
 LETTER = regex.compile(r"\p{L}")
 # a unit ends after closing punctuation before white space, at a line break, or after full-width stops
 UNIT = regex.compile(r"[^\n]*?(?:[.!?;…।][\"'”“»)\]]*\s+|[。！？][”」』]*|\n+|$)", regex.V1)
-SEGMENTS = "doc_id long, seg_no int, lang string, confidence double, start int, words int, label string, missing boolean"
+SEGMENTS = "doc_id long, seg_no int, segments int, lang string, confidence double, start int, words int, label string, missing boolean"
 
 
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
     """(language, text) of at most ``per_language`` documents that a label of each language names, the same ones
     whatever the order of rows; long texts give their first SAMPLE_CHARS characters. This bounded sample only fits the
     network; every document is then scored as a whole."""
-    from pyspark.sql import Window
-
     named = documents.select(label_code(F.col("lang")).alias("code"), "doc_id", "text").where("code is not null and length(text) > 40")
     key = F.xxhash64("doc_id", F.lit(9))
     first = named.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy(key, "doc_id"))).where(F.col("r") <= per_language)
@@ -188,8 +186,8 @@ def segments(documents: DataFrame, **training: int) -> DataFrame:
     def give(net: Network, held: list[tuple]) -> pa.RecordBatch:
         out = []
         for (doc, text, label, missing), found in zip(held, _score_texts(net, [h[1] for h in held])):
-            out += [(doc, i, *f, label, missing) for i, f in enumerate(found, 1)]
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+            out += [(doc, i, len(found), *f, label, missing) for i, f in enumerate(found, 1)]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
         cols = list(zip(*out)) or [[] for _ in kinds]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in SEGMENTS.split(", ")])
 
@@ -211,8 +209,5 @@ def segments(documents: DataFrame, **training: int) -> DataFrame:
 
 def cases(found: DataFrame) -> DataFrame:
     """(doc_id, seg_no, lang) of the documents whose label is missing or wrong and of all with several segments."""
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("doc_id"))
     wrong = F.col("missing") | F.col("label").isNull() | (F.col("label") != F.col("lang"))
-    return found.withColumn("n", n).where((F.col("n") > 1) | wrong).select("doc_id", "seg_no", "lang")
+    return found.where((F.col("segments") > 1) | wrong).select("doc_id", "seg_no", "lang")

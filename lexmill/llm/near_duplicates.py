@@ -11,7 +11,7 @@ from .setjoin import class_table, column_counts, compare, expand, incidence, pro
 
 def news_rows(news: DataFrame) -> DataFrame:
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text"))
-    return news.where(F.length(F.trim("text")) > 0).select(F.col("rec_id").alias("key"), F.lit(0).alias("side"), F.lit(0).alias("salt"), text.alias("text"))
+    return news.where(F.col("text").rlike(r"(?U)\S")).select(F.col("rec_id").alias("key"), F.lit(0).alias("side"), F.lit(0).alias("salt"), text.alias("text"))
 
 
 def class_pairs(rows: DataFrame, threshold: float, k: int, min_words: int) -> tuple[DataFrame, DataFrame]:

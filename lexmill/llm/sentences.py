@@ -141,11 +141,13 @@ def _may_end(text: str, start: int, end: int, mode: int) -> int:
     bare = next_word.strip(".,;:!?…\"'”’»)").lower()
     starts = not c.islower() or (len(next_word) > 1 and (next_word[1].isupper() or (c == "v" and next_word[1].isdigit())))
     by_case = starts
-    if not starts and close == end and bare not in GOING_ON:
+    if not starts and close == end:
         # a small letter starts a sentence in a text, or a stretch, without capitals
         word = WORD.search(text, max(0, start - 24), start)
-        plain = word is not None and len(word.group()) > 1 and word.group().isalpha()
-        starts = mode == 1 or (plain and not any(map(str.isupper, text[first : first + 40])))
+        w = word.group() if word else ""
+        plain = (len(w) > 1 and w.isalpha()) or (len(w) > 2 and w.isdigit())
+        if bare not in GOING_ON or (stop == "." and end - start == 1 and plain and len(w) > 2):
+            starts = mode == 1 or (plain and not any(map(str.isupper, text[first : first + 40])))
     if stop != "." or end - start > 1:
         # an ellipsis in running capitals or small letters goes on before a joining word
         return close if starts and not (mode and stop in ".…" and bare in GOING_ON) else -1

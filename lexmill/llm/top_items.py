@@ -10,6 +10,7 @@ below the N-th score of the one group it holds. What files keep (N rows a group
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ def best_of(qid: np.ndarray, doc: np.ndarray, score: np.ndarray, group: np.ndarr
 
 
 def _open(path: str) -> pq.ParquetFile:
-    where, name = fs.FileSystem.from_uri(path)
+    where, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
     return pq.ParquetFile(where.open_input_file(name))
 
 
