@@ -20,12 +20,12 @@ from .bytes_gru import Network
 from .common import rows
 from .langs import CODES, UNKNOWN, label_code
 
-SAMPLE_PER_LANGUAGE = 160
+SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 1200
-STEPS, LANES, WINDOW = 360, 128, 72
+STEPS, LANES, WINDOW = 600, 128, 72
 LEAST_WORDS, LEAST_CHARS = 15, 40
 UNSPACED = frozenset({"ja", "th", "zh"})
-SWITCH, PER_BYTES = 6.0, 6.0
+SWITCH, PER_BYTES, MARGIN = 6.0, 6.0, 45.0
 BATCH_BYTES = 1_500_000
 LETTER = regex.compile(r"\p{L}")
 # a unit ends after closing punctuation before white space, at a line break, or after full-width stops
@@ -119,7 +119,7 @@ def path(scores: np.ndarray) -> np.ndarray:
 
 
 def stretches(best: np.ndarray, scores: np.ndarray, size: list[tuple[int, int]], least_words: int, least_chars: int) -> list[list]:
-    """[language, first unit, words, characters, score sums, bytes weight] of stretches of the least size or more; a
+    """[language, first unit, words, characters, score sums] of stretches of the least size or more; a
     document with none keeps its longest, and neighbours of one language that a dropped stretch parted are joined."""
     out: list[list] = []
     for i, code in enumerate(best.tolist()):
@@ -130,7 +130,9 @@ def stretches(best: np.ndarray, scores: np.ndarray, size: list[tuple[int, int]],
             out.append([code, i, size[i][0], size[i][1], scores[i].copy()])
 
     def measure(s: list) -> float:
-        return s[3] / least_chars if CODES[s[0]] in UNSPACED else s[2] / least_words
+        """Below 1 for a stretch too small, or whose language leads the next by less than MARGIN."""
+        lead = s[4][s[0]] - np.delete(s[4], s[0]).max()
+        return min(lead / MARGIN, s[3] / least_chars if CODES[s[0]] in UNSPACED else s[2] / least_words)
 
     while len(out) > 1:
         k = min(range(len(out)), key=lambda j: (measure(out[j]), -j))

@@ -52,9 +52,13 @@ def test_path_and_stretches():
     assert set(L.path(s)) == {en}
     size = [(20, 99), (3, 20), (20, 99), (40, 200), (5, 30), (16, 80)]
     best = np.array([en, fr, en, fr, en, fr])
-    got = [(x[0], x[2]) for x in L.stretches(best, s, size, 15, 40)]
+    clear = np.full((6, len(L.CODES)), -90.0)
+    clear[np.arange(6), best] = -1
+    got = [(x[0], x[2]) for x in L.stretches(best, clear, size, 15, 40)]
     assert got == [(en, 40), (fr, 56)]
-    assert len(L.stretches(best[:2], s, [(3, 9), (2, 9)], 15, 40)) == 1
+    assert len(L.stretches(best[:2], clear, [(3, 9), (2, 9)], 15, 40)) == 1
+    doubtful = np.where(clear == -1, -1.0, -3.0)  # no language leads clearly: the longest stretch stays
+    assert len(L.stretches(best, doubtful, size, 15, 40)) == 1
 
 
 @pytest.fixture(scope="module")
