@@ -5,6 +5,8 @@ shuffles positions; only the final counts are shuffled, pre-aggregated."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +15,33 @@ from lexmill.operators import index as I
 
 
 def positions(corpus: DataFrame) -> DataFrame:
-    """(doc_id, pos, term, tokens): pos from 0; the document's tokens stay at hand."""
-    tokens = I.analysed(corpus, stop=False)
-    return tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("pos", "term"))
+    """(doc_id, pos, term): pos from 0."""
+    return I.analysed(corpus, stop=False).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+
 
+def token(i: Column, shift: int = 0) -> Column:
+    """The token ``shift`` places from place i, null outside the document."""
+    return F.get("tokens", i + shift)
 
-def around(pos: Column, tokens: Column, shift: int) -> Column:
-    """The token ``shift`` places away, null beyond the document."""
-    return F.get(tokens, pos + shift)
+
+def places(corpus: DataFrame, wanted: Callable[[Column], Column], **build: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, build...) of the places i of each document for which ``wanted(i)`` holds. The document's token array is read
+    by place, never copied to each of its rows."""
+    all_places = F.transform("tokens", lambda t, i: i)
+    found = F.transform(F.filter(all_places, wanted), lambda i: F.struct(*[f(i).alias(n) for n, f in build.items()]))
+    return I.analysed(corpus, stop=False).select("doc_id", F.explode(found).alias("h")).select("doc_id", "h.*")
 
 
 def concordance(corpus: DataFrame, word: str, *, width: int = 4, lines: int | None = None) -> DataFrame:
-    """(doc_id, pos, left, word, right): ``width`` tokens at either side; with ``lines`` only so many first places."""
-    hit = positions(corpus.where(F.lower("text").contains(word))).where(F.col("term") == word)
-    left = F.slice("tokens", F.greatest(F.col("pos") - width, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(width)))
-    right = F.slice("tokens", F.col("pos") + 2, F.lit(width))
-    out = hit.select("doc_id", "pos", F.array_join(left, " ").alias("left_words"), F.col("term").alias("word"), F.array_join(right, " ").alias("right_words"))
+    """(doc_id, pos, left_words, word, right_words): ``width`` tokens at either side; with ``lines`` so many first places."""
+    out = places(
+        corpus.where(F.lower("text").contains(word)),
+        lambda i: token(i) == word,
+        pos=lambda i: i,
+        left_words=lambda i: F.array_join(F.slice("tokens", F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width))), " "),
+        word=token,
+        right_words=lambda i: F.array_join(F.slice("tokens", i + 2, F.lit(width)), " "),
+    )
     return out.orderBy("doc_id", "pos").limit(lines) if lines else out
 
 
@@ -38,10 +51,12 @@ def dispersion(corpus: DataFrame, words: list[str]) -> DataFrame:
 
 def contexts(corpus: DataFrame, words: list[str] | None = None) -> DataFrame:
     """(term, left_word, right_word, n) of terms with a neighbour at both sides."""
-    rows = positions(corpus).select("term", around(F.col("pos"), F.col("tokens"), -1).alias("left_word"), around(F.col("pos"), F.col("tokens"), 1).alias("right_word"))
-    rows = rows.where("left_word is not null and right_word is not null")
-    if words:
-        rows = rows.where(F.col("term").isin(words))
+
+    def inner(i: Column) -> Column:
+        both = (i > 0) & token(i, 1).isNotNull()
+        return both & token(i).isin(words) if words else both
+
+    rows = places(corpus, inner, term=token, left_word=lambda i: token(i, -1), right_word=lambda i: token(i, 1))
     return rows.groupBy("term", "left_word", "right_word").agg(F.count("*").alias("n"))
 
 
@@ -60,7 +75,7 @@ def common_contexts(corpus: DataFrame, words: list[str]) -> DataFrame:
 
 def bigrams(corpus: DataFrame) -> DataFrame:
     """(a, b, n)."""
-    rows = positions(corpus).select(F.col("term").alias("a"), around(F.col("pos"), F.col("tokens"), 1).alias("b")).where("b is not null")
+    rows = places(corpus, lambda i: token(i, 1).isNotNull(), a=token, b=lambda i: token(i, 1))
     return rows.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
@@ -84,17 +99,21 @@ def collocations(corpus: DataFrame, *, min_count: int = 2, min_len: int = 3, k:
 
 def token_pattern(corpus: DataFrame, pattern: list[str]) -> DataFrame:
     """(doc_id, pos, found): runs of tokens that match the pattern's regular expressions one by one."""
-    rows = positions(corpus)
-    for i, p in enumerate(pattern):
-        rows = rows.where(around(F.col("pos"), F.col("tokens"), i).rlike(f"^(?:{p})$"))
-    return rows.select("doc_id", "pos", F.array_join(F.slice("tokens", F.col("pos") + 1, F.lit(len(pattern))), " ").alias("found"))
+
+    def matches(i: Column) -> Column:
+        ok = F.lit(True)
+        for shift, p in enumerate(pattern):
+            ok = ok & F.coalesce(token(i, shift).rlike(f"^(?:{p})$"), F.lit(False))
+        return ok
+
+    return places(corpus, matches, pos=lambda i: i, found=lambda i: F.array_join(F.slice("tokens", i + 1, F.lit(len(pattern))), " "))
 
 
 def hypernyms(corpus: DataFrame) -> DataFrame:
     """(hyponym, hypernym, n) from 'X and other Y'."""
-    rows = positions(corpus).where((F.col("term") == "and") & (around(F.col("pos"), F.col("tokens"), 1) == "other"))
-    pair = rows.select(around(F.col("pos"), F.col("tokens"), -1).alias("hyponym"), around(F.col("pos"), F.col("tokens"), 2).alias("hypernym"))
-    return pair.where("hyponym is not null and hypernym is not null").groupBy("hyponym", "hypernym").agg(F.count("*").alias("n"))
+    wanted = lambda i: (token(i) == "and") & (token(i, 1) == "other") & (i > 0) & token(i, 2).isNotNull()
+    pair = places(corpus, wanted, hyponym=lambda i: token(i, -1), hypernym=lambda i: token(i, 2))
+    return pair.groupBy("hyponym", "hypernym").agg(F.count("*").alias("n"))
 
 
 def frequency(terms: DataFrame, *by: str) -> DataFrame:

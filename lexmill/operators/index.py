@@ -67,15 +67,14 @@ def banded(stats: DataFrame, n: Column, min_df: int = 2, max_df_ratio: float = 0
 def vocabulary(terms: DataFrame) -> DataFrame:
     """(term, idx): distinct terms in code point order, idx from 0.
 
-    The terms are range-partitioned and numbered by partition offsets, so no task sorts them all."""
-    distinct = terms.select("term").distinct()
-    spark = distinct.sparkSession
-    parts = max(2, spark.sparkContext.defaultParallelism)
-    ranged = distinct.repartitionByRange(parts, "term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
-    offsets = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("part").orderBy("term"))
-    return ranged.join(F.broadcast(offsets), "part").select("term", (F.col("base") + local - 1).cast("long").alias("idx"))
+    Terms are numbered within their first three characters, to which the sizes of the smaller beginnings are added, so no
+    task sorts them all; only the table of beginnings is summed in one."""
+    distinct = terms.select("term", F.substring("term", 1, 3).alias("head")).distinct()
+    sizes = distinct.groupBy("head").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("head", F.coalesce(before, F.lit(0)).alias("base"))
+    local = F.row_number().over(Window.partitionBy("head").orderBy("term"))
+    return distinct.withColumn("r", local).join(offsets, "head").select("term", (F.col("base") + F.col("r") - 1).cast("long").alias("idx"))
 
 
 def idf(stats: DataFrame, n: Column) -> DataFrame:
