@@ -141,16 +141,12 @@ class Network:
         chunks = -(-len(data) // CHUNK)
         padded = np.full(CONTEXT * 2 + chunks * CHUNK, 32, np.uint8)
         padded[CONTEXT : CONTEXT + len(data)] = data
-        owner = np.full(chunks * CHUNK, -1, np.int64)
-        owner[: len(data)] = np.repeat(np.arange(units), np.diff(np.r_[start, len(data)]))
-        owner = owner.reshape(chunks, CHUNK)
         view = np.lib.stride_tricks.sliding_window_view(padded, CHUNK + 2 * CONTEXT)[::CHUNK]
         for at in range(0, chunks, LANES):
             p = self._lanes(np.ascontiguousarray(view[at : at + LANES].T))[CONTEXT : CONTEXT + CHUNK]
             flat = p.transpose(1, 0, 2).reshape(-1, p.shape[-1])
-            own = owner[at : at + LANES].ravel()
-            keep = own >= 0
-            own, flat = own[keep], flat[keep]
+            places = np.arange(at * CHUNK, min(at * CHUNK + len(flat), len(data)))
+            own, flat = np.searchsorted(start, places, "right") - 1, flat[: len(places)]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             out[own[first]] += np.add.reduceat(flat, first, axis=0, dtype=np.float64)
         return out

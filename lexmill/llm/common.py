@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -80,12 +81,19 @@ def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``size`` rows."""
+def rows(batches: Iterator[pa.RecordBatch], size: int, text: int | None = None, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``size`` rows and, by the bytes of column ``text``, to about ``most`` bytes (a row at
+    least), so that very long texts come few at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, size):
-            yield b.slice(at, size)
-
-
-def binary(view: list[bytes]) -> pa.Array:
-    return pa.array(view, pa.binary())
+        if text is None:
+            ends = None
+        else:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = min(at + size, b.num_rows)
+            if ends is not None:
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, min(to, int(np.searchsorted(ends, before + most, "right"))))
+            yield b.slice(at, to - at)
+            at = to

@@ -195,7 +195,7 @@ def segments(documents: DataFrame, **training: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, held, size = weights.value, [], 0
-        for b in rows(batches, 500):
+        for b in rows(batches, 500, 1):
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if row[1] and LETTER.search(row[1]):
                     held.append(row)

@@ -86,7 +86,7 @@ class Items:
 def _scan(items_b) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = items_b.value
-        for b in rows(batches, ARROW_ROWS):
+        for b in rows(batches, ARROW_ROWS, 1):
             ids = b.column(0).to_pylist()
             split = [words(t) for t in b.column(1).to_pylist()]
             g = sequence_hashes(word_hashes([w for ws in split for w in ws]), K)

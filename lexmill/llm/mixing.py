@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, listed: list[str], tokenizer: str = TOKEN
     """COUNTED for the documents of listed sources; a null text has 0 tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches, 2000):
+        for b in rows(batches, 2000, 4):
             encode = encoding(tokenizer).encode_ordinary
             n = pa.array([len(encode(t)) if t else 0 for t in b.column(4).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), n], names=["doc_id", "source_key", "language", "kind_key", "tokens"])

@@ -43,7 +43,7 @@ OPENING, CLOSING = "“«„‘‹「『【（〈《〔([¿¡", "”»’›」
 INVISIBLE = re.compile("[­؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
 _NL = r"(?:\r\n|[\n\r\x0b\x0c\x85 ])"
 EVENT = re.compile(
-    rf"(?P<blank>{_NL}(?:[^\S\n\r\x0b\x0c\x85  ]*{_NL})+|\s* \s*)"
+    rf"(?P<blank>{_NL}(?:[^\S\n\r\x0b\x0c\x85  ]*{_NL})+| )"
     r"|(?P<wide>[。！？｡]+)|(?P<stop>[.!?…؟।॥۔;;‽]+)|(?P<quote>[\"“”„«»「」『』‟])"
     r"|(?P<thai>(?<=[฀-๿])[  \t]+)"
 )
@@ -104,17 +104,27 @@ def run_transducer(symbols: np.ndarray) -> np.ndarray:
     return out.ravel()[:n]
 
 
+_CAPITALS, _SMALL = bytes(range(65, 91)), bytes(range(97, 123))
+BEYOND = re.compile(r"[^\x00-\x7f]+")
+
+
 def _caseless(text: str) -> int:
     """1 for a text all but without capitals, 2 for one of capitals, else 0 (also where the script has no case)."""
-    up = sum(map(str.isupper, text[:4000]))
-    low = sum(map(str.islower, text[:4000]))
+    raw = text.encode("utf-8", "replace")
+    up = len(raw) - len(raw.translate(None, _CAPITALS))
+    low = len(raw) - len(raw.translate(None, _SMALL))
+    if len(raw) > len(text):
+        beyond = "".join(BEYOND.findall(text))
+        up, low = up + sum(map(str.isupper, beyond)), low + sum(map(str.islower, beyond))
     if up + low < 20:
         return 0
     return 1 if up < 0.004 * low else 2 if low < 0.1 * up else 0
 
 
 def _first_in_unit(text: str, at: int) -> bool:
-    return at == 0 or text[:at].rstrip(" ")[-1:] in ("\n", "")
+    while at > 0 and text[at - 1] == " ":
+        at -= 1
+    return at == 0 or text[at - 1] == "\n"
 
 
 def _may_end(text: str, start: int, end: int, mode: int) -> int:
@@ -270,7 +280,7 @@ def sentence_units(df: DataFrame, tbl: str, key: str, text: str) -> DataFrame:
     unit's last character. Null and blank fields have no row; a field with no sentence end is one unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches, 2000):
+        for b in rows(batches, 2000, 1):
             own, end = unit_ends(b.column(1).to_pylist())
             keys = b.column(0).take(pa.array(own))
             yield pa.RecordBatch.from_arrays([pa.array([tbl] * len(own), pa.string()), keys, pa.array(end.astype(np.int32))], names=["tbl", "row_key", "end_pos"])

@@ -81,7 +81,7 @@ def incidence(df: DataFrame, *, k: int, min_words: int, ordered: bool = False, n
     Null and blank texts, and those under ``min_words`` words, have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches, ARROW_ROWS):
+        for b in rows(batches, ARROW_ROWS, 3):
             keys, sides, salts, texts = (b.column(i).to_pylist() for i in range(4))
             out: list[tuple] = []
             for key, side, salt, g in zip(keys, sides, salts, document_sequences(texts, k, min_words)):
@@ -119,7 +119,7 @@ def column_counts(inc: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros(COUNTERS, np.uint32), set()
-        for b in rows(batches, ARROW_ROWS):
+        for b in rows(batches, ARROW_ROWS, 3):
             sets = _batch_grams(b, seen)[1]
             if sets:
                 flat = np.concatenate([np.unique(s) for s in sets])
@@ -228,7 +228,7 @@ def postings(inc: DataFrame, counts: np.ndarray, threshold: float, blocks: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, out = shared.value, set(), Blocks(blocks)
-        for b in rows(batches, ARROW_ROWS):
+        for b in rows(batches, ARROW_ROWS, 3):
             cls, sets, n, side = _batch_grams(b, seen)
             if not sets:
                 continue

@@ -161,7 +161,7 @@ def term_counts(df: DataFrame, key: str, text: str, *, vocabulary: DataFrame | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Vertical()
-        for b in rows(batches, ARROW_ROWS):
+        for b in rows(batches, ARROW_ROWS, 1):
             held.add(b.column(0).to_numpy(), [terms(t) for t in b.column(1).to_pylist()])
             if held.size >= FLUSH:
                 yield held.flush(blocks)
