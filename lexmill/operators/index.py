@@ -15,9 +15,14 @@ from lexmill.functions import text as T
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint when a count shows at most ``rows`` rows; else the planner chooses (sort-merge, AQE skew join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the frame has at most ``rows`` rows; it is counted, so ask of cheap frames (queries, vocabularies)."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def hinted(df: DataFrame, small: bool) -> DataFrame:
+    """A broadcast hint for a frame known to be small; else the planner chooses (sort-merge, AQE skew join)."""
+    return F.broadcast(df) if small else df
 
 
 def fixed(column: Column) -> Column:
@@ -42,9 +47,11 @@ def term_stats(tokens: DataFrame) -> DataFrame:
     return postings(tokens).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-def matching(tokens: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, term, tf, *keep) for the wanted terms only, cut before anything is shuffled."""
-    wanted = broadcast_if_small(terms.select("term").distinct())
+def matching(tokens: DataFrame, terms: DataFrame, *keep: str, small: bool | None = None) -> DataFrame:
+    """(doc_id, term, tf, *keep) for the wanted terms only, cut before anything is shuffled. ``small``: whether there are
+    few terms, if the caller knows."""
+    wanted = terms.select("term").distinct()
+    wanted = hinted(wanted, is_small(wanted) if small is None else small)
     each = tokens.select("doc_id", *keep, F.explode("tokens").alias("term")).join(wanted, "term")
     return each.groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
 

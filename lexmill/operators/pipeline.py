@@ -108,7 +108,9 @@ def search_index(index: StoredIndex, queries: DataFrame, *, k: int = 10, k1: flo
     avgdl = index.lengths.agg(F.avg("dl")).scalar()
     raw = index.stats.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg(F.avg("raw") * 0.25).scalar()
-    asked = R.query_terms(queries).join(raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")), "term")
-    post = index.postings.join(I.broadcast_if_small(asked), "term").join(index.lengths, "doc_id")
+    terms = R.query_terms(queries)
+    few = I.is_small(terms)
+    asked = terms.join(raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")), "term")
+    post = index.postings.join(I.hinted(asked, few), "term").join(index.lengths, "doc_id")
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return R.ranked(post.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k)

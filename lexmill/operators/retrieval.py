@@ -35,19 +35,20 @@ def query_terms(queries: DataFrame, *, stop: bool = True) -> DataFrame:
 def cosine(corpus: DataFrame, queries: DataFrame, vocabulary: DataFrame, *, weighting: str = "tf_idf", k: int | None = None) -> DataFrame:
     """Cosine over a fixed vocabulary (term): raw counts (``tf``) or counts times ln(n / df) of the documents. Pairs with
     no common term, and vectors of length 0, give no row."""
-    vocab = I.broadcast_if_small(vocabulary.select("term").distinct())
-    post = I.matching(I.analysed(corpus, stop=False), vocabulary)
+    few, few_queries = I.is_small(vocabulary.select("term").distinct()), I.is_small(queries.select("qid"))
+    vocab = I.hinted(vocabulary.select("term").distinct(), few)
+    post = I.matching(I.analysed(corpus, stop=False), vocabulary, small=few)
     asked = query_terms(queries, stop=False).join(vocab, "term")
     if weighting == "tf_idf":
         stats = I.idf(post.groupBy("term").agg(F.count("*").alias("df")), I.collection_size(corpus)).select("term", "idf")
-        post = post.join(I.broadcast_if_small(stats), "term").withColumn("w", F.col("tf") * F.col("idf"))
-        asked = asked.join(I.broadcast_if_small(stats), "term").withColumn("w", F.col("qtf") * F.col("idf"))
+        post = post.join(I.hinted(stats, few), "term").withColumn("w", F.col("tf") * F.col("idf"))
+        asked = asked.join(I.hinted(stats, few), "term").withColumn("w", F.col("qtf") * F.col("idf"))
     else:
         post, asked = post.withColumn("w", F.col("tf").cast("double")), asked.withColumn("w", F.col("qtf").cast("double"))
     norms = post.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     qnorms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     dots = asked.select("qid", "term", F.col("w").alias("qw")).join(post, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "doc_id").join(I.broadcast_if_small(qnorms), "qid").where("dn > 0 and qn > 0")
+    scored = dots.join(norms, "doc_id").join(I.hinted(qnorms, few_queries), "qid").where("dn > 0 and qn > 0")
     out = scored.select("qid", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")).where("score > 0")
     return ranked(out, k)
 
@@ -61,9 +62,10 @@ def bm25(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, k1: float
     floor = df.agg((F.avg("raw") * 0.25).alias("f")).scalar()
     avgdl = tokens.agg(F.avg("dl").alias("a")).scalar()
     asked = query_terms(queries)
-    post = I.matching(tokens, asked, "dl")
-    weights = df.join(I.broadcast_if_small(asked.select("term").distinct()), "term").select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    sides = asked.join(I.broadcast_if_small(weights), "term")
+    few = I.is_small(asked.select("term").distinct())
+    post = I.matching(tokens, asked, "dl", small=few)
+    weights = df.join(I.hinted(asked.select("term").distinct(), few), "term").select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+    sides = asked.join(I.hinted(weights, few), "term")  # no more weights than query terms
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return ranked(post.join(sides, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k)
 
@@ -84,7 +86,7 @@ def tfidf(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, min_df:
     norms = post.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     qnorms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     dots = asked.join(post, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "doc_id").join(I.broadcast_if_small(qnorms), "qid")
+    scored = dots.join(norms, "doc_id").join(I.hinted(qnorms, I.is_small(queries.select("qid"))), "qid")
     return ranked(scored.select("qid", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")), k)
 
 
