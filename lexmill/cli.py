@@ -21,6 +21,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--model", "-m", default="bm25", choices=sorted(R.RETRIEVERS))
     p.add_argument("--top-k", "-k", type=int, default=5)
     p.add_argument("--sample", type=int, default=0, help="only so many documents, by hashed order; 0 or less: all")
+    p.add_argument("--index", metavar="FOLDER", help="BM25 over a stored index; made there if absent or of another corpus")
+    p.add_argument("--refit", action="store_true", help="make the stored index anew")
     p.add_argument("--no-reranker", action="store_true")
     p.add_argument("--verifier", action="store_true", help="show evidence, verdicts and their consensus")
     p.add_argument("--eval", metavar="PARQUET", help="queries (qid, text) and, with --qrels, relevant pairs: print metrics")
@@ -45,7 +47,9 @@ def main(argv: list[str] | None = None) -> str:
         if not args.query:
             raise SystemExit("--query or --eval is needed")
         asked = spark.createDataFrame([(1, args.query)], "qid int, text string")
-        hits = P.search_and_verify(corpus, asked, k=args.top_k, model=args.model, reranker=None if args.no_reranker else R.lexical_score).orderBy("rank").cache()
+        stored = P.stored_index(corpus.select("doc_id", "text"), args.index, refit=args.refit) if args.index else None
+        candidates = P.search_index(stored, asked, k=max(100, args.top_k)) if stored else None
+        hits = P.search_and_verify(corpus, asked, k=args.top_k, model=args.model, candidates=candidates, reranker=None if args.no_reranker else R.lexical_score).orderBy("rank").cache()
         found = hits.collect()  # top-k rows
         out = writers.console([r.asDict() for r in found])
         if args.verifier:

@@ -36,14 +36,16 @@ def search_and_verify(
     reranker: Callable[[Column, Column], Column] | None = R.lexical_score,
     stance: Callable[[Column, Column], tuple[Column, Column]] = lexical_stance,
     probabilities: DataFrame | None = None,
+    candidates: DataFrame | None = None,
     threshold: float = 0.6,
 ) -> DataFrame:
     """All hits of corpus(doc_id, title, text) for queries(qid, text): qid, rank, doc_id, title, snippet, score, prob_real,
     evidence, supports, refutes, verdict, combined, decision, confidence. ``probabilities`` (doc_id, prob_real) come from a
-    classifier; without them a document counts one half. Any Pandas UDF fits as reranker or stance."""
-    search = R.retriever(model)
+    classifier; without them a document counts one half. ``candidates`` (a run, for instance of a stored index) take the
+    place of the search. Any Pandas UDF fits as reranker or stance."""
     texts = corpus.select("doc_id", "text")
-    run = R.rerank(search(texts, queries, k=max(pool, k)), texts, queries, k=k, scorer=reranker) if reranker else search(texts, queries, k=k)
+    found = candidates if candidates is not None else R.retriever(model)(texts, queries, k=max(pool, k) if reranker else k)
+    run = R.rerank(found, texts, queries, k=k, scorer=reranker) if reranker else found.where(F.col("rank") <= k)
     rows = run.join(queries.select("qid", F.coalesce("text", F.lit("")).alias("claim")), "qid")
     docs = corpus.select("doc_id", F.substring(F.coalesce("title", F.lit("")), 1, 120).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
     rows = rows.join(docs, "doc_id").withColumn("snippet", T.snippet(F.col("body"))).withColumn("evidence", V.evidence_sentences(F.col("claim"), F.col("body")))

@@ -164,12 +164,19 @@ def test_search_and_verify(spark, corpus, asked):
     assert [r["model"] for r in table] == ["bm25", "tfidf"] and table[0]["mrr"] == 1.0
 
 
-def test_command_line(spark, corpus, tmp_path, capsys):
+def test_command_line(spark, corpus, asked, tmp_path, capsys):
     from lexmill import cli
 
     path = str(tmp_path / "corpus")
     corpus.write.parquet(path)
     out = cli.main(["--corpus", path, "-q", "nasa moon water", "-k", "2", "--verifier"])
     assert "consensus: SUPPORTS" in out and out.startswith("  1. [1.0000]")
+    index = str(tmp_path / "index")
+    for more in ([], ["--refit"]):
+        assert cli.main(["--corpus", path, "-q", "nasa moon water", "-k", "1", "--index", index, *more]).startswith("  1. [1.0000]")
+    asked.where("text is not null").write.parquet(str(tmp_path / "q"))
+    spark.createDataFrame([(1, 5), (2, 0)], "qid int, doc_id long").write.parquet(str(tmp_path / "rel"))
+    out = cli.main(["--corpus", path, "--eval", str(tmp_path / "q"), "--qrels", str(tmp_path / "rel"), "--models", "bm25"])
+    assert "'mrr': 1.0" in out
     with pytest.raises(SystemExit):
         cli.main(["--corpus", path])
