@@ -351,7 +351,7 @@ def by_block(work: Callable[[list[bytes]], tuple | None], names: list[str], kind
 
 
 def block_count(df: DataFrame, counts: np.ndarray) -> int:
-    return max(cores(df.sparkSession), math.ceil(0.45 * float(counts.sum()) / BLOCK_ENTRIES))
+    return max(2 * cores(df.sparkSession), math.ceil(0.45 * float(counts.sum()) / BLOCK_ENTRIES))
 
 
 def product(inc: DataFrame, counts: np.ndarray, threshold: float, *, cross: bool = False) -> DataFrame:
