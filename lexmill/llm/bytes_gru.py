@@ -133,20 +133,30 @@ class Network:
         out -= np.log(np.exp(out).sum(-1, keepdims=True))
         return out
 
-    def unit_scores(self, data: np.ndarray, start: np.ndarray, units: int) -> np.ndarray:
+    def unit_scores(self, data: np.ndarray, start: np.ndarray, units: int, texts: np.ndarray | None = None) -> np.ndarray:
         """Sums of log-probabilities (units, classes) over the bytes of each unit; ``start`` has each unit's first byte,
-        ascending. The bytes are cut into overlapping chunks that run side by side, so memory doesn't grow with the
-        texts; each position sees CONTEXT bytes beyond its chunk at either side."""
+        ``texts`` each text's, both ascending. Every text begins a chunk of its own and is followed by CONTEXT spaces, so
+        its scores don't depend on its neighbours; within it, each position sees CONTEXT bytes beyond its chunk at either
+        side. Chunks run side by side, so memory doesn't grow with the texts."""
         out = np.zeros((units, len(self.c)), np.float64)
-        chunks = -(-len(data) // CHUNK)
-        padded = np.full(CONTEXT * 2 + chunks * CHUNK, 32, np.uint8)
-        padded[CONTEXT : CONTEXT + len(data)] = data
+        texts = np.zeros(1, np.int64) if texts is None else texts
+        size = np.diff(np.r_[texts, len(data)])
+        room = -(-(size + CONTEXT) // CHUNK) * CHUNK
+        at_text = np.cumsum(room) - room
+        padded = np.full(2 * CONTEXT + int(room.sum()), 32, np.uint8)
+        for a, n, to in zip(texts.tolist(), size.tolist(), at_text.tolist()):
+            padded[CONTEXT + to : CONTEXT + to + n] = data[a : a + n]
+        moved = start + (at_text - texts)[np.searchsorted(texts, start, "right") - 1]
+        end = moved + np.diff(np.r_[start, len(data)])
         view = np.lib.stride_tricks.sliding_window_view(padded, CHUNK + 2 * CONTEXT)[::CHUNK]
-        for at in range(0, chunks, LANES):
+        for at in range(0, len(view), LANES):
             p = self._lanes(np.ascontiguousarray(view[at : at + LANES].T))[CONTEXT : CONTEXT + CHUNK]
             flat = p.transpose(1, 0, 2).reshape(-1, p.shape[-1])
-            places = np.arange(at * CHUNK, min(at * CHUNK + len(flat), len(data)))
-            own, flat = np.searchsorted(start, places, "right") - 1, flat[: len(places)]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            out[own[first]] += np.add.reduceat(flat, first, axis=0, dtype=np.float64)
+            place = at * CHUNK + np.arange(len(flat))
+            own = np.searchsorted(moved, place, "right") - 1
+            inside = (own >= 0) & (place < end[own])
+            own, flat = own[inside], flat[inside]
+            if len(own):
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                out[own[first]] += np.add.reduceat(flat, first, axis=0, dtype=np.float64)
         return out

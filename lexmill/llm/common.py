@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}\s]+")
 _ASCII_DROP = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace()))
@@ -47,6 +48,15 @@ def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over three partitions a core at least, for work that costs far more than moving its rows: a few large files give
+    too few tasks. Where there are enough partitions nothing is shuffled."""
+    wanted = 3 * cores(df.sparkSession)
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, F.xxhash64(*keys))
+
+
 def words(text: str | None) -> list[str]:
     """NFKC, lower case, only letters, marks, numbers and white space kept, split at white space. Null has no word."""
     if not text:

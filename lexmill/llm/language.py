@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytes_gru import Network
-from .common import rows
+from .common import rows, spread
 from .langs import CODES, UNKNOWN, label_code
 
 SAMPLE_PER_LANGUAGE = 400
@@ -34,13 +34,15 @@ SEGMENTS = "doc_id long, seg_no int, segments int, lang string, confidence doubl
 
 
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(language, text) of at most ``per_language`` documents that a label of each language names, the same ones
-    whatever the order of rows; long texts give their first SAMPLE_CHARS characters. This bounded sample only fits the
-    network; every document is then scored as a whole."""
-    named = documents.select(label_code(F.col("lang")).alias("code"), "doc_id", "text").where("code is not null and length(text) > 40")
-    key = F.xxhash64("doc_id", F.lit(9))
-    first = named.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy(key, "doc_id"))).where(F.col("r") <= per_language)
-    return [(r[0], r[1]) for r in first.orderBy("code", "r").select("code", F.substring("text", 1, SAMPLE_CHARS)).collect()]
+    """(language, text) of at most ``per_language`` different texts that a label of each language names, the same ones
+    whatever the order of rows and however many copies a text has; long texts give their first SAMPLE_CHARS characters.
+    This bounded sample only fits the network; every document is then scored as a whole."""
+    named = documents.select(label_code(F.col("lang")).alias("code"), F.xxhash64("text").alias("h"), "text").where("code is not null and length(text) > 40")
+    order = Window.partitionBy("code").orderBy(F.xxhash64("h", F.lit(9)), "h")
+    chosen = named.select("code", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    # at most per_language rows a language
+    rows = named.join(F.broadcast(chosen), ["code", "h"]).groupBy("code", "r").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("t"))
+    return [(r[0], r[2]) for r in rows.orderBy("code", "r").collect()]
 
 
 class Windows:
@@ -77,7 +79,7 @@ class Windows:
         for code in self.known:
             texts = self.texts[code]
             start = np.cumsum([0, *(len(t) for t in texts[:-1])])
-            best = net.unit_scores(np.concatenate(texts), start, len(texts)).argmax(1)
+            best = net.unit_scores(np.concatenate(texts), start, len(texts), start).argmax(1)
             kept = [t for t, b in zip(texts, best) if b == code]
             if 2 * len(kept) >= len(texts):
                 self.texts[code] = kept
@@ -163,9 +165,9 @@ def _score_texts(net: Network, texts: list[str]) -> list[list[tuple]]:
     out: list[list[tuple]] = [[] for _ in texts]
     if not starts:
         return out
-    scores = net.unit_scores(np.frombuffer(b"".join(data), np.uint8), np.array(starts), len(starts)) / PER_BYTES
-    owners_a = np.array(owners)
+    owners_a, starts_a = np.array(owners), np.array(starts)
     first = np.flatnonzero(np.r_[True, owners_a[1:] != owners_a[:-1]])
+    scores = net.unit_scores(np.frombuffer(b"".join(data), np.uint8), starts_a, len(starts), starts_a[first]) / PER_BYTES
     for s, e in zip(first, np.r_[first[1:], len(owners)]):
         own = scores[s:e]
         found = stretches(path(own), own, sizes[s:e], LEAST_WORDS, LEAST_CHARS)
@@ -206,7 +208,7 @@ def segments(documents: DataFrame, **training: int) -> DataFrame:
         if held:
             yield give(net, held)
 
-    return mine.mapInArrow(run, SEGMENTS)
+    return spread(mine.where("text is not null"), "doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
 def cases(found: DataFrame) -> DataFrame:

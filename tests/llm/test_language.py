@@ -31,11 +31,17 @@ def test_gradients():
 def test_scores_do_not_depend_on_the_batch():
     net = Network(4)
     rng = np.random.default_rng(1)
-    a, b = rng.integers(32, 120, 700).astype(np.uint8), rng.integers(32, 120, 90).astype(np.uint8)
-    pad = np.full(400, 32, np.uint8)
+    a, b, c = (rng.integers(32, 120, n).astype(np.uint8) for n in (700, 90, 512))
     alone = net.unit_scores(a, np.array([0, 300]), 2)
-    again = net.unit_scores(np.concatenate([a, pad, b]), np.array([0, 300, 700, 1100]), 4)
-    assert again[0] == pytest.approx(alone[0], rel=1e-3) and again.shape == (4, 4)
+    again = net.unit_scores(np.concatenate([b, a, c]), np.array([0, 90, 390, 790]), 4, np.array([0, 90, 790]))
+    assert again[1:3] == pytest.approx(alone, rel=1e-5)
+    other = net.unit_scores(np.concatenate([c, a]), np.array([0, 512, 812]), 3, np.array([0, 512]))
+    assert other[1:] == pytest.approx(alone, rel=1e-5) and other[0] == pytest.approx(again[3], rel=1e-5)
+    # with no weights each position scores ln(1/4), and counts once
+    net.c[:] = 0
+    for d in (net.ahead, net.back):
+        d.V[:] = 0
+    assert net.unit_scores(np.concatenate([b, a]), np.array([0, 40, 90]), 3, np.array([0, 90]))[:, 0] == pytest.approx(-np.log(4) * np.array([40, 50, 700]), rel=1e-5)
 
 
 def test_labels(spark):
@@ -86,5 +92,12 @@ def test_segments_and_cases(documents):
     found.unpersist()
 
 
+def test_sample_counts_a_text_once(documents, spark):
+    copies = spark.range(500).select((F.col("id") + 5000).alias("doc_id"), F.lit("one wrongly labelled text that many copies have, over and over").alias("text"), F.lit("de").alias("lang"))
+    got = L.training_sample(documents.select("doc_id", "text", "lang").unionByName(copies), 10)
+    assert sum("over and over" in t for _, t in got) == 1 and len(set(got)) == len(got)
+    assert got == L.training_sample(documents.select("doc_id", "text", "lang").unionByName(copies).repartition(5), 10)
+
+
 def test_no_documents(documents):
     assert L.cases(L.segments(documents.limit(0))).count() == 0
