@@ -14,9 +14,9 @@ def news_rows(news: DataFrame) -> DataFrame:
     return news.where(F.col("text").rlike(r"(?U)\S")).select(F.col("rec_id").alias("key"), F.lit(0).alias("side"), F.lit(0).alias("salt"), text.alias("text"))
 
 
-def class_pairs(rows: DataFrame, threshold: float, k: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+def class_pairs(rows: DataFrame, threshold: float, k: int, min_words: int, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(incidence rows, verified class pairs) of rows(key, side, salt, text)."""
-    inc = incidence(rows, k=k, min_words=min_words)
+    inc = incidence(rows, k=k, min_words=min_words, short=short)
     pairs = product(inc, column_counts(inc), threshold)
     return inc, compare(pairs, inc, threshold)
 
@@ -29,11 +29,12 @@ def near_duplicate_pairs(rows: DataFrame, *, threshold: float = 0.5, k: int = 3,
     return expand(materialize(pairs, "pairs"), inc, within=True)
 
 
-def near_duplicate_groups(rows: DataFrame, *, threshold: float = 0.8, k: int = 5, min_words: int = 5, rounds: int = 40) -> DataFrame:
-    """One row per record with text: key, group_id (least key of its connected group) and n_links (class links plus
-    copies). Groups are found by passing the least label along links and halving label paths; links and labels stay in
+def near_duplicate_groups(rows: DataFrame, *, threshold: float = 0.8, k: int = 5, min_words: int = 5, rounds: int = 40, short: bool = False) -> DataFrame:
+    """One row per record of ``min_words`` words or more, with ``short`` per record with text: key, group_id (least key of
+    its connected group) and n_links (class links plus copies). Near copies need ``min_words`` words at white space; a text
+    with fewer (often one in a script without spaces) is grouped with those of the same words only. Groups are found by passing the least label along links and halving label paths; links and labels stay in
     tables of the shared folder."""
-    inc, found = class_pairs(rows, threshold, k, min_words)
+    inc, found = class_pairs(rows, threshold, k, min_words, short)
     pairs = materialize(found, "pairs")
     links = materialize(pairs.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).unionAll(pairs.select("rep_b", "rep_a")), "links")
     labels = links.select("u").distinct().select("u", F.col("u").alias("g"))

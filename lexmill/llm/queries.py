@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(near_duplicates.news_rows(table(spark, folder, "news")))
+    return near_duplicates.near_duplicate_groups(near_duplicates.news_rows(table(spark, folder, "news")), short=True)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

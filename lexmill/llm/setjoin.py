@@ -31,6 +31,7 @@ from .common import cores, materialize, mix, rows, sequence_hashes, word_hashes,
 BITS, WIDTH = 40, 5
 MASK = np.uint64((1 << BITS) - 1)
 COUNTERS = 1 << 22
+WHOLE = 0x5E17
 RANGES = 64
 COUNT_MAX = (1 << 24) - 1
 LEVEL = 3
@@ -59,32 +60,44 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def document_sequences(texts: list[str | None], k: int, min_words: int) -> Iterator[np.ndarray | None]:
-    """For each text the hashes of its k-word sequences in order (40 bits), or None below ``min_words`` words."""
+def whole_text(text: str | None, found: list[str]) -> np.ndarray | None:
+    """Three hashes of a text as a whole, by its words or, without any, by its characters; None for a blank text. Together
+    they are 64 bits wide, and by one equal hash alone two texts stay under any threshold above a fifth."""
+    if not (text and text.strip()):
+        return None
+    h = xxhash.xxh3_64_intdigest("\0".join(found) if found else "\1" + " ".join(text.split()), WHOLE)
+    return mix(np.uint64(h) ^ mix(np.arange(1, 4, dtype=np.uint64))) >> np.uint64(64 - BITS)
+
+
+def document_sequences(texts: list[str | None], k: int, min_words: int, short: bool = False) -> Iterator[np.ndarray | None]:
+    """For each text the hashes of its k-word sequences in order (40 bits), or below ``min_words`` words None; with
+    ``short`` those of the whole text."""
     split = [words(t) for t in texts]
+    whole = [whole_text(t, w) if short and len(w) < max(k, min_words, 1) else None for t, w in zip(texts, split)]
     split = [w if len(w) >= min_words else [] for w in split]
     flat = word_hashes([w for ws in split for w in ws])
     grams = sequence_hashes(flat, k) >> np.uint64(64 - BITS)
     at = 0
-    for ws in split:
+    for ws, one in zip(split, whole):
         if len(ws) < max(k, min_words, 1):
-            yield None
+            yield one
         else:
             yield grams[at : at + len(ws) - k + 1]
         at += len(ws)
 
 
-def incidence(df: DataFrame, *, k: int, min_words: int, ordered: bool = False, name: str = "incidence") -> DataFrame:
+def incidence(df: DataFrame, *, k: int, min_words: int, ordered: bool = False, short: bool = False, name: str = "incidence") -> DataFrame:
     """df(key long, side int, salt int, text string) -> INCIDENCE. Rows of another ``salt`` never share a column.
 
     ``ordered`` keeps the sequences in text order with repeats (for suffix order) instead of the sorted distinct ones.
-    Null and blank texts, and those under ``min_words`` words, have no row."""
+    Null and blank texts, and those under ``min_words`` words, have no row; with ``short`` the latter have one, whose
+    class is all texts of the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, ARROW_ROWS, 3):
             keys, sides, salts, texts = (b.column(i).to_pylist() for i in range(4))
             out: list[tuple] = []
-            for key, side, salt, g in zip(keys, sides, salts, document_sequences(texts, k, min_words)):
+            for key, side, salt, g in zip(keys, sides, salts, document_sequences(texts, k, min_words, short)):
                 if g is None:
                     continue
                 if salt:

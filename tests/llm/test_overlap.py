@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import leaks, near_duplicates, setjoin, split_overlap
+from lexmill.llm import leaks, near_duplicates, queries, setjoin, split_overlap
 from lexmill.llm.common import words
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -96,6 +96,15 @@ def test_groups(spark):
     assert got == {0: (0, 2), 3: (0, 2), 2: (0, 1), 1: (1, 0)}
 
 
+def test_short_texts_have_groups(spark, tmp_path):
+    """Texts under five words have rows in p1_groups, exact copies among them one group."""
+    base = " ".join(WORDS[:60])
+    texts = [base, "市议会周二批准了新的预算。", "Vote now!", "市议会周二批准了新的预算", "vote  NOW", "市议会周三批准了新的预算。", "!!!", "?!", " !!!", base.replace("w30 ", "x ")]
+    news(spark, texts).drop("key", "cls").write.parquet(str(tmp_path / "news.parquet"))
+    got = {r["key"]: (r["group_id"], r["n_links"]) for r in queries.p1_groups(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 1), 9: (0, 1), 1: (1, 1), 3: (1, 1), 2: (2, 1), 4: (2, 1), 5: (5, 0), 6: (6, 1), 8: (6, 1), 7: (7, 0), 9003: (9003, 0)}
+
+
 def test_empty_tables(spark):
     none = news(spark, []).limit(0)
     liar = none.select("rec_id", F.col("text").alias("statement"), "split", "source", "label")
