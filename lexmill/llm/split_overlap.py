@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .setjoin import LEVEL, block_count, by_block, column_counts, compare, expand, gather, incidence, need, postings, run_pairs
+from .setjoin import LEVEL, WIDTH, block_count, by_block, column_counts, compare, expand, gather, incidence, need, postings, run_pairs
 
 SALTS = {"news": 0, "liar": 0x5DEECE66D}
 
@@ -81,21 +81,42 @@ def overlaps(news: DataFrame, liar: DataFrame) -> DataFrame:
     return expand(pairs, inc, within=False)
 
 
-def report(news: DataFrame, liar: DataFrame) -> DataFrame:
-    """One row per split and source of the evaluation records: how many overlap with train, how many of those with an
-    agreeing, a differing or a missing label (of the pair), and their mean covered share."""
+def overlapping(news: DataFrame, liar: DataFrame) -> DataFrame:
+    """One row per record of valid or test that overlaps with train: rec_id, split, source, label, the labels of all train
+    records it overlaps with (train_0, train_1, train_null: how many have each, every copy counted), verdict (``other`` if
+    any of them differs from label, else ``same`` if any equals it, else ``missing``), the highest similarity and the
+    share of its words in spans shared with the train record that covers most."""
     inc, found = cross_split_pairs(both_tables(news, liar))
     pairs = materialize(found, "overlaps")
     facts = news.select("rec_id", "label", "split", "source").unionAll(liar.select("rec_id", "label", "split", "source"))
-    best = pairs.groupBy("cb").agg(F.max_by(F.struct("rep_a", "cover_b", "similarity"), F.struct("similarity", -F.col("rep_a"))).alias("b"))
-    rows = inc.where("side = 1").select("cls", "key").join(best, F.col("cls") == F.col("cb")).select(F.col("key").alias("rec_id"), "b.*")
-    named = rows.join(facts, "rec_id").join(facts.select(F.col("rec_id").alias("rep_a"), F.col("label").alias("train_label")), "rep_a")
-    same = F.col("label") == F.col("train_label")
-    split = F.lower(F.trim("split"))
-    return named.groupBy(split.alias("split"), "source").agg(
+    labels = [F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("label") == 0, F.col("label") == 1, F.col("label").isNull())]
+    names = ["train_0", "train_1", "train_null"]
+    # labels are counted per train class, then summed over a class's links: hot classes are never multiplied out
+    train = inc.where("side = 0").select("cls", F.col("key").alias("rec_id")).join(facts.select("rec_id", "label"), "rec_id")
+    train = train.groupBy(F.col("cls").alias("ca")).agg(*[x.alias(n) for x, n in zip(labels, names)])
+    sums = [F.sum(n).alias(n) for n in names]
+    linked = pairs.select("ca", "cb", "similarity", "cover_b").join(train, "ca").groupBy("cb").agg(*sums, F.max("similarity").alias("similarity"), F.max("cover_b").alias("cover"))
+    size = (F.length("grams") / WIDTH + 2).alias("words")  # three-word sequences in text order
+    rows = inc.where("side = 1").select(F.col("key").alias("rec_id"), F.col("cls").alias("cb"), size).join(linked, "cb").join(facts, "rec_id")
+    other = ((F.col("label") == 0) & (F.col("train_1") > 0)) | ((F.col("label") == 1) & (F.col("train_0") > 0))
+    same = ((F.col("label") == 0) & (F.col("train_0") > 0)) | ((F.col("label") == 1) & (F.col("train_1") > 0))
+    verdict = F.when(other, "other").when(same, "same").otherwise("missing")
+    share = F.least(F.lit(1.0), F.col("cover") / F.col("words"))
+    return rows.select("rec_id", F.lower(F.trim("split")).alias("split"), "source", "label", *names, verdict.alias("verdict"), "similarity", share.alias("covered"))
+
+
+def report(news: DataFrame, liar: DataFrame) -> DataFrame:
+    """One row per split and source of the evaluation records: how many overlap with train, how many of those agree in
+    label with all labelled train records they overlap with, differ from any, or lack a label on a side; the labels of both
+    sides (the train side counted per overlap); and the mean of the highest similarity and of the covered share."""
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return overlapping(news, liar).groupBy("split", "source").agg(
         F.count("*").alias("records"),
-        F.sum(F.when(same, 1).otherwise(0)).alias("same_label"),
-        F.sum(F.when(~same, 1).otherwise(0)).alias("other_label"),
-        F.sum(F.when(same.isNull(), 1).otherwise(0)).alias("label_missing"),
+        count(F.col("verdict") == "same").alias("same_label"),
+        count(F.col("verdict") == "other").alias("other_label"),
+        count(F.col("verdict") == "missing").alias("label_missing"),
+        *[count(c).alias(n) for c, n in ((F.col("label") == 0, "label_0"), (F.col("label") == 1, "label_1"), (F.col("label").isNull(), "label_null"))],
+        *[F.sum(n).alias(n) for n in ("train_0", "train_1", "train_null")],
         F.round(F.avg("similarity"), 4).alias("mean_similarity"),
+        F.round(F.avg("covered"), 4).alias("mean_covered"),
     )

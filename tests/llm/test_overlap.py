@@ -135,6 +135,23 @@ def test_split_overlap_equals_brute_force(spark):
     assert all(r["same_label"] + r["other_label"] + r["label_missing"] == r["records"] for r in report)
 
 
+def test_overlap_labels_of_all_train_records(spark):
+    """Every train record an evaluation record overlaps with counts: copies and less similar classes too."""
+    base = " ".join(WORDS[:40])
+    near = base.replace("w39", "x")
+    lone, part = " ".join(WORDS[100:130]), " ".join(WORDS[100:115] + WORDS[200:205])
+    rows = [(1, base, "train", "s", 1), (2, base, "train", "s", 0), (3, base, "test", "s", 1), (4, " ".join(WORDS[300:330]), "train", "s", None), (5, " ".join(WORDS[300:330]), "train", "s", 1), (6, " ".join(WORDS[300:330]), "test", "s", 1), (7, near, "valid", "s", None), (8, lone, "train", "t", 1), (9, lone, "valid", "t", 1), (10, lone + " y", "train", "t", 0), (11, part, "valid", "t", 0)]
+    schema = "rec_id long, text string, split string, source string, label int"
+    n = spark.createDataFrame(rows, schema)
+    liar = spark.createDataFrame([], schema).withColumnRenamed("text", "statement")
+    got = {r["rec_id"]: (r["label"], r["train_0"], r["train_1"], r["train_null"], r["verdict"], round(r["covered"], 3)) for r in split_overlap.overlapping(n, liar).collect()}
+    assert got == {3: (1, 1, 1, 0, "other", 1), 6: (1, 0, 1, 1, "same", 1), 7: (None, 1, 1, 0, "missing", 0.975), 9: (1, 1, 1, 0, "other", 1)}
+    report = {(r["split"], r["source"]): r for r in split_overlap.report(n, liar).collect()}
+    test = report["test", "s"]
+    assert (test["records"], test["same_label"], test["other_label"], test["label_missing"]) == (2, 1, 1, 0)
+    assert (test["label_1"], test["train_0"], test["train_1"], test["train_null"], test["mean_covered"]) == (2, 1, 2, 1, 1)
+
+
 def edit_distance(pattern, text):
     """Least distance of the pattern to any stretch, and where the first such ends."""
     row = list(range(len(pattern) + 1))
