@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,15 +13,20 @@ from lexmill.functions import text as T
 from lexmill.operators import index as I
 
 
-def pipeline(kind: str = "logreg", *, features: int = 1 << 16, C: float = 4.0, rows: int = 1000, smoothing: float = 0.3, max_iter: int = 100) -> Pipeline:
-    """Hashed tf-idf into logistic regression (regParam 1 / (C rows): the loss is a mean here) or multinomial naive Bayes."""
+def pipeline(kind: str = "logreg", *, features: int = 1 << 16, C: float = 4.0, rows: int = 1000, smoothing: float = 0.3, max_iter: int = 100, terms: list[str] | None = None) -> Pipeline:
+    """tf-idf, of hashed words or, given ``terms``, of these words and word pairs (one column each), into logistic regression (regParam 1 / (C rows): the loss is a mean here) or multinomial naive Bayes."""
     if kind == "logreg":
         model = LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * rows))
     elif kind == "nb":
         model = NaiveBayes(smoothing=smoothing)
     else:
         raise ValueError(f"unknown classifier {kind!r}: logreg, nb")
-    stages = [RegexTokenizer(inputCol="clean_text", outputCol="tokens", pattern=" "), HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)]
+    stages = [RegexTokenizer(inputCol="clean_text", outputCol="tokens", pattern=" ")]
+    if terms is None:
+        stages.append(HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features))
+    else:
+        stages += [NGram(n=2, inputCol="tokens", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(tokens, pairs) AS terms FROM __THIS__")]
+        stages.append(CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts"))
     return Pipeline(stages=[*stages, IDF(inputCol="counts", outputCol="features"), model])
 
 
@@ -30,9 +35,24 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.withColumn("clean_text", T.clean_text(F.col("text"))).where((F.length("clean_text") > 0) & F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double"))
 
 
-def fit(train: DataFrame, kind: str = "logreg", **options) -> PipelineModel:
+def frequent_terms(data: DataFrame, rows: int, most: int) -> list[str]:
+    """The ``most`` most frequent words and word pairs of clean_text that stand in two rows or more and in at most 95 % of
+    them, ties settled by term. The list's length is bounded by ``most``, whatever the input."""
+    t = F.split("clean_text", " ")
+    pairs = F.zip_with(t, F.slice(t, 2, F.greatest(F.lit(0), F.size(t) - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
+    terms = data.select(F.monotonically_increasing_id().alias("row"), F.explode(F.filter(F.concat(t, pairs), lambda x: x.isNotNull())).alias("term"))
+    counts = terms.groupBy("row", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    kept = counts.where((F.col("df") >= 2) & (F.col("df") <= 0.95 * rows)).orderBy(F.desc("n"), "term").limit(most)
+    return [r[0] for r in kept.select("term").collect()]
+
+
+def fit(train: DataFrame, kind: str = "logreg", *, most_terms: int | None = None, **options) -> PipelineModel:
+    """With ``most_terms`` the features are that many terms at most (``frequent_terms``), none sharing a column."""
     data = prepared(train)
-    return pipeline(kind, rows=max(1, data.count()), **options).fit(data)
+    rows = max(1, data.count())
+    if most_terms is not None:
+        options["terms"] = frequent_terms(data, rows, most_terms)
+    return pipeline(kind, rows=rows, **options).fit(data)
 
 
 def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
@@ -87,4 +107,4 @@ def vocabulary_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return marks.groupBy("term").agg(F.bit_or("m").alias("m")).select("term", F.when(F.col("m") == 3, "both").when(F.col("m") == 1, "left").otherwise("right").alias("side"))
 
 
-__all__ = ["I", "class_weights", "confusion", "fit", "nb_counts", "pipeline", "predict", "prepared", "report", "vocabulary_overlap"]
+__all__ = ["I", "class_weights", "confusion", "fit", "frequent_terms", "nb_counts", "pipeline", "predict", "prepared", "report", "vocabulary_overlap"]

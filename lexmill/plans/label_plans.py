@@ -13,7 +13,7 @@ from lexmill.tables import table
 
 from . import sql
 
-FEATURES = 1 << 14
+MOST_TERMS, MAX_ITER = 50_000, 1000  # the reference's
 
 
 def unified_records(spark: SparkSession, d: str) -> DataFrame:
@@ -86,12 +86,12 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def logreg_proba(spark: SparkSession, d: str) -> DataFrame:
     train, held = _labelled(spark, d)
-    return K.predict(K.fit(train, "logreg", features=FEATURES, max_iter=30), held, "rec_id")
+    return K.predict(K.fit(train, "logreg", most_terms=MOST_TERMS, max_iter=MAX_ITER), held, "rec_id")
 
 
 def nb_proba(spark: SparkSession, d: str) -> DataFrame:
     train, held = _labelled(spark, d)
-    return K.predict(K.fit(train, "nb", features=FEATURES), held, "rec_id")
+    return K.predict(K.fit(train, "nb", most_terms=MOST_TERMS), held, "rec_id")
 
 
 def _title_terms(spark: SparkSession, d: str) -> DataFrame:

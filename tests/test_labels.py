@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import classify as K
 from lexmill.operators import sampling
+from lexmill.plans import label_plans
+
+FIT = K.fit
 
 
 def test_sample_and_split(spark):
@@ -50,3 +53,21 @@ def test_naive_bayes_counts(spark):
     got = {(r["label"], r["term"]): (r["n"], r["p"]) for r in K.nb_counts(df).collect()}
     assert got[(0, "cat")][0] == 2 and got[(0, "cat")][1] == pytest.approx(2.3 / (3 + 0.9))
     assert (1, "cat") not in got
+
+
+@pytest.mark.parametrize("name", ["logreg_proba", "nb_proba"])
+def test_terms_share_no_column(spark, monkeypatch, name):
+    """The registered classifiers have a column for each word and pair, and as many iterations as the reference."""
+    fits = []
+    monkeypatch.setattr(label_plans.K, "fit", lambda train, kind, **options: fits.append((kind, dict(options))) or FIT(train, kind, **options))
+    monkeypatch.setattr(label_plans, "table", lambda *_: spark.createDataFrame([(i, f"{'council votes' if i % 2 else 'aliens cure'} n{i}", i % 2) for i in range(60)], "rec_id long, text string, label int"))
+    assert label_plans.QUERIES[name](spark, "").count() > 0
+    kind, options = fits[0]
+    assert options["most_terms"] == 50_000 and (kind == "nb" or options["max_iter"] == 1000)
+
+
+def test_frequent_terms(spark):
+    data = spark.createDataFrame([("budget vote budget",), ("budget vote",), ("cure",), ("cure all",), ("alone",)], "clean_text string")
+    assert K.frequent_terms(data, 5, 10) == ["budget", "budget vote", "cure", "vote"]
+    assert K.frequent_terms(data, 5, 2) == ["budget", "budget vote"]
+    assert K.frequent_terms(data, 2, 10) == []
