@@ -1,10 +1,9 @@
 """Problem 5: records of evaluation splits that also stand in the training split.
 
-The texts' word sequences are put in suffix order: a suffix is a place in a record, its key the three words there and
-the three after them. The suffix array is partitioned by key, each partition concatenates what the tasks send it and
-sorts it; in the sorted order, neighbours of different splits with a common prefix of three words or more are shared
-spans. Spans per pair of records are merged into coverage; then the records are compared as wholes. Only the rarest
-places of a record are entered (see ``setjoin``), enough for no pair at the threshold to be missed.
+A set join (see ``setjoin``) between the splits stands in for a suffix array: entries are the rarest places of a record,
+enough for no pair at the threshold to be missed, keyed by the three words there; within a key all pairs of different
+splits are listed, as suffix neighbours alone would miss pairs. A pair with enough shared places is compared on the whole
+records, and that comparison gives the similarity and the coverage.
 """
 
 from __future__ import annotations
