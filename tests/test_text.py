@@ -122,3 +122,11 @@ def test_lemma_and_udfs(spark):
     df = spark.createDataFrame([("cats",), (None,), ("cats",)], "w string")
     assert [r[0] for r in df.select(S.word_udf(S.porter)("w")).collect()] == ["cat", None, "cat"]
     assert df.select(S.text_udf(S.porter)(F.lit("cats falling  down"))).first()[0] == "cat fall down"
+
+
+def test_segmentation_of_a_long_title(spark, tmp_path):
+    from lexmill.plans import text_plans
+
+    title = " ".join(["word"] * 2100)
+    spark.createDataFrame([(1, title)], "rec_id long, title string").write.parquet(str(tmp_path / "news.parquet"))
+    assert text_plans.segmentation(spark, str(tmp_path)).collect()[0]["words"] == title
