@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cores, materialize
-from .setjoin import class_table, column_counts, compare, expand, incidence, product
+from .setjoin import class_table, column_counts, compare, expand, incidence, membership, product
 
 
 def news_rows(news: DataFrame) -> DataFrame:
@@ -29,6 +29,11 @@ def near_duplicate_pairs(rows: DataFrame, *, threshold: float = 0.5, k: int = 3,
     return expand(materialize(pairs, "pairs"), inc, within=True)
 
 
+def classes(rows: DataFrame, *, k: int = 3, min_words: int = 20) -> DataFrame:
+    """(rec_id, class_id) of the records of ``near_duplicate_pairs``."""
+    return membership(incidence(rows, k=k, min_words=min_words))
+
+
 def near_duplicate_groups(rows: DataFrame, *, threshold: float = 0.8, k: int = 5, min_words: int = 5, rounds: int = 40, short: bool = False) -> DataFrame:
     """One row per record of ``min_words`` words or more, with ``short`` per record with text: key, group_id (least key of
     its connected group) and n_links (class links plus copies). Near copies need ``min_words`` words at white space; a text

@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(near_duplicates.news_rows(table(spark, folder, "news")))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.classes(near_duplicates.news_rows(table(spark, folder, "news")))
+
+
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(near_duplicates.news_rows(table(spark, folder, "news")), short=True)
 
@@ -22,6 +26,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.overlaps(table(spark, folder, "news"), table(spark, folder, "liar"))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlap.classes(table(spark, folder, "news"), table(spark, folder, "liar"))
+
+
 def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.overlapping(table(spark, folder, "news"), table(spark, folder, "liar"))
 
@@ -90,7 +98,7 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p3_found, p3_terms, p4_found, p5_found, p5_records, p5_report, p6_found, p6_report, p6_sample, p7_found, p7_leaked_items, p8_found, p8_mix, p8_report, p9_found, p9_documents)
+    for f in (p1_found, p1_classes, p1_groups, p2_found, p3_found, p3_terms, p4_found, p5_found, p5_classes, p5_records, p5_report, p6_found, p6_report, p6_sample, p7_found, p7_leaked_items, p8_found, p8_mix, p8_report, p9_found, p9_documents)
 }
 
 P3_TERMS = r"""

@@ -380,6 +380,12 @@ def class_table(inc: DataFrame) -> DataFrame:
     return inc.groupBy("cls").agg(F.first("grams").alias("grams"), F.min("key").alias("rep"), F.count("*").alias("cnt"))
 
 
+def membership(inc: DataFrame) -> DataFrame:
+    """(rec_id, class_id): every record and the least key of its class."""
+    reps = inc.groupBy("cls").agg(F.min("key").alias("class_id"))
+    return inc.select("cls", F.col("key").alias("rec_id")).join(reps, "cls").select("rec_id", "class_id")
+
+
 def covered(x: np.ndarray, shared: np.ndarray, k: int) -> int:
     """Words of the sequence x that lie in spans whose k-word sequences are in ``shared``; spans are merged."""
     hit = np.isin(x, shared)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .setjoin import LEVEL, WIDTH, block_count, by_block, column_counts, compare, expand, gather, incidence, need, postings, run_pairs
+from .setjoin import LEVEL, WIDTH, block_count, by_block, column_counts, compare, expand, gather, incidence, membership, need, postings, run_pairs
 
 SALTS = {"news": 0, "liar": 0x5DEECE66D}
 
@@ -75,11 +75,18 @@ def both_tables(news: DataFrame, liar: DataFrame) -> DataFrame:
 
 def overlaps(news: DataFrame, liar: DataFrame) -> DataFrame:
     """(rec_a, rec_b), rec_a < rec_b: one record in train, the other of the same table in valid or test, overlap 0.5 or
-    more. Null texts and texts under ten words have no pair; labels don't matter; empty tables give no row."""
+    more. Null texts and texts under ten words have no pair; labels don't matter; empty tables give no row. Classes of
+    more than 64 copies are listed by pairs with the other class's least key (``setjoin.expand``); ``classes`` has the
+    members."""
     inc, pairs = cross_split_pairs(both_tables(news, liar))
     return expand(pairs, inc, within=False)
 
 
+def classes(news: DataFrame, liar: DataFrame) -> DataFrame:
+    """(rec_id, class_id) of the records of ``overlaps``; records of one split side, table and set of sequences are a class."""
+    return membership(incidence(both_tables(news, liar), k=3, min_words=10, ordered=True, name="sequences"))
+
+
 def overlapping(news: DataFrame, liar: DataFrame) -> DataFrame:
     """One row per record of valid or test that overlaps with train: rec_id, split, source, label, the labels of all train
     records it overlaps with (train_0, train_1, train_null: how many have each, every copy counted), verdict (``other`` if

@@ -152,6 +152,16 @@ def test_overlap_labels_of_all_train_records(spark):
     assert (test["label_1"], test["train_0"], test["train_1"], test["train_null"], test["mean_covered"]) == (2, 1, 2, 1, 1)
 
 
+def test_classes_complete_the_star(spark, tmp_path):
+    """The pairs of hot classes that p5_found leaves out follow from p5_classes."""
+    text = " ".join(WORDS[:30])
+    n = spark.createDataFrame([(i, None, text, "train" if i < 70 else "test", "s", 1) for i in range(73)], "rec_id long, title string, text string, split string, source string, label int")
+    n.write.parquet(str(tmp_path / "news.parquet"))
+    n.limit(0).withColumnRenamed("text", "statement").write.parquet(str(tmp_path / "liar.parquet"))
+    got = {r["rec_id"]: r["class_id"] for r in queries.QUERIES["p5_classes"](spark, str(tmp_path)).collect()}
+    assert got == {i: 0 if i < 70 else 70 for i in range(73)}
+
+
 def edit_distance(pattern, text):
     """Least distance of the pattern to any stretch, and where the first such ends."""
     row = list(range(len(pattern) + 1))
