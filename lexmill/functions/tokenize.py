@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import textwrap
 import unicodedata
@@ -66,11 +65,6 @@ def parsed_html(pages: pd.Series) -> pd.Series:
     return each(pages, html_text)
 
 
-@F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    return each(texts, html.unescape)
-
-
 @F.pandas_udf(StringType())
 def char_name(chars: pd.Series) -> pd.Series:
     """Unicode name of a character, '' if it has none."""
