@@ -44,7 +44,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("distance").alias("least_distance"), F.max("shared").alias("most_shared"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("distance").alias("least_distance"), F.max("shared").alias("most_shared"), F.sum(F.col("moved").cast("int")).alias("moved"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,6 +192,9 @@ def test_leaks_equal_brute_force(spark):
         base = rng.choice(items)[1] or ""
         w = base.split()
         cut = w[: rng.randrange(len(w) + 1)] if w else []
+        if i % 3 == 0:
+            at = rng.randrange(len(cut) + 1)
+            cut = cut[at:] + ["moved"] + cut[:at]
         docs.append((i, " ".join(rng.choices(WORDS, k=20) + cut + rng.choices(WORDS, k=20))))
     docs += [(900, None), (901, ""), (902, docs[0][1])]
     spark_docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
@@ -208,6 +211,27 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 50
 
 
+def test_distance_rejects_piece_hits():
+    """A whole piece alone is a candidate and no leak; passages moved about are one."""
+    item = [f"w{i}" for i in range(30)]
+    held = leaks.Items([(7, " ".join(item))])
+    n, budget = 27, 13
+    assert [len(x) for x in held.sequences] == [n] and held.budget == [budget] and leaks.error_budget(1) == 0 and leaks.error_budget(2) == 1
+
+    def both(doc):
+        g = leaks.sequence_hashes(leaks.word_hashes(doc), 4)
+        hit = list(held.candidates(g, np.zeros(len(g), np.int64))[1])
+        return hit, leaks.verify(n, held.places(0, g)[1].tolist(), budget)
+
+    assert both(["x"] * 9 + item[8:20] + ["y"] * 9) == ([0], None)  # 9 of 27
+    assert both(item[:17] + ["y"]) == ([0], (13, False, 14))  # 14 of 27
+    assert both(item[:16] + ["y"]) == ([0], None)  # 13
+    hit, found = both(item[20:] + ["z"] + item[10:20] + ["z"] + item[:10])
+    assert hit == [0] and found[1] and found[0] > budget  # 4 + 7 + 7, in another order
+    assert both(item[20:] + ["z"] + item[10:17])[1] is None
+    assert both(["q"] * 40) == ([], None)
+
+
 def items_text(rng):
     return "same words same words same words same words " * 3
 
