@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .keyed import bucket, cutoffs, random_key, take
+from .keyed import random_key, take
 
 SEED = 20
 
@@ -110,8 +110,9 @@ def usable_records(news: DataFrame) -> DataFrame:
     return one.withColumn("key", random_key("id", SEED))
 
 
-def plan(news: DataFrame, targets: DataFrame, share: float = 0.2) -> tuple[DataFrame, list[dict], list[tuple[int, int, int]]]:
-    """(usable records with their cell, one report row per target, cutoffs). The targets are the small, stated side."""
+def plan(news: DataFrame, targets: DataFrame, share: float = 0.2) -> tuple[DataFrame, list[dict], dict[int, int]]:
+    """(usable records with their cell, one report row per target, quota by cell). The targets are the small, stated side:
+    per cell one count comes to the driver."""
     wanted = [r.asDict() for r in targets.select("subject", letters("subject").alias("subject_key"), "label", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).alias("min_rows")).collect()]
     keys = sorted({(w["subject_key"] or "", -1 if w["label"] is None else w["label"]) for w in wanted})
     cell_of = {k: i for i, k in enumerate(keys)}
@@ -120,37 +121,46 @@ def plan(news: DataFrame, targets: DataFrame, share: float = 0.2) -> tuple[DataF
     table = spark.createDataFrame([(*k, i) for k, i in cell_of.items()], "subject_key string, label int, cell int")
     rows = usable.join(F.broadcast(table), ["subject_key", "label"])
     n = int(math.floor(usable.count() * share + 1e-9))
-    histogram: dict[int, dict[int, int]] = {}
-    for r in rows.groupBy("cell", bucket(F.col("key")).alias("b")).count().collect():  # cells x BUCKETS at most
-        histogram.setdefault(r["cell"], {})[r["b"]] = r["count"]
-    have = {i: sum(histogram.get(i, {}).values()) for i in cell_of.values()}
+    counted = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # one row a target
+    have = {i: counted.get(i, 0) for i in cell_of.values()}
     asked = {k: 0.0 for k in keys}
     least = {k: 0 for k in keys}
     for w in wanted:
         k = (w["subject_key"] or "", -1 if w["label"] is None else w["label"])
-        w["key"], w["target_rows"] = k, w["target_share"] * n
+        w["cell"], w["target_rows"] = cell_of[k], w["target_share"] * n
         asked[k] += w["target_rows"]
         least[k] = max(least[k], w["min_rows"])
     goal = {k: min(float(have[cell_of[k]]), max(asked[k], float(least[k]))) for k in keys}
     quota = controlled_rounding(goal) if goal else {}
-    for w in wanted:
-        w["available"], w["quota"] = have[cell_of[w["key"]]], quota[w["key"]]
-        w["short"] = w["available"] < w["target_rows"] or w["available"] < w["min_rows"]
-    return rows, wanted, cutoffs(histogram, {cell_of[k]: q for k, q in quota.items()})
+    return rows, wanted, {cell_of[k]: q for k, q in quota.items()}
+
 
+def drawn(rows: DataFrame, quota: dict[int, int]) -> DataFrame:
+    """The sample of ``plan``'s rows: in each cell exactly its quota."""
+    table = rows.sparkSession.createDataFrame(list(quota.items()), "cell int, quota long")
+    return take(rows, table.where("quota > 0"))
 
-REPORT = "subject string, label int, target_share double, min_rows int, target_rows double, available long, quota long, short boolean"
+
+REPORT = "subject string, label int, target_share double, min_rows int, target_rows double, available long, quota long, reached long, short boolean"
 
 
 def report(news: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: its rows asked for, usable records, quota after rounding and whether it falls short. A target
-    nobody can meet (unknown subject, null label) has quota 0; an empty news table gives quota 0 everywhere."""
-    wanted = plan(news, targets)[1]
-    names = [f.split()[0] for f in REPORT.split(", ")]
-    return news.sparkSession.createDataFrame([tuple(w[c] for c in names) for w in wanted], REPORT)
+    """One row per target: the rows asked for, usable records, quota after rounding, the rows the sample really has, and
+    whether it falls short: it took every usable record of the category and still has fewer than asked for or than the
+    minimum. A target nobody can meet (unknown subject, null label) reaches 0; so do all of an empty news table."""
+    rows, wanted, quota = plan(news, targets)
+    spark = news.sparkSession
+    reached = drawn(rows, quota).groupBy("cell").agg(F.count("*").alias("reached"))
+    have = rows.groupBy("cell").agg(F.count("*").alias("available"))
+    names = ["subject", "label", "target_share", "min_rows", "target_rows", "cell"]
+    table = spark.createDataFrame([(*(w[c] for c in names), quota[w["cell"]]) for w in wanted], "subject string, label int, target_share double, min_rows int, target_rows double, cell int, quota long")
+    both = table.join(F.broadcast(have), "cell", "left").join(F.broadcast(reached), "cell", "left")  # a row a target
+    full = both.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("reached", F.coalesce("reached", F.lit(0)))
+    short = (F.col("reached") >= F.col("available")) & ((F.col("reached") < F.col("target_rows")) | (F.col("reached") < F.col("min_rows")))
+    return full.withColumn("short", short).select(*[f.split()[0] for f in REPORT.split(", ")])
 
 
 def sample(news: DataFrame, targets: DataFrame) -> DataFrame:
     """(rec_id, id, subject_key, label) of the sample: in each cell exactly its quota of usable records."""
-    rows, _, cuts = plan(news, targets)
-    return take(rows, cuts).select("rec_id", "id", "subject_key", "label")
+    rows, _, quota = plan(news, targets)
+    return drawn(rows, quota).select("rec_id", "id", "subject_key", "label")

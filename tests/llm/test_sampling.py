@@ -23,12 +23,12 @@ def test_controlled_rounding(cells):
 
 
 def test_quota_is_exact(spark):
-    rows = spark.range(30_000).select(F.col("id").alias("rec_id"), (F.col("id") % 3).cast("int").alias("cell"), keyed.random_key("id", 1).alias("key"))
-    histogram = {}
-    for r in rows.groupBy("cell", keyed.bucket(F.col("key")).alias("b")).count().collect():
-        histogram.setdefault(r["cell"], {})[r["b"]] = r["count"]
-    got = keyed.take(rows, keyed.cutoffs(histogram, {0: 0, 1: 1234, 2: 10_000}))
+    rows = spark.range(30_000).select(F.col("id").alias("rec_id"), (F.col("id") % 3).cast("int").alias("cell"), F.lit("x").alias("quota"), keyed.random_key("id", 1).alias("key"))
+    quotas = spark.createDataFrame([(0, 0), (1, 1234), (2, 20_000), (5, 3)], "cell int, quota long")
+    got = keyed.take(rows, quotas)
     assert {r["cell"]: r["count"] for r in got.groupBy("cell").count().collect()} == {1: 1234, 2: 10_000}
+    best = [r["key"] & ((1 << 64) - 1) for r in rows.where("cell = 1").collect()]
+    assert sorted(r["key"] & ((1 << 64) - 1) for r in got.where("cell = 1").collect()) == sorted(best)[:1234]
 
 
 @pytest.fixture(scope="module")
