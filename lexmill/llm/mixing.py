@@ -9,12 +9,18 @@ by a random key whose threshold is calibrated on the tokens under it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import importlib.util
+import os
+import shutil
+import tempfile
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, rows
@@ -23,25 +29,37 @@ from .langs import label_code
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEED = 80
-CELLS_MAX = 1_000_000
+CELLS_MAX = 100_000
+AXES = ("source", "language", "kind")
 COUNTED = "doc_id long, source_key string, language string, kind_key string, tokens long"
 
 
-def _pattern(path: str) -> str:
-    spec = importlib.util.spec_from_file_location("tokenizer_files", path.rpartition("/")[0] + "/__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
-
-
 @lru_cache(2)
-def encoding(path: str):
-    """The tokenizer of a rank file, once a worker."""
+def encoding(ranks_path: str, pattern_path: str):
+    """The tokenizer of a rank file and the module that has its pattern, once a worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    spec = importlib.util.spec_from_file_location("tokenizer_pattern", pattern_path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("mix", pat_str=_pattern(path), mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("mix", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def ship_tokenizer(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Sends the driver's rank file and the pattern beside it to all executors, once a context; their names there."""
+    mark = "lexmill_" + hashlib.sha256(path.encode()).hexdigest()[:12]
+    names = (mark + ".ranks", mark + "_pattern.py")
+    context = spark.sparkContext
+    sent = getattr(context, "_lexmill_files", set())
+    if mark not in sent:
+        folder = tempfile.mkdtemp(prefix="lexmill_")  # the driver's own, only until the files are sent
+        for source, name in zip((path, os.path.join(os.path.dirname(path), "__init__.py")), names):
+            shutil.copy(source, os.path.join(folder, name))
+            context.addFile(os.path.join(folder, name))
+        context._lexmill_files = sent | {mark}
+    return names
 
 
 def source_key(column: str) -> F.Column:
@@ -51,9 +69,11 @@ def source_key(column: str) -> F.Column:
 def token_counts(documents: DataFrame, listed: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
     """COUNTED for the documents of listed sources; a null text has 0 tokens."""
 
+    shipped = ship_tokenizer(documents.sparkSession, tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, 2000, 4):
-            encode = encoding(tokenizer).encode_ordinary
+            encode = encoding(*map(SparkFiles.get, shipped)).encode_ordinary
             n = pa.array([len(encode(t)) if t else 0 for t in b.column(4).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), n], names=["doc_id", "source_key", "language", "kind_key", "tokens"])
 
@@ -62,13 +82,14 @@ def token_counts(documents: DataFrame, listed: list[str], tokenizer: str = TOKEN
     return mine.where(F.col("source_key").isin(listed)).mapInArrow(run, COUNTED)
 
 
-def rake(have: dict[tuple, float], targets: list[dict], caps: dict, rounds: int = 200, tolerance: float = 1e-9) -> dict[tuple, float]:
-    """Weights of the cells {(source, language, kind): tokens}, proportional fitting to each margin's targets in turn,
-    the sources last; a cell stays within its source's cap of repeats. Margins that the caps make unreachable are met
-    as far as they allow."""
-    w = dict(have)
+def rake(have: dict[tuple, float], targets: list[dict], caps: dict, rounds: int = 200, tolerance: float = 1e-9) -> tuple[dict[tuple, float], bool]:
+    """(weights of the cells {(source, language, kind): tokens}, whether they settled within ``rounds``), by proportional
+    fitting to each margin's targets in turn, the sources last; a cell stays within its source's cap of repeats. Margins
+    that the caps make unreachable are met as far as they allow: a source whose target is beyond its tokens times its cap
+    has every cell at the cap exactly."""
+    w, settled = dict(have), False
     for _ in range(rounds):
-        moved = 0.0
+        before = dict(w)
         for axis in (1, 2, 0):
             sums: dict = {}
             for k, x in w.items():
@@ -76,14 +97,17 @@ def rake(have: dict[tuple, float], targets: list[dict], caps: dict, rounds: int
             for k, x in w.items():
                 goal = targets[axis].get(k[axis])
                 if goal is not None and sums[k[axis]] > 0:
-                    new = min(x * goal / sums[k[axis]], have[k] * caps[k[0]])
-                    moved += abs(new - x)
-                    w[k] = new
-        if moved <= tolerance * sum(have.values()):
+                    w[k] = min(x * goal / sums[k[axis]], have[k] * caps[k[0]])
+        # settled once a whole round moves nothing
+        if sum(abs(w[k] - before[k]) for k in w) <= tolerance * sum(have.values()):
+            settled = True
             break
     # what caps took from a source's cells, its others take up
     for source, goal in targets[0].items():
         mine = [k for k in w if k[0] == source]
+        if goal >= sum(have[k] for k in mine) * caps[source]:
+            w.update((k, have[k] * caps[source]) for k in mine)
+            continue
         for _ in range(len(mine)):
             lack = goal - sum(w[k] for k in mine)
             free = [k for k in mine if w[k] < have[k] * caps[source] * (1 - 1e-12)]
@@ -92,7 +116,7 @@ def rake(have: dict[tuple, float], targets: list[dict], caps: dict, rounds: int
             room = sum(w[k] for k in free)
             for k in free:
                 w[k] = min(have[k] * caps[source], w[k] + lack * (w[k] / room if room > 0 else 1 / len(free)))
-    return w
+    return w, settled
 
 
 def weights_of(source_weights: DataFrame) -> list[dict]:
@@ -100,16 +124,17 @@ def weights_of(source_weights: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows.collect()]  # the stated table of targets
 
 
-def plan(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[dict], dict]:
-    """(token counts by document, report by listed source, cell weights)."""
+def plan(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[dict], dict, list[dict]]:
+    """(token counts by document, listed sources with their target tokens, {cell: (tokens, raked weight)}, target tokens of
+    each value by axis). Fails where more than CELLS_MAX cells of source, language and kind would come to the driver."""
     wanted = weights_of(source_weights)
     counted = materialize(token_counts(documents, sorted({w["key"] for w in wanted}), tokenizer), "tokens")
     cells = counted.groupBy("source_key", "language", "kind_key").agg(F.sum("tokens").alias("tokens")).limit(CELLS_MAX + 1).collect()
     if len(cells) > CELLS_MAX:
         raise ValueError(f"more than {CELLS_MAX} cells of source, language and kind")
-    have = {(r[0], r[1], r[2]): float(r[3]) for r in cells if r[3]}
+    have = {(r[0], r[1], r[2]): float(r[3]) for r in sorted(cells) if r[3]}
     total = sum(have.values())
-    sums = [{}, {}, {}]
+    sums: list[dict] = [{}, {}, {}]
     for k, x in have.items():
         for axis in range(3):
             sums[axis][k[axis]] = sums[axis].get(k[axis], 0.0) + x
@@ -119,59 +144,72 @@ def plan(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKEN
         caps[w["key"]] = max(caps.get(w["key"], 0), w["cap"])
         goals[w["key"]] = goals.get(w["key"], 0.0) + w["weight"] * total
     for w in wanted:
-        w["tokens"] = sums[0].get(w["key"], 0.0)
         w["target_tokens"] = w["weight"] * total
-        w["short"] = w["tokens"] * w["cap"] < w["target_tokens"]
     reachable = {s: min(g, sums[0].get(s, 0.0) * caps[s]) for s, g in goals.items()}
     size = sum(reachable.values())
     margins = [{k: x / total * size for k, x in sums[axis].items()} if total else {} for axis in (1, 2)]
-    return counted, wanted, {k: (have[k], x) for k, x in rake(have, [reachable, *margins], caps).items()}
+    weights, settled = rake(have, [reachable, *margins], caps)
+    if not settled:
+        warnings.warn("raking stopped before the margins settled; p8_margins shows what is reached", stacklevel=2)
+    return counted, wanted, {k: (have[k], x) for k, x in weights.items()}, [goals, *margins]
+
+
+CELLS = "source_key string, language string, kind_key string, cell int, whole int, part double"
 
 
 def _copies(counted: DataFrame, cells: dict) -> DataFrame:
-    """doc_id, source_key, tokens, copies: how often each document is taken."""
-    spark = counted.sparkSession
+    """COUNTED with copies: how often each document is taken. A cell's threshold is the first bucket of keys whose tokens
+    would go more than half beyond what is left; the histogram of buckets stays a table."""
     parts = {k: divmod(w / have, 1.0) for k, (have, w) in cells.items()}
-    table = spark.createDataFrame([(*k, i, int(parts[k][0])) for i, k in enumerate(cells)], "source_key string, language string, kind_key string, cell int, whole int")
-    if table.isEmpty():
-        return counted.limit(0).select("doc_id", "source_key", "tokens", F.lit(0).alias("copies"))
-    # the cells are few: listed sources by languages by kinds
+    table = counted.sparkSession.createDataFrame([(*k, i, int(whole), part * cells[k][0]) for i, (k, (whole, part)) in enumerate(parts.items())], CELLS)
+    # at most CELLS_MAX cells
     at = counted.join(F.broadcast(table), ["source_key", "language", "kind_key"]).withColumn("b", bucket(random_key("doc_id", SEED)))
-    under: dict[int, dict[int, int]] = {}
-    for r in at.groupBy("cell", "b").agg(F.sum("tokens").alias("t")).collect():
-        under.setdefault(r["cell"], {})[r["b"]] = r["t"]
-    cuts = []
-    for i, k in enumerate(cells):
-        left, cut = parts[k][1] * cells[k][0], 0
-        for b in sorted(under.get(i, {})):
-            here = under[i][b]
-            if left < here / 2:
-                break
-            left, cut = left - here, b + 1
-        cuts.append((i, cut))
-    cut = spark.createDataFrame(cuts, "cell int, cut int")
+    sizes = at.groupBy("cell", "part", "b").agg(F.sum("tokens").alias("here"))
+    order = Window.partitionBy("cell").orderBy("b")  # at most BUCKETS rows a cell
+    run = sizes.withColumn("sofar", F.sum("here").over(order))
+    beyond = F.col("part") - F.col("sofar") + F.col("here") < F.col("here") / 2
+    cuts = run.groupBy("cell").agg(F.coalesce(F.min(F.when(beyond, F.col("b"))), F.lit(BUCKETS)).alias("cut"))
     extra = F.when(F.col("b") < F.col("cut"), 1).otherwise(0)
-    return at.join(F.broadcast(cut), "cell").select("doc_id", "source_key", "tokens", (F.col("whole") + extra).alias("copies"))
+    return at.join(F.broadcast(cuts), "cell").select("doc_id", "source_key", "language", "kind_key", "tokens", (F.col("whole") + extra).alias("copies"))
 
 
 def mix(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source_key, tokens, copies) of the documents taken, copies being 1 up to the source's cap. Documents of
     no listed source, and texts without tokens, aren't taken."""
-    counted, _, cells = plan(documents, source_weights, tokenizer)
-    return _copies(counted, cells).where("copies > 0 and tokens > 0")
+    counted, _, cells, _ = plan(documents, source_weights, tokenizer)
+    return _copies(counted, cells).where("copies > 0 and tokens > 0").select("doc_id", "source_key", "tokens", "copies")
 
 
-def short_sources(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    wanted = plan(documents, source_weights, tokenizer)[1]
-    return documents.sparkSession.createDataFrame([(w["source"],) for w in wanted if w["short"]], "source string")
+REPORT = "source string, target_weight double, max_repeats int, tokens long, taken long, short boolean, reached_share double"
 
 
 def report(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Per listed source: tokens there are, its target and reached share of the mix, mean repeats, and short."""
-    counted, wanted, cells = plan(documents, source_weights, tokenizer)
+    """REPORT, a row per listed source: its tokens, those of the mix, its reached share, and whether it falls short: the
+    mix repeats all of its documents up to its cap and still has fewer tokens of it than its target."""
+    counted, wanted, cells, _ = plan(documents, source_weights, tokenizer)
     spark = documents.sparkSession
     taken = _copies(counted, cells).groupBy("source_key").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"))
-    goal = spark.createDataFrame([(w["source"], w["key"], float(w["weight"]), int(w["cap"]), int(w["tokens"]), bool(w["short"])) for w in wanted], "source string, source_key string, target_weight double, max_repeats int, tokens long, short boolean")
-    joined = goal.join(taken, "source_key", "left").select("source", "target_weight", "max_repeats", "tokens", F.coalesce("taken", F.lit(0)).alias("taken"), "short")
+    have = counted.groupBy("source_key").agg(F.sum("tokens").alias("tokens"))
+    goal = spark.createDataFrame([(w["source"], w["key"], float(w["weight"]), int(w["cap"]), float(w["target_tokens"])) for w in wanted], "source string, source_key string, target_weight double, max_repeats int, target_tokens double")
+    joined = goal.join(have, "source_key", "left").join(taken, "source_key", "left")
+    full = joined.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("taken", F.coalesce("taken", F.lit(0)))
+    short = (F.col("taken") >= F.col("tokens") * F.col("max_repeats")) & (F.col("taken") < F.col("target_tokens"))
     total = taken.agg(F.sum("taken").alias("t")).scalar()
-    return joined.withColumn("reached_share", F.round(F.col("taken") / total, 6))
+    return full.select("source", "target_weight", "max_repeats", "tokens", "taken", short.alias("short"), F.round(F.col("taken") / total, 6).alias("reached_share"))
+
+
+def margins(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(axis, value, target_share, reached_share): what the mix has of each source, language and kind."""
+    counted, _, cells, goals = plan(documents, source_weights, tokenizer)
+    spark = documents.sparkSession
+    wanted = [(name, value, x / (sum(goal.values()) or 1.0)) for name, goal in zip(AXES, goals) for value, x in goal.items()]
+    table = spark.createDataFrame(wanted, "axis string, value string, target_share double")
+    each = _copies(counted, cells).select(F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(c).alias("value")) for n, c in zip(AXES, ("source_key", "language", "kind_key"))])).alias("m"), (F.col("tokens") * F.col("copies")).alias("t"))
+    taken = each.groupBy("m.axis", "m.value").agg(F.sum("t").alias("taken"))
+    total = taken.where("axis = 'source'").agg(F.sum("taken")).scalar()
+    return table.join(taken, ["axis", "value"], "left").select("axis", "value", F.round("target_share", 6).alias("target_share"), F.round(F.coalesce("taken", F.lit(0)) / total, 6).alias("reached_share"))
+
+
+def short_sources(documents: DataFrame, source_weights: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(source) of the sources that fall short in the mix (``report``)."""
+    return report(documents, source_weights, tokenizer).where("short").select("source")

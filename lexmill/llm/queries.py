@@ -88,6 +88,10 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
 
 
+def p8_margins(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.margins(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.cases(language.segments(table(spark, folder, "documents")))
 
@@ -98,7 +102,7 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p1_groups, p2_found, p3_found, p3_terms, p4_found, p5_found, p5_classes, p5_records, p5_report, p6_found, p6_report, p6_sample, p7_found, p7_leaked_items, p8_found, p8_mix, p8_report, p9_found, p9_documents)
+    for f in (p1_found, p1_classes, p1_groups, p2_found, p3_found, p3_terms, p4_found, p5_found, p5_classes, p5_records, p5_report, p6_found, p6_report, p6_sample, p7_found, p7_leaked_items, p8_found, p8_mix, p8_report, p8_margins, p9_found, p9_documents)
 }
 
 P3_TERMS = r"""

@@ -71,7 +71,8 @@ def test_raking_meets_margins():
     total = sum(have.values())
     share = lambda axis: {v: sum(x for k, x in have.items() if k[axis] == v) / total for v in {k[axis] for k in have}}
     goal = {"a": 0.5 * total, "b": 0.3 * total, "c": 0.2 * total}
-    w = mixing.rake(have, [goal, *({v: x * total for v, x in share(a).items()} for a in (1, 2))], dict.fromkeys("abc", 9))
+    w, settled = mixing.rake(have, [goal, *({v: x * total for v, x in share(a).items()} for a in (1, 2))], dict.fromkeys("abc", 9))
+    assert settled and not mixing.rake(have, [goal, {"en": total * 0.9, "fr": total * 0.1}, {}], dict.fromkeys("abc", 1), rounds=1)[1]
     for s, x in goal.items():
         assert sum(v for k, v in w.items() if k[0] == s) == pytest.approx(x)
     for axis in (1, 2):
@@ -90,10 +91,12 @@ def test_mix(spark):
     assert report["Small"]["taken"] == 2 * report["Small"]["tokens"]
     assert report["wire"]["taken"] == pytest.approx(0.2 * total, rel=0.02) and report["huge"]["taken"] == pytest.approx(0.1 * total, rel=0.02)
     assert report["absent"]["taken"] == 0
+    shares = {(r["axis"], r["value"]): (r["target_share"], r["reached_share"]) for r in mixing.margins(docs, weights).collect()}
+    assert shares["source", "small"][0] == 0.7 and shares["language", "fr"][1] == pytest.approx(shares["language", "fr"][0], rel=0.1)
     got = mixing.mix(docs, weights)
     top = {r["source_key"]: r["m"] for r in got.groupBy("source_key").agg(F.max("copies").alias("m")).collect()}
     assert top == {"wire": 1, "small": 2, "huge": 1}
     assert mixing.mix(docs.limit(0), weights).count() == 0
     assert mixing.short_sources(docs.limit(0), weights).count() == 0
-    encode = mixing.encoding(mixing.TOKENIZER)
+    encode = mixing.encoding(mixing.TOKENIZER, os.path.join(os.path.dirname(mixing.TOKENIZER), "__init__.py"))
     assert encode.decode(encode.encode_ordinary("naïve 東京 test")) == "naïve 東京 test"
