@@ -145,7 +145,51 @@ LEFT JOIN have h ON h.s = lower(regexp_replace(t.subject, '[^\p{L}]', '', 'g'))
 WHERE coalesce(h.n, 0) < t.target_share * size.n OR coalesce(h.n, 0) < t.min_rows
 """
 
+# Words of problems 1, 5 and 7. NFKC by NFC and, as DuckDB has no more, the compatibility characters of these tables.
+_SPACE = r"\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}"
+
+
+def _words(x: str) -> str:
+    folded = f"translate(replace(replace(nfc_normalize({x}), '№', 'No'), 'ำ', 'ํา'), '０１２３４５６７８９º', '0123456789o')"
+    return rf"list_filter(regexp_split_to_array(regexp_replace(lower({folded}), '[^\p{{L}}\p{{M}}\p{{N}}{_SPACE}]+', '', 'g'), '[{_SPACE}]+'), lambda w: w <> '')"
+
+
+def _grams(k: int) -> str:
+    joined = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"list_sort(list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {joined})))"
+
+
+def _overlaps(sets: str, which: str) -> str:
+    """Pairs (a, b) of ``sets`` (key, side, tbl, g) whose overlap is a half or more."""
+    one = f"(SELECT key, side, tbl, len(g) AS n, unnest(g) AS t FROM {sets})"
+    return f"""SELECT a, b FROM (SELECT x.key AS a, y.key AS b, x.n AS na, y.n AS nb, count(*) AS c FROM {one} x JOIN {one} y ON x.t = y.t AND x.tbl = y.tbl AND x.key < y.key AND {which} GROUP BY ALL) WHERE 2 * c >= na + nb - c"""
+
+
+_TITLE_AND_TEXT = "coalesce(title, '') || ' ' || text"
+_SIDE = "CASE lower(trim(split)) WHEN 'train' THEN 0 WHEN 'valid' THEN 1 WHEN 'test' THEN 1 END"
+P1_SETS = rf"""SELECT rec_id AS key, 0 AS side, 0 AS tbl, {_grams(3)} AS g FROM (SELECT rec_id, {_words(_TITLE_AND_TEXT)} AS w FROM news WHERE regexp_matches(text, '[^{_SPACE}]')) WHERE len(w) >= 20"""
+P5_SETS = f"""SELECT rec_id AS key, side, tbl, {_grams(3)} AS g FROM (SELECT rec_id, 0 AS tbl, {_SIDE} AS side, {_words('text')} AS w FROM news
+  UNION ALL SELECT rec_id, 1, {_SIDE}, {_words('statement')} FROM liar) WHERE len(w) >= 10 AND side IS NOT NULL"""
+
+
+def _classes(sets: str, which: str) -> str:
+    return f"""WITH s AS MATERIALIZED ({sets}), c AS MATERIALIZED (SELECT min(key) AS key, side, tbl, g, count(*) AS copies FROM s GROUP BY side, tbl, g),
+  p AS ({_overlaps("c", which)}), l AS (SELECT key, count(*) AS links FROM (SELECT a AS key FROM p UNION ALL SELECT b FROM p) GROUP BY key)
+SELECT s.key AS rec_id, c.key AS class_id, copies, coalesce(links, 0)::BIGINT AS links FROM s JOIN c ON s.side = c.side AND s.tbl = c.tbl AND s.g = c.g LEFT JOIN l ON l.key = c.key"""
+
+
+P7 = f"""
+WITH p AS (SELECT item_id, len(g) AS n, unnest(g) AS t FROM (SELECT item_id, {_grams(4)} AS g FROM (SELECT item_id, {_words('text')} AS w FROM eval_items) WHERE len(w) >= 4)),
+d AS (SELECT doc_id, unnest({_grams(4)}) AS t FROM (SELECT doc_id, {_words('text')} AS w FROM documents) WHERE len(w) >= 4)
+SELECT item_id, doc_id FROM p JOIN d USING (t) GROUP BY item_id, doc_id, n HAVING 2 * count(*) >= n
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": f"WITH s AS MATERIALIZED ({P1_SETS}) SELECT a AS rec_a, b AS rec_b FROM ({_overlaps('s', 'true')})",
+    "p1_classes": _classes(P1_SETS, "true"),
+    "p5_found": f"WITH s AS MATERIALIZED ({P5_SETS}) SELECT a AS rec_a, b AS rec_b FROM ({_overlaps('s', 'x.side <> y.side')})",
+    "p5_classes": _classes(P5_SETS, "x.side <> y.side"),
+    "p7_found": P7,
     "p3_terms": P3_TERMS,
     "p3_found": f"SELECT term, band FROM ({P3_TERMS}) WHERE band <> 'kept'",
     "p4_found": P4,

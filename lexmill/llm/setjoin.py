@@ -4,11 +4,13 @@ The plan, in stages that each pass once over compact rows:
 
 1. ``incidence`` turns every text into one row (key, cls, side, n, grams): its distinct k-word sequences as sorted
    40-bit hashes. ``cls`` hashes the whole set (and side), so exact copies are one row of the matrix from here on.
-2. ``column_counts`` sums a fixed-size sketch of how many rows each column (n-gram) has, over all rows. It is never
-   below the true count, so a column of count 1 pairs with nothing. Its size doesn't depend on the data (16 MB).
+2. ``column_counts`` sums how many rows each column (n-gram) has into counters, over all rows, and keeps a byte of each:
+   exact up to 16, then rounded up in steps of an eighth of a doubling. Never below the true count, so a column of
+   count 1 pairs with nothing. 4 million counters, more for larger inputs, 32 million (32 MB) at most.
 3. ``postings`` orders each row's columns from rare to common and keeps the first n - ceil(t n) + LEVEL of them: two
    sets of overlap t or more share LEVEL columns there (fewer only if they must share fewer at all). Entries travel as
-   packed blocks, one per column block, not as rows. A column too common for one block is cut into a triangle of cells.
+   packed blocks, one per column block, not as rows. A column of more than HOT entries is cut into a triangle of cells;
+   where the counters are too full to tell, a second pass over the blocks cuts by the true counts.
 4. ``product`` multiplies each column block with its transpose, run by run, drops entries whose remaining columns can't
    reach the size-derived bound, and sums what is left per pair of rows.
 5. Pairs with fewer than LEVEL shared columns fall out; the others are compared exactly on their whole sets.
@@ -26,16 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cores, materialize, mix, rows, sequence_hashes, word_hashes, words
+from .common import cores, discard, materialize, mix, rows, sequence_hashes, word_hashes, words
 
 BITS, WIDTH = 40, 5
 MASK = np.uint64((1 << BITS) - 1)
-COUNTERS = 1 << 22
+COUNTERS_LEAST, COUNTERS_MOST = 1 << 22, 1 << 25
 WHOLE = 0x5E17
-RANGES = 64
-COUNT_MAX = (1 << 24) - 1
 LEVEL = 3
-HOT = 8192
+HOT = 4096
+CAP = 64
+PAIRS_HELD = 2_000_000
 BLOCK_ENTRIES = 1_500_000
 FLUSH = 3_000_000
 BROADCAST_PAIRS = 500_000
@@ -114,8 +116,8 @@ def incidence(df: DataFrame, *, k: int, min_words: int, ordered: bool = False, s
     return materialize(made, name, compression="uncompressed")
 
 
-def _batch_grams(b: pa.RecordBatch, seen: set) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of the rows whose class this task hasn't met: cls, sequences, n and side."""
+def _batch_grams(b: pa.RecordBatch, seen: set) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows whose class this task hasn't met: cls, all their sequences, how many each has, n and side."""
     cls, side, n, grams = (b.column(i) for i in range(4))
     fresh = []
     for i, c in enumerate(cls.to_pylist()):
@@ -123,39 +125,71 @@ def _batch_grams(b: pa.RecordBatch, seen: set) -> tuple[np.ndarray, list[np.ndar
             seen.add(c)
             fresh.append(i)
     take = pa.array(fresh, pa.int64())
-    sets = [unpack40(x) for x in grams.take(take).to_pylist()]
-    return cls.take(take).to_numpy(), sets, n.take(take).to_numpy(), side.take(take).to_numpy()
+    held = grams.take(take).to_pylist()
+    flat = unpack40(b"".join(held)) if held else np.empty(0, np.uint64)
+    return cls.take(take).to_numpy(), flat, np.array([len(x) // WIDTH for x in held], np.int64), n.take(take).to_numpy(), side.take(take).to_numpy()
 
 
-def column_counts(inc: DataFrame) -> np.ndarray:
-    """Rows per hashed column: COUNTERS sums over all rows, merged by ranges of columns; 16 MB whatever the input."""
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact up to 16, then rounded up in steps of an eighth of a doubling."""
+    with np.errstate(divide="ignore"):
+        high = 16 + np.ceil(8 * np.log2(np.maximum(counts, 16) / 16.0) - 1e-9)
+    return np.where(counts <= 16, counts, np.minimum(high, 255)).astype(np.uint8)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    c = codes.astype(np.int64)
+    return np.where(c <= 16, c, np.floor(16 * 2.0 ** ((c - 16) / 8) + 1e-6).astype(np.int64))
+
+
+def counters_for(entries: int) -> int:
+    """A power of two, about one counter for sixteen entries, within the bounds."""
+    return min(COUNTERS_MOST, max(COUNTERS_LEAST, 1 << max(0, entries // 16).bit_length()))
+
+
+def matrix_size(inc: DataFrame) -> int:
+    """Entries of the matrix, copies included."""
+    return inc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def column_counts(inc: DataFrame, entries: int) -> np.ndarray:
+    """``coded`` rows per hashed column, over all rows. Each task sends its counters by ranges of columns, and every range
+    is summed by a task of its own, part by part, so neither the number of tasks nor a hot column matters."""
+    size = counters_for(entries)
+    ranges = min(4096, max(64, 1 << (4 * cores(inc.sparkSession)).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = np.zeros(COUNTERS, np.uint32), set()
+        sums, seen = np.zeros(size, np.uint32), set()
         for b in rows(batches, ARROW_ROWS, 3):
-            sets = _batch_grams(b, seen)[1]
-            if sets:
-                flat = np.concatenate([np.unique(s) for s in sets])
-                sums += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            _, flat, many, n, _ = _batch_grams(b, seen)
+            if len(flat) > n.sum():  # sequences in text order have repeats
+                flat = np.unique(np.repeat(np.arange(len(many), dtype=np.uint64), many) << np.uint64(BITS) | flat) & MASK
+            if len(flat):
+                at, times = np.unique((flat % np.uint64(size)).astype(np.int64), return_counts=True)
+                sums[at] += times.astype(np.uint32)
         if seen:
-            parts = [zstandard.compress(x.tobytes(), 1) for x in sums.reshape(RANGES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], names=["r", "part"])
+            parts = [zstandard.compress(x.tobytes(), 1) for x in sums.reshape(ranges, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], names=["r", "part"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for r, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zstandard.decompress(part), np.uint32).astype(np.int64)
-                sums[r] = sums[r] + x if r in sums else x
+                x = np.frombuffer(zstandard.decompress(part), np.uint32)
+                if r in sums:
+                    sums[r] += x
+                else:
+                    sums[r] = x.astype(np.int64)
         if sums:
-            parts = [zstandard.compress(np.minimum(x, COUNT_MAX).astype(np.uint32).tobytes(), 1) for x in sums.values()]
+            parts = [zstandard.compress(coded(x).tobytes(), 1) for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(parts, pa.binary())], names=["r", "part"])
 
     at = inc.select("cls", "side", "n", "grams").mapInArrow(count, "r int, part binary")
-    done = at.repartitionById(8, F.col("r") % 8).mapInArrow(merge, "r int, part binary").collect()
-    out = np.zeros((RANGES, COUNTERS // RANGES), np.uint32)
+    tasks = min(ranges, 4 * cores(inc.sparkSession))
+    done = at.repartitionById(tasks, F.col("r") % tasks).mapInArrow(merge, "r int, part binary").collect()  # a byte a counter
+    out = np.zeros((ranges, size // ranges), np.uint8)
     for r, part in done:
-        out[r] = np.frombuffer(zstandard.decompress(part), np.uint32)
+        out[r] = np.frombuffer(zstandard.decompress(part), np.uint8)
     return out.ravel()
 
 
@@ -168,20 +202,22 @@ def need(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(1, np.ceil(threshold / (1 + threshold) * (na.astype(np.int64) + nb) - 1e-9).astype(np.int64))
 
 
-def _cut(g: np.ndarray, doc: np.ndarray, cls: np.ndarray, count: np.ndarray, hot: int, *rest: np.ndarray) -> tuple:
+def _cut(g: np.ndarray, doc: np.ndarray, cls: np.ndarray, count: np.ndarray, hot: int, half: np.ndarray, *rest: np.ndarray) -> tuple:
     """Entries of columns above ``hot`` go to each cell (i, j), i <= j, of their group i, so that every pair of groups
-    meets in one cell and no cell holds more than about twice ``hot`` entries."""
+    meets in one cell and no cell holds more than about twice ``hot`` entries. ``half`` is 1 or 2 in a cell of two groups,
+    where entries of one half have met elsewhere, else 0."""
     big = count > hot
     if not big.any():
-        return (g, doc, *rest)
+        return (g, doc, half, *rest)
     parts = -(-count[big] // hot)
     own = mix(cls[doc[big]].view(np.uint64)) % parts.astype(np.uint64)
     rep = np.repeat(np.arange(len(parts)), parts)
     other = (np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.uint64)
     lo, hi = np.minimum(own[rep], other), np.maximum(own[rep], other)
-    cell = mix(g[big][rep] ^ mix(lo * np.uint64(1 << 20) + hi + np.uint64(1))) & MASK
+    cell = mix(g[big][rep] ^ mix(lo * np.uint64(1 << 32) + hi + np.uint64(1))) & MASK
+    side = np.where(lo == hi, 0, np.where(own[rep] == lo, 1, 2)).astype(np.uint8)
     keep = ~big
-    return (np.concatenate([g[keep], cell]), np.concatenate([doc[keep], doc[big][rep]]), *(np.concatenate([x[keep], x[big][rep]]) for x in rest))
+    return (np.concatenate([g[keep], cell]), np.concatenate([doc[keep], doc[big][rep]]), np.concatenate([half[keep], side]), *(np.concatenate([x[keep], x[big][rep]]) for x in rest))
 
 
 def pack_block(g: np.ndarray, doc: np.ndarray, cols: list[np.ndarray], tables: list[np.ndarray]) -> bytes:
@@ -233,55 +269,90 @@ class Blocks:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], names=["block", "entries"])
 
 
-def postings(inc: DataFrame, counts: np.ndarray, threshold: float, blocks: int, *, ordered: bool = False) -> DataFrame:
-    """Packed column blocks (block int, entries binary) of the rare-first prefix of every row. With ``ordered`` each
-    entry also has its place in the text and a hash of the three words after its own three."""
-    shared = inc.sparkSession.sparkContext.broadcast(counts)
-    hot = int(max(HOT, 16 * counts.mean()))
+def text_order_levels(flat: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For the suffixes of ``flat`` that begin at ``place`` and go on to ``end``: eight bytes, most significant first, that
+    hash the 1, 2, 4, ... 64 sequences after the first, and then all the rest. Suffixes that agree on the first j bytes
+    agree on 2 ** j sequences (all of them for j = 8), so this order is a suffix order by prefix doubling."""
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(flat), 0x9E3779B97F4A7C15, np.uint64)])
+        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(flat), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)])
+        sums = np.r_[np.uint64(0), np.cumsum(mix(flat) * power[:-1], dtype=np.uint64)]
+        out = np.zeros(len(place), np.uint64)
+        for j in range(8):
+            a = np.minimum(place + (1 << j), end)
+            b = np.minimum(place + (2 << j), end) if j < 7 else end
+            h = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)) >> np.uint64(56)
+            out = out << np.uint64(8) | np.where(b > a, h, np.uint64(0))
+    return out
+
+
+ENTRY, SUFFIX_ENTRY = [np.uint32, np.uint8], [np.uint32, np.uint8, np.uint32, np.uint64]
+ROW, SUFFIX_ROW = [np.int64, np.uint32, np.uint8], [np.int64, np.uint32, np.uint8, np.uint32]
+
+
+def postings(inc: DataFrame, counts: np.ndarray, threshold: float, entries: int, *, ordered: bool = False) -> DataFrame:
+    """Packed column blocks (block int, entries binary) of the rare-first prefix of every row: by entry the rank and the
+    half of its cell, by row cls, n and side. With ``ordered`` an entry is a suffix: it also has its place in the text and
+    its ``text_order_levels``, and a row its length."""
+    spark = inc.sparkSession
+    shared = spark.sparkContext.broadcast(counts)
+    blocks = max(2 * cores(spark), math.ceil(0.45 * entries / BLOCK_ENTRIES))
+    full = entries / len(counts)
+    hot = int(max(HOT, 16 * full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, out = shared.value, set(), Blocks(blocks)
         for b in rows(batches, ARROW_ROWS, 3):
-            cls, sets, n, side = _batch_grams(b, seen)
-            if not sets:
+            cls, flat, many, n, side = _batch_grams(b, seen)
+            if not len(flat):
                 continue
-            gs, docs, ranks, cnts, places, nexts = [], [], [], [], [], []
-            size = prefix_size(n, threshold)
-            flat = np.concatenate(sets)
-            flat |= table[(flat % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(BITS)
-            at = 0
-            for d, s in enumerate(sets):
-                comb = flat[at : at + len(s)]
-                at += len(s)
-                if ordered:
-                    comb, first = np.unique(comb, return_index=True)
-                else:
-                    comb.sort()
-                comb = comb[: size[d]]
-                keep = np.flatnonzero((comb >> np.uint64(BITS)) > 1)
-                if not len(keep):
-                    continue
-                gs.append(comb[keep])
-                docs.append(np.full(len(keep), d, np.int64))
-                ranks.append(keep)
-                if ordered:
-                    place = first[keep]
-                    places.append(place)
-                    nexts.append(np.where(place + 3 < len(s), s[np.minimum(place + 3, len(s) - 1)], 0))
-            if not gs:
+            start = np.cumsum(many) - many
+            doc = np.repeat(np.arange(len(many)), many)
+            comb = flat | table[(flat % np.uint64(len(table))).astype(np.int64)].astype(np.uint64) << np.uint64(BITS)
+            # row, count and column in one number: one sort orders every row's columns from rare to common
+            comb |= doc.astype(np.uint64) << np.uint64(BITS + 8)
+            if ordered:
+                order = np.argsort(comb)
+                comb = comb[order]
+                new = np.flatnonzero(np.r_[True, comb[1:] != comb[:-1]])
+                place, comb = np.minimum.reduceat(order, new), comb[new]
+            else:
+                comb.sort()
+            doc = (comb >> np.uint64(BITS + 8)).astype(np.int64)
+            rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(many)))[doc]
+            code = (comb >> np.uint64(BITS)).astype(np.uint8)
+            keep = (rank < prefix_size(n, threshold)[doc]) & (code > 1)
+            g, doc, rank, code = comb[keep] & MASK, doc[keep], rank[keep].astype(np.uint32), code[keep]
+            if not len(g):
                 continue
-            g, doc, rank = np.concatenate(gs), np.concatenate(docs), np.concatenate(ranks).astype(np.uint32)
-            cols = [rank]
+            cols, tables = [rank], [cls, n.astype(np.uint32), side.astype(np.uint8)]
             if ordered:
-                cols += [np.concatenate(places).astype(np.uint32), (np.concatenate(nexts) & np.uint64(0xFFFF)).astype(np.uint16)]
-            g, doc, *cols = _cut(g & MASK, doc, cls, (g >> np.uint64(BITS)).astype(np.int64), hot, *cols)
-            out.add(g, doc, cols, [cls, n.astype(np.uint32), side.astype(np.uint8)])
+                place = place[keep]
+                cols += [(place - start[doc]).astype(np.uint32), text_order_levels(flat, (start + many)[doc], place)]
+                tables.append(many.astype(np.uint32))
+            g, doc, half, rank, *cols = _cut(g, doc, cls, decoded(code), hot, np.zeros(len(g), np.uint8), *cols)
+            out.add(g, doc, [rank, half, *cols], tables)
             if out.size >= FLUSH and (batch := out.flush()):
                 yield batch
         if batch := out.flush():
             yield batch
 
-    return inc.select("cls", "side", "n", "grams").mapInArrow(run, "block int, entries binary").repartitionById(blocks, F.col("block"))
+    kinds, tables = (SUFFIX_ENTRY, SUFFIX_ROW) if ordered else (ENTRY, ROW)
+
+    def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in blocks_of(batches):
+            out = Blocks(blocks)
+            g, doc, (rank, half, *cols), ts = gather(held, kinds, tables)
+            _, which, count = np.unique(g, return_inverse=True, return_counts=True)
+            g, doc, half, rank, *cols = _cut(g, doc, ts[0], count[which], 2 * HOT, half, rank, *cols)
+            out.add(g, doc, [rank, half, *cols], ts)
+            yield out.flush()
+
+    schema = "block int, entries binary"
+    made = inc.select("cls", "side", "n", "grams").mapInArrow(run, schema).repartitionById(blocks, F.col("block"))
+    if 16 * full > HOT:  # the counters are too full to tell a hot column
+        made = made.mapInArrow(recut, schema).repartitionById(blocks, F.col("block"))
+    return made
 
 
 def gather(held: list[bytes], cols: list, tables: list) -> tuple:
@@ -318,59 +389,80 @@ def run_pairs(g: np.ndarray, keep: Callable[[np.ndarray, np.ndarray], np.ndarray
 
 
 def _product(threshold: float, cross: bool) -> Callable:
-    def block_pairs(held: list[bytes]) -> tuple[np.ndarray, ...] | None:
-        g, doc, (rank,), (cls, n, side) = gather(held, [np.uint32], [np.int64, np.uint32, np.uint8])
-        order = np.lexsort((doc, g))
-        g, doc, rank = g[order], doc[order], rank[order]
-        size, who, left = n[doc].astype(np.int64), cls[doc], n[doc].astype(np.int64) - rank
+    def block_pairs(held: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        g, doc, (rank, half), (cls, n, side) = gather(held, ENTRY, ROW)
+        who = cls[doc]
+        order = np.lexsort((who, g))
+        # copies sent by several tasks are one entry: a column counts once for each pair
+        order = order[np.r_[True, (g[order][1:] != g[order][:-1]) | (who[order][1:] != who[order][:-1])]] if len(order) else order
+        g, doc, rank, half, who = g[order], doc[order], rank[order], half[order], who[order]
+        size, left = n[doc].astype(np.int64), n[doc].astype(np.int64) - rank
 
         def keep(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             ok = np.minimum(left[a], left[b]) >= need(size[a], size[b], threshold) - (LEVEL - 1)
-            ok &= who[a] != who[b]
+            ok &= (half[a] != half[b]) | (half[a] == 0)
             return ok & (side[doc[a]] != side[doc[b]]) if cross else ok
 
-        found: list[np.ndarray] = []
+        # pairs are numbered by the place of their rows' classes, and summed while they are made
+        uniq, number = np.unique(who, return_inverse=True)
+        size_of = np.zeros(len(uniq), np.int64)
+        size_of[number] = size
+        sums, times, held_pairs, held_n = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def settle() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([sums, *held_pairs])
+            weight = np.concatenate([times, np.ones(len(every) - len(sums), np.int64)])
+            order = np.argsort(every)
+            start = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]]) if len(every) else np.empty(0, np.int64)
+            return every[order][start], np.add.reduceat(weight[order], start) if len(start) else weight
+
+        def given() -> tuple[np.ndarray, ...]:
+            a, b = sums // len(uniq), sums % len(uniq)
+            return uniq[a], uniq[b], times.astype(np.int32), need(size_of[a], size_of[b], threshold).astype(np.int32)
+
         for a, b in run_pairs(g, keep):
-            lo, hi = np.minimum(who[a], who[b]), np.maximum(who[a], who[b])
-            found.append(np.rec.fromarrays([lo, hi, g[a].astype(np.int64), need(size[a], size[b], threshold).astype(np.int32)], names="a,b,g,need"))
-        if not found:
-            return None
-        # copies sent by several tasks meet here as one entry: a column counts once for each pair
-        allp = np.concatenate(found)
-        allp = allp[np.lexsort((allp["g"], allp["b"], allp["a"]))]
-        new = np.r_[True, (allp["a"][1:] != allp["a"][:-1]) | (allp["b"][1:] != allp["b"][:-1])]
-        fresh = new | np.r_[True, allp["g"][1:] != allp["g"][:-1]]
-        start = np.flatnonzero(new)
-        shared = np.add.reduceat(fresh.astype(np.int64), start)
-        return allp["a"][start], allp["b"][start], shared.astype(np.int32), allp["need"][start]
+            lo, hi = np.minimum(number[a], number[b]), np.maximum(number[a], number[b])
+            held_pairs.append(lo * len(uniq) + hi)
+            held_n += len(lo)
+            if held_n >= PAIRS_HELD:
+                sums, times = settle()
+                held_pairs, held_n = [], 0
+                if len(sums) >= PAIRS_HELD:
+                    yield given()
+                    sums, times = sums[:0], times[:0]
+        sums, times = settle()
+        if len(sums):
+            yield given()
 
     return block_pairs
 
 
-def by_block(work: Callable[[list[bytes]], tuple | None], names: list[str], kinds: list) -> Callable:
-    """A mapInArrow function: all rows of a partition, block by block."""
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """All rows of a partition, block by block."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held.setdefault(k, []).append(x)
+    for k in sorted(held):
+        yield held.pop(k)
+
+
+def by_block(work: Callable[[list[bytes]], Iterator[tuple]], names: list[str], kinds: list) -> Callable:
+    """A mapInArrow function of the work on each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(k, []).append(x)
-        for k in sorted(held):
-            found = work(held.pop(k))
-            if found is not None:
+        for held in blocks_of(batches):
+            for found in work(held):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, kinds)], names=names)
 
     return run
 
 
-def block_count(df: DataFrame, counts: np.ndarray) -> int:
-    return max(2 * cores(df.sparkSession), math.ceil(0.45 * float(counts.sum()) / BLOCK_ENTRIES))
-
-
-def product(inc: DataFrame, counts: np.ndarray, threshold: float, *, cross: bool = False) -> DataFrame:
+def product(inc: DataFrame, threshold: float, *, cross: bool = False) -> DataFrame:
     """Pairs of classes (ca, cb), ca < cb as stored hashes, that share enough rare columns to be worth comparing."""
+    entries = matrix_size(inc)
     work = by_block(_product(threshold, cross), ["ca", "cb", "c", "need"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
-    parts = postings(inc, counts, threshold, block_count(inc, counts)).mapInArrow(work, "ca long, cb long, c int, need int")
+    parts = postings(inc, column_counts(inc, entries), threshold, entries).mapInArrow(work, "ca long, cb long, c int, need int")
     summed = parts.groupBy("ca", "cb").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
     return summed.where(F.col("c") >= F.least(F.lit(LEVEL), F.col("need"))).select("ca", "cb")
 
@@ -380,10 +472,13 @@ def class_table(inc: DataFrame) -> DataFrame:
     return inc.groupBy("cls").agg(F.first("grams").alias("grams"), F.min("key").alias("rep"), F.count("*").alias("cnt"))
 
 
-def membership(inc: DataFrame) -> DataFrame:
-    """(rec_id, class_id): every record and the least key of its class."""
-    reps = inc.groupBy("cls").agg(F.min("key").alias("class_id"))
-    return inc.select("cls", F.col("key").alias("rec_id")).join(reps, "cls").select("rec_id", "class_id")
+def membership(inc: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rec_id, class_id, copies, links): every record, the least key of its class, the class's records and how many other
+    classes it has a pair with in ``pairs``."""
+    reps = inc.groupBy("cls").agg(F.min("key").alias("class_id"), F.count("*").alias("copies"))
+    links = pairs.select(F.col("ca").alias("cls")).unionAll(pairs.select("cb")).groupBy("cls").agg(F.count("*").alias("links"))
+    known = reps.join(links, "cls", "left")
+    return inc.select("cls", F.col("key").alias("rec_id")).join(known, "cls").select("rec_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def covered(x: np.ndarray, shared: np.ndarray, k: int) -> int:
@@ -423,27 +518,39 @@ def compare(pairs: DataFrame, inc: DataFrame, threshold: float, *, k: int = 3) -
             ends = [pa.array([e[j] for e in ends], pa.int32()) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sim, pa.float64()), *ends], names=["ca", "cb", "rep_a", "cnt_a", "rep_b", "cnt_b", "similarity", "cover_a", "cover_b"])
 
-    return joined.mapInArrow(run, "ca long, cb long, rep_a long, cnt_a long, rep_b long, cnt_b long, similarity double, cover_a int, cover_b int")
+    out = joined.mapInArrow(run, "ca long, cb long, rep_a long, cnt_a long, rep_b long, cnt_b long, similarity double, cover_a int, cover_b int")
+    out._lexmill_candidates = pairs
+    return out
+
+
+def settled(compared: DataFrame) -> DataFrame:
+    """The pairs of ``compare`` as a table; their candidates are no longer needed."""
+    out = materialize(compared, "pairs")
+    discard(compared._lexmill_candidates)
+    return out
 
 
-def expand(pairs: DataFrame, inc: DataFrame, *, within: bool, cap: int = 64) -> DataFrame:
+def expand(pairs: DataFrame, inc: DataFrame, *, within: bool, cap: int | None = CAP) -> DataFrame:
     """Class pairs to pairs of keys (rec_a < rec_b); ``within`` adds the pairs inside a class.
 
-    A class of more than ``cap`` copies isn't multiplied out: each of its members is listed with the other class's
-    least key (within the class: with its own), and the other's members with its least key. Nothing is lost, as the
-    class of every key is in the incidence rows, and the output stays linear in the copies."""
+    With ``cap`` None every pair is listed. Else a class of more than ``cap`` copies isn't multiplied out: each of its
+    members is listed with the other class's least key (within the class: with its own), and the other's members with
+    its least key. Nothing is lost, as ``membership`` has the class of every key, and the output stays linear in the
+    copies."""
     many = class_table(inc).where("cnt > 1").select("cls", "rep", "cnt")
     members = inc.select("cls", "key").join(many, "cls")
     ma, mb = (members.select(F.col("cls").alias(c), F.col("key").alias(k)) for c, k in (("ca", "ka"), ("cb", "kb")))
-    small = (F.col("cnt_a") <= cap) & (F.col("cnt_b") <= cap)
-    full = pairs.where(small).join(ma, "ca", "left").join(mb, "cb", "left").select(F.coalesce("ka", "rep_a").alias("x"), F.coalesce("kb", "rep_b").alias("y"))
-    big = pairs.where(~small)
-    left = big.join(ma, "ca", "left").select(F.coalesce("ka", "rep_a").alias("x"), F.col("rep_b").alias("y"))
-    right = big.join(mb, "cb", "left").select(F.col("rep_a").alias("x"), F.coalesce("kb", "rep_b").alias("y"))
-    out = full.unionAll(left.unionAll(right).distinct())
+    small = F.lit(True) if cap is None else (F.col("cnt_a") <= cap) & (F.col("cnt_b") <= cap)
+    out = pairs.where(small).join(ma, "ca", "left").join(mb, "cb", "left").select(F.coalesce("ka", "rep_a").alias("x"), F.coalesce("kb", "rep_b").alias("y"))
+    if cap is not None:
+        big = pairs.where(~small)
+        left = big.join(ma, "ca", "left").select(F.coalesce("ka", "rep_a").alias("x"), F.col("rep_b").alias("y"))
+        right = big.join(mb, "cb", "left").select(F.col("rep_a").alias("x"), F.coalesce("kb", "rep_b").alias("y"))
+        out = out.unionAll(left.unionAll(right).distinct())
     if within:
-        own = members.where(F.col("cnt") <= cap)
+        own = members if cap is None else members.where(F.col("cnt") <= cap)
         other = own.select("cls", F.col("key").alias("y"))
         out = out.unionAll(own.select("cls", F.col("key").alias("x")).join(other, "cls").where("x < y").select("x", "y"))
-        out = out.unionAll(members.where((F.col("cnt") > cap) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("key").alias("y")))
+        if cap is not None:
+            out = out.unionAll(members.where((F.col("cnt") > cap) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("key").alias("y")))
     return out.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))

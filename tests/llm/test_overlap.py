@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import leaks, near_duplicates, queries, setjoin, split_overlap
+from lexmill.llm import common, leaks, near_duplicates, queries, setjoin, split_overlap
 from lexmill.llm.common import words
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -158,8 +158,67 @@ def test_classes_complete_the_star(spark, tmp_path):
     n = spark.createDataFrame([(i, None, text, "train" if i < 70 else "test", "s", 1) for i in range(73)], "rec_id long, title string, text string, split string, source string, label int")
     n.write.parquet(str(tmp_path / "news.parquet"))
     n.limit(0).withColumnRenamed("text", "statement").write.parquet(str(tmp_path / "liar.parquet"))
-    got = {r["rec_id"]: r["class_id"] for r in queries.QUERIES["p5_classes"](spark, str(tmp_path)).collect()}
-    assert got == {i: 0 if i < 70 else 70 for i in range(73)}
+    got = {r["rec_id"]: tuple(r)[1:] for r in queries.QUERIES["p5_classes"](spark, str(tmp_path)).collect()}
+    assert got == {i: (0, 70, 1) if i < 70 else (70, 3, 1) for i in range(73)}
+    every = pairs(split_overlap.overlaps(n, n.limit(0).withColumnRenamed("text", "statement"), cap=None))
+    assert every == {(a, b) for a in range(70) for b in range(70, 73)}
+    assert pairs(queries.p5_found(spark, str(tmp_path))) == {(a, b) for a, b in every if a == 0 or b == 70}
+
+
+def test_suffix_order_and_common_prefixes():
+    """The order is a suffix order, and the common prefix of two suffixes is never told longer than by a chance in 256."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 40, 60, dtype=np.uint64)
+    texts = [np.r_[base[i : i + 40], rng.integers(0, 1 << 40, 3, dtype=np.uint64)] for i in range(20)]
+    flat = np.concatenate(texts)
+    many = np.array([len(t) for t in texts])
+    start = np.cumsum(many) - many
+    place = np.arange(len(flat))
+    end = np.repeat(start + many, many)
+    levels = setjoin.text_order_levels(flat, end, place)
+    order = np.lexsort((levels, flat))
+    seen = wrong = 0
+    for a, b, equal in split_overlap.neighbours(flat[order], levels[order]):
+        for x, y, e in zip(order[a], order[b], equal):
+            p, q = flat[x : end[x]], flat[y : end[y]]
+            m = min(len(p), len(q))
+            true = int(np.argmin(np.r_[p[:m] == q[:m], False]))
+            told = min(m, 1 << e) if e < 8 else m
+            seen += 1
+            wrong += not (told <= true and (true < 2 * told or told == m))
+    assert seen > 3000 and wrong < 0.02 * seen
+
+
+def test_full_counters_are_cut_by_true_counts(spark, monkeypatch):
+    """With far too few counters every column looks hot; the rows are the same."""
+    monkeypatch.setattr(setjoin, "COUNTERS_LEAST", 64)
+    monkeypatch.setattr(setjoin, "COUNTERS_MOST", 64)
+    monkeypatch.setattr(setjoin, "HOT", 4)
+    texts = collection(8, 80)
+    got = near_duplicates.near_duplicate_pairs(near_duplicates.news_rows(news(spark, texts)))
+    assert pairs(got) == overlaps([(i, " " + t) for i, t in enumerate(texts)], 3, 20, 0.5)
+
+
+def test_codes_never_fall_below_the_count():
+    x = np.r_[np.arange(3000), [10**6, 10**9]]
+    back = setjoin.decoded(setjoin.coded(x))
+    assert (back >= x).all() and (back[:17] == x[:17]).all() and (back <= 1.1 * x + 1).all()
+
+
+def test_every_pair_without_a_cap(spark):
+    text = " ".join(WORDS[:30])
+    got = pairs(near_duplicates.near_duplicate_pairs(near_duplicates.news_rows(news(spark, [text] * 70)), cap=None))
+    assert got == {(a, b) for b in range(70) for a in range(b)}
+
+
+def test_tables_are_removed(spark):
+    import os
+
+    df = common.materialize(spark.range(3), "removed")
+    path = df._lexmill_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    common.discard(df)
+    assert not os.path.isdir(path)
 
 
 def edit_distance(pattern, text):
