@@ -7,17 +7,20 @@ path over a document's units, with a price for each change, gives stretches, and
 
 from __future__ import annotations
 
+import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytes_gru import Network
-from .common import rows, spread
+from .common import rows, shared_dir, spread
 from .langs import CODES, UNKNOWN, label_code
 
 SAMPLE_PER_LANGUAGE = 400
@@ -25,11 +28,17 @@ SAMPLE_CHARS = 1200
 STEPS, LANES, WINDOW = 600, 128, 72
 LEAST_WORDS, LEAST_CHARS = 15, 40
 UNSPACED = frozenset({"ja", "th", "zh"})
-SWITCH, PER_BYTES, MARGIN = 6.0, 6.0, 45.0
+# a change of language costs SWITCH; sums of log-probabilities are divided by PER_STEPS, as neighbouring steps tell much the
+# same; a stretch's language must lead the next by LEAD a step (two bytes)
+SWITCH, PER_STEPS, LEAD = 6.0, 3.0, 0.2
+MODEL = "language_1"
 BATCH_BYTES = 1_500_000
 LETTER = regex.compile(r"\p{L}")
-# a unit ends after closing punctuation before white space, at a line break, or after full-width stops
-UNIT = regex.compile(r"[^\n]*?(?:[.!?;…।][\"'”“»)\]]*\s+|[。！？][”」』]*|\n+|$)", regex.V1)
+UNSPACED_SCRIPTS = r"\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}"
+# a unit ends after closing punctuation before white space, at line breaks, after full-width stops, and at white space
+# beside a script that has none between words (in Thai it stands between sentences)
+UNIT_END = regex.compile(rf"[.!?;…।][\"'”“»)\]]*\s+|[。！？][”」』]*|\n+|(?<=[{UNSPACED_SCRIPTS}])[^\S\n]+|[^\S\n]+(?=[{UNSPACED_SCRIPTS}])", regex.V1)
+ASCII_END = re.compile(r"[.!?;][\"')\]]*\s+|\n+")
 SEGMENTS = "doc_id long, seg_no int, segments int, lang string, confidence double, start int, words int, label string, missing boolean"
 
 
@@ -71,7 +80,8 @@ class Windows:
             for a, b in ((0, cut), (cut, WINDOW)):
                 if b > a:
                     x[i, a:b], y[i, a:b] = self.stretch(b - a)
-        return np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+            # (the label of a step is that of its first byte)
+        return np.ascontiguousarray(x.T), np.ascontiguousarray(y[:, ::2].T)
 
     def drop_doubtful(self, net: Network) -> None:
         """Leaves out texts whose pooled language isn't their label (mislabelled and mixed ones), unless a language
@@ -85,21 +95,43 @@ class Windows:
                 self.texts[code] = kept
 
 
-_trained: dict[int, Network] = {}
+_trained: dict[str, Network] = {}
 
 
-def train(sample: list[tuple[str, str]], steps: int = STEPS) -> Network:
-    """The network for a sample; once a sample in a process."""
-    digest = xxhash.xxh3_64_intdigest("\0".join(f"{c}\1{t}" for c, t in sample), steps)
-    if digest not in _trained:
-        net, windows = Network(len(CODES)), Windows(sample)
-        if windows.known:
-            net.train(windows.draw, steps // 2)
-            windows.drop_doubtful(net)
-            net.train(windows.draw, steps - steps // 2, 0.006)
-        _trained.clear()
-        _trained[digest] = net
-    return _trained[digest]
+def sample_digest(sample: list[tuple[str, str]], steps: int) -> str:
+    return f"{xxhash.xxh3_64_hexdigest(chr(0).join(f'{c}{chr(1)}{t}' for c, t in sample))}_{steps}"
+
+
+def fitted(sample: list[tuple[str, str]], steps: int = STEPS) -> Network:
+    net, windows = Network(len(CODES)), Windows(sample)
+    if windows.known:
+        net.train(windows.draw, steps // 2)
+        windows.drop_doubtful(net)
+        net.train(windows.draw, steps - steps // 2, 0.006)
+    return net
+
+
+def train(spark: SparkSession, sample: list[tuple[str, str]], steps: int = STEPS) -> Network:
+    """The network for a sample: its weights are kept as a table of the shared folder, named by version and sample, so a
+    sample is trained on once; and held by the process."""
+    name = f"{MODEL}_{sample_digest(sample, steps)}"
+    if name in _trained:
+        return _trained[name]
+    path, net = f"{shared_dir(spark)}/{name}", Network(len(CODES))
+    try:
+        rows = sorted((r[0], r[1]) for r in spark.read.schema("i int, weights string").parquet(path).collect())  # 17 arrays
+    except AnalysisException:
+        rows = []
+    if len(rows) == len(net.arrays()):
+        for p, (_, w) in zip(net.arrays(), rows):
+            p[...] = np.frombuffer(base64.b64decode(w), np.float32).reshape(p.shape)
+    else:
+        net = fitted(sample, steps)
+        table = [(i, base64.b64encode(np.ascontiguousarray(p, np.float32).tobytes()).decode()) for i, p in enumerate(net.arrays())]
+        spark.createDataFrame(table, "i int, weights string").coalesce(1).write.mode("overwrite").parquet(path)
+    _trained.clear()
+    _trained[name] = net
+    return net
 
 
 def path(scores: np.ndarray) -> np.ndarray:
@@ -120,21 +152,22 @@ def path(scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(best: np.ndarray, scores: np.ndarray, size: list[tuple[int, int]], least_words: int, least_chars: int) -> list[list]:
-    """[language, first unit, words, characters, score sums] of stretches of the least size or more; a
-    document with none keeps its longest, and neighbours of one language that a dropped stretch parted are joined."""
+def stretches(best: np.ndarray, scores: np.ndarray, size: list[tuple[int, int, int]], least_words: int, least_chars: int) -> list[list]:
+    """[language, first unit, words, characters, steps, score sums] of stretches of the least size or more; a document with
+    none keeps its longest, and neighbours of one language that a dropped stretch parted are joined. ``size`` has each
+    unit's words, characters and steps."""
     out: list[list] = []
     for i, code in enumerate(best.tolist()):
         if out and out[-1][0] == code:
             s = out[-1]
-            s[2], s[3], s[4] = s[2] + size[i][0], s[3] + size[i][1], s[4] + scores[i]
+            s[2:] = s[2] + size[i][0], s[3] + size[i][1], s[4] + size[i][2], s[5] + scores[i]
         else:
-            out.append([code, i, size[i][0], size[i][1], scores[i].copy()])
+            out.append([code, i, *size[i], scores[i].copy()])
 
     def measure(s: list) -> float:
-        """Below 1 for a stretch too small, or whose language leads the next by less than MARGIN."""
-        lead = s[4][s[0]] - np.delete(s[4], s[0]).max()
-        return min(lead / MARGIN, s[3] / least_chars if CODES[s[0]] in UNSPACED else s[2] / least_words)
+        """Below 1 for a stretch too small, or whose language leads the next by less than LEAD a step."""
+        lead = (s[5][s[0]] - np.delete(s[5], s[0]).max()) * PER_STEPS / max(1, s[4])
+        return min(lead / LEAD, s[3] / least_chars if CODES[s[0]] in UNSPACED else s[2] / least_words)
 
     while len(out) > 1:
         k = min(range(len(out)), key=lambda j: (measure(out[j]), -j))
@@ -143,36 +176,44 @@ def stretches(best: np.ndarray, scores: np.ndarray, size: list[tuple[int, int]],
         out.pop(k)
         if 0 < k < len(out) and out[k - 1][0] == out[k][0]:
             a, b = out[k - 1], out.pop(k)
-            a[2], a[3], a[4] = a[2] + b[2], a[3] + b[3], a[4] + b[4]
+            a[2:] = [x + y for x, y in zip(a[2:], b[2:])]
     return out
 
 
+def _units(text: str) -> Iterator[tuple[int, str]]:
+    """(first character, text) of the units."""
+    at = 0
+    for m in (ASCII_END if text.isascii() else UNIT_END).finditer(text):
+        yield at, text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield at, text[at:]
+
+
 def _score_texts(net: Network, texts: list[str]) -> list[list[tuple]]:
     """For each text its segments (language, confidence, first character, words)."""
     starts, sizes, owners, data, at, places = [], [], [], [], 0, []
     for d, text in enumerate(texts):
-        for m in UNIT.finditer(text):
-            piece = m.group()
-            if not piece:
-                continue
+        for place, piece in _units(text):
             raw = piece.lower().encode("utf-8", "replace")
             starts.append(at)
             at += len(raw)
             data.append(raw)
             owners.append(d)
-            places.append(m.start())
-            sizes.append((sum(1 for w in piece.split() if LETTER.search(w)), sum(1 for c in piece if not c.isspace())) if len(piece) > 1 else (0, 0))
+            places.append(place)
+            split = piece.split()
+            sizes.append((sum(1 for w in split if w.isalpha() or LETTER.search(w)), sum(map(len, split)), len(raw) // 2) if len(piece) > 1 else (0, 0, 0))
     out: list[list[tuple]] = [[] for _ in texts]
     if not starts:
         return out
     owners_a, starts_a = np.array(owners), np.array(starts)
     first = np.flatnonzero(np.r_[True, owners_a[1:] != owners_a[:-1]])
-    scores = net.unit_scores(np.frombuffer(b"".join(data), np.uint8), starts_a, len(starts), starts_a[first]) / PER_BYTES
+    scores = net.unit_scores(np.frombuffer(b"".join(data), np.uint8), starts_a, len(starts), starts_a[first]) / PER_STEPS
     for s, e in zip(first, np.r_[first[1:], len(owners)]):
         own = scores[s:e]
         found = stretches(path(own), own, sizes[s:e], LEAST_WORDS, LEAST_CHARS)
         result = []
-        for code, i, n_words, _, total in found:
+        for code, i, n_words, _, _, total in found:
             p = np.exp((total - total.max()) / max(1.0, len(own)))
             result.append((CODES[code], float(p[code] / p.sum()), places[s + i] if result else 0, n_words))
         out[owners[s]] = result
@@ -185,11 +226,15 @@ def segments(documents: DataFrame, **training: int) -> DataFrame:
     Null and wordless texts have no row; an empty table gives none. Only (doc_id, lang, text) are read."""
     label = F.lower(F.trim("lang"))
     mine = documents.select("doc_id", "text", label_code(F.col("lang")).alias("label"), (F.col("lang").isNull() | label.isin(*UNKNOWN)).alias("missing"))
-    weights = documents.sparkSession.sparkContext.broadcast(train(training_sample(documents, **training)))
+    weights = documents.sparkSession.sparkContext.broadcast(train(documents.sparkSession, training_sample(documents, **training)))
 
     def give(net: Network, held: list[tuple]) -> pa.RecordBatch:
         out = []
-        for (doc, text, label, missing), found in zip(held, _score_texts(net, [h[1] for h in held])):
+        at: dict[str, int] = {}
+        which = [at.setdefault(h[1], len(at)) for h in held]  # copies are scored once
+        scored = _score_texts(net, list(at))
+        for (doc, _, label, missing), i in zip(held, which):
+            found = scored[i]
             out += [(doc, i, len(found), *f, label, missing) for i, f in enumerate(found, 1)]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
         cols = list(zip(*out)) or [[] for _ in kinds]

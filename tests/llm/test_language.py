@@ -12,13 +12,14 @@ def test_gradients():
     net = Network(5)
     for p in net.arrays():
         p *= 3
-    x, y = rng.integers(0, 255, (7, 4)).astype(np.uint8), rng.integers(0, 5, (7, 4))
+    x, y = rng.integers(0, 255, (14, 4)).astype(np.uint8), rng.integers(0, 5, (7, 4))
     _, gs = net.loss_and_gradients(x, y)
     for n, (p, g) in enumerate(zip(net.arrays(), gs)):
         for _ in range(3):
             i = tuple(int(rng.integers(0, s)) for s in p.shape)
             if n in (0, 4):
-                i = (int(x[rng.integers(7), rng.integers(4)]), i[1])
+                t = int(rng.integers(14))
+                i = (int(x[t, rng.integers(4)]) + 256 * (t % 2), i[1])
             old = p[i]
             p[i] = old + 5e-3
             up = net.loss_and_gradients(x, y, False)[0]
@@ -41,7 +42,7 @@ def test_scores_do_not_depend_on_the_batch():
     net.c[:] = 0
     for d in (net.ahead, net.back):
         d.V[:] = 0
-    assert net.unit_scores(np.concatenate([b, a]), np.array([0, 40, 90]), 3, np.array([0, 90]))[:, 0] == pytest.approx(-np.log(4) * np.array([40, 50, 700]), rel=1e-5)
+    assert net.unit_scores(np.concatenate([b, a]), np.array([0, 40, 90]), 3, np.array([0, 90]))[:, 0] == pytest.approx(-np.log(4) * np.array([20, 25, 350]), rel=1e-5)
 
 
 def test_labels(spark):
@@ -56,13 +57,13 @@ def test_path_and_stretches():
     s[:, en] = [-1, -1, -1, -9, -1, -1]
     s[:, fr] = [-9, -9, -9, -8, -9, -9]
     assert set(L.path(s)) == {en}
-    size = [(20, 99), (3, 20), (20, 99), (40, 200), (5, 30), (16, 80)]
+    size = [(20, 99, 50), (3, 20, 10), (20, 99, 50), (40, 200, 60), (5, 30, 15), (16, 80, 40)]
     best = np.array([en, fr, en, fr, en, fr])
     clear = np.full((6, len(L.CODES)), -90.0)
     clear[np.arange(6), best] = -1
     got = [(x[0], x[2]) for x in L.stretches(best, clear, size, 15, 40)]
     assert got == [(en, 40), (fr, 56)]
-    assert len(L.stretches(best[:2], clear, [(3, 9), (2, 9)], 15, 40)) == 1
+    assert len(L.stretches(best[:2], clear, [(3, 9, 5), (2, 9, 5)], 15, 40)) == 1
     doubtful = np.where(clear == -1, -1.0, -3.0)  # no language leads clearly: the longest stretch stays
     assert len(L.stretches(best, doubtful, size, 15, 40)) == 1
 
@@ -99,5 +100,21 @@ def test_sample_counts_a_text_once(documents, spark):
     assert got == L.training_sample(documents.select("doc_id", "text", "lang").unionByName(copies).repartition(5), 10)
 
 
+def test_weights_are_kept(documents, spark, monkeypatch):
+    sample = L.training_sample(documents.select("doc_id", "text", "lang"))
+    L._trained.clear()
+    net = L.train(spark, sample, 4)
+    L._trained.clear()
+    monkeypatch.setattr(L, "fitted", None)  # not trained again
+    again = L.train(spark, sample, 4)
+    assert all((a == b).all() for a, b in zip(net.arrays(), again.arrays()))
+
+
+def test_units():
+    text = "คนไทยอยู่บ้าน อากาศดี The bridge is old. No!\nЯ 東京 x"
+    assert [p for _, p in L._units(text)] == ["คนไทยอยู่บ้าน ", "อากาศดี ", "The bridge is old. ", "No!\n", "Я ", "東京 ", "x"]
+    assert "".join(p for _, p in L._units(text)) == text and [a for a, _ in L._units("a. b")] == [0, 3]
+
+
 def test_no_documents(documents):
     assert L.cases(L.segments(documents.limit(0))).count() == 0
