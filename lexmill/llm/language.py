@@ -34,6 +34,7 @@ SWITCH, PER_STEPS, LEAD = 6.0, 3.0, 0.2
 MODEL = "language_1"
 BATCH_BYTES = 1_500_000
 LETTER = regex.compile(r"\p{L}")
+WORDS = re.compile(r"[^\W\d_]\S*")  # from a word's first letter on
 UNSPACED_SCRIPTS = r"\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}"
 # a unit ends after closing punctuation before white space, at line breaks, after full-width stops, and at white space
 # beside a script that has none between words (in Thai it stands between sentences)
@@ -60,8 +61,12 @@ class Windows:
     def __init__(self, sample: list[tuple[str, str]], seed: int = 90) -> None:
         self.rng = np.random.default_rng(seed)
         self.texts: list[list[np.ndarray]] = [[] for _ in CODES]
+        self.units: list[list[list[bytes]]] = [[] for _ in CODES]
         for code, text in sample:
-            self.texts[CODES.index(code)].append(np.frombuffer(text.lower().encode(), np.uint8))
+            at = _unit_starts(text)
+            units = [text[a:b].lower().encode("utf-8", "replace") for a, b in zip(at, [*at[1:], len(text)])]
+            self.units[CODES.index(code)].append(units)
+            self.texts[CODES.index(code)].append(np.frombuffer(b"".join(units), np.uint8))
         self.known = [i for i, t in enumerate(self.texts) if t]
 
     def stretch(self, size: int) -> tuple[np.ndarray, int]:
@@ -80,19 +85,22 @@ class Windows:
             for a, b in ((0, cut), (cut, WINDOW)):
                 if b > a:
                     x[i, a:b], y[i, a:b] = self.stretch(b - a)
-            # (the label of a step is that of its first byte)
         return np.ascontiguousarray(x.T), np.ascontiguousarray(y[:, ::2].T)
 
     def drop_doubtful(self, net: Network) -> None:
-        """Leaves out texts whose pooled language isn't their label (mislabelled and mixed ones), unless a language
-        would lose more than half."""
+        """Leaves out units whose language isn't their text's label (of mislabelled and mixed texts), unless a language
+        would lose more than half of its bytes."""
         for code in self.known:
-            texts = self.texts[code]
-            start = np.cumsum([0, *(len(t) for t in texts[:-1])])
-            best = net.unit_scores(np.concatenate(texts), start, len(texts), start).argmax(1)
-            kept = [t for t, b in zip(texts, best) if b == code]
-            if 2 * len(kept) >= len(texts):
-                self.texts[code] = kept
+            texts, units = self.texts[code], self.units[code]
+            start = np.cumsum([0, *(len(u) for us in units for u in us)])[:-1]
+            first = np.cumsum([0, *(len(t) for t in texts[:-1])])
+            best = net.unit_scores(np.concatenate(texts), start, len(start), first).argmax(1).tolist()
+            kept, at = [], 0
+            for us in units:
+                kept.append(b"".join(u for u, x in zip(us, best[at : at + len(us)]) if x == code))
+                at += len(us)
+            if 2 * sum(map(len, kept)) >= sum(map(len, texts)):
+                self.texts[code] = [np.frombuffer(t, np.uint8) for t in kept if len(t) > 1]
 
 
 _trained: dict[str, Network] = {}
@@ -180,43 +188,58 @@ def stretches(best: np.ndarray, scores: np.ndarray, size: list[tuple[int, int, i
     return out
 
 
-def _units(text: str) -> Iterator[tuple[int, str]]:
-    """(first character, text) of the units."""
-    at = 0
-    for m in (ASCII_END if text.isascii() else UNIT_END).finditer(text):
-        yield at, text[at : m.end()]
-        at = m.end()
-    if at < len(text):
-        yield at, text[at:]
+def _unit_starts(text: str) -> list[int]:
+    """The units' first characters."""
+    starts = [0, *(m.end() for m in (ASCII_END if text.isascii() else UNIT_END).finditer(text))]
+    return starts if starts[-1] < len(text) else starts[:-1]
+
+
+def _size(piece: str, size: int) -> tuple[int, int, int]:
+    """Words with a letter, characters without spaces, and steps of ``size`` bytes."""
+    return (len(WORDS.findall(piece)), sum(map(len, piece.split())), size // 2) if len(piece) > 1 else (0, 0, 0)
 
 
 def _score_texts(net: Network, texts: list[str]) -> list[list[tuple]]:
     """For each text its segments (language, confidence, first character, words)."""
-    starts, sizes, owners, data, at, places = [], [], [], [], 0, []
-    for d, text in enumerate(texts):
-        for place, piece in _units(text):
-            raw = piece.lower().encode("utf-8", "replace")
-            starts.append(at)
-            at += len(raw)
-            data.append(raw)
-            owners.append(d)
-            places.append(place)
-            split = piece.split()
-            sizes.append((sum(1 for w in split if w.isalpha() or LETTER.search(w)), sum(map(len, split)), len(raw) // 2) if len(piece) > 1 else (0, 0, 0))
-    out: list[list[tuple]] = [[] for _ in texts]
+    starts, data, at, places, first = [], [], 0, [], []
+    for text in texts:
+        units = _unit_starts(text)
+        places.append(units)
+        first.append(len(starts))
+        if text.isascii():
+            raw = text.lower().encode()
+            starts += [at + u for u in units]
+        else:
+            pieces = [text[a:b].lower().encode("utf-8", "replace") for a, b in zip(units, [*units[1:], len(text)])]
+            raw = b"".join(pieces)
+            to = at
+            for x in pieces:
+                starts.append(to)
+                to += len(x)
+        data.append(raw)
+        at += len(raw)
+    out: list[list[tuple]] = []
     if not starts:
-        return out
-    owners_a, starts_a = np.array(owners), np.array(starts)
-    first = np.flatnonzero(np.r_[True, owners_a[1:] != owners_a[:-1]])
-    scores = net.unit_scores(np.frombuffer(b"".join(data), np.uint8), starts_a, len(starts), starts_a[first]) / PER_STEPS
-    for s, e in zip(first, np.r_[first[1:], len(owners)]):
-        own = scores[s:e]
-        found = stretches(path(own), own, sizes[s:e], LEAST_WORDS, LEAST_CHARS)
+        return [[] for _ in texts]
+    starts_a, ends = np.array(starts), np.r_[np.array(starts[1:], np.int64), at]
+    some = [f for f, units in zip(first, places) if units]
+    scores = net.unit_scores(np.frombuffer(b"".join(data), np.uint8), starts_a, len(starts), starts_a[some]) / PER_STEPS
+    for text, units, s in zip(texts, places, first):
+        if not units:
+            out.append([])
+            continue
+        own = scores[s : s + len(units)]
+        best = path(own)
+        if (best == best[0]).all():
+            found = [[int(best[0]), 0, len(WORDS.findall(text)), 0, 0, own.sum(0)]]
+        else:
+            sizes = [_size(text[a:b], n) for a, b, n in zip(units, [*units[1:], len(text)], (ends[s : s + len(units)] - starts_a[s : s + len(units)]).tolist())]
+            found = stretches(best, own, sizes, LEAST_WORDS, LEAST_CHARS)
         result = []
         for code, i, n_words, _, _, total in found:
             p = np.exp((total - total.max()) / max(1.0, len(own)))
-            result.append((CODES[code], float(p[code] / p.sum()), places[s + i] if result else 0, n_words))
-        out[owners[s]] = result
+            result.append((CODES[code], float(p[code] / p.sum()), units[i] if result else 0, n_words))
+        out.append(result)
     return out
 
 

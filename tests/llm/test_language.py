@@ -112,8 +112,9 @@ def test_weights_are_kept(documents, spark, monkeypatch):
 
 def test_units():
     text = "คนไทยอยู่บ้าน อากาศดี The bridge is old. No!\nЯ 東京 x"
-    assert [p for _, p in L._units(text)] == ["คนไทยอยู่บ้าน ", "อากาศดี ", "The bridge is old. ", "No!\n", "Я ", "東京 ", "x"]
-    assert "".join(p for _, p in L._units(text)) == text and [a for a, _ in L._units("a. b")] == [0, 3]
+    starts = L._unit_starts(text)
+    assert [text[a:b] for a, b in zip(starts, [*starts[1:], None])] == ["คนไทยอยู่บ้าน ", "อากาศดี ", "The bridge is old. ", "No!\n", "Я ", "東京 ", "x"]
+    assert L._unit_starts("a. b") == [0, 3] and L._unit_starts("a. ") == [0] and L._unit_starts("") == []
 
 
 def test_no_documents(documents):
