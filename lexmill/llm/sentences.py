@@ -1,11 +1,13 @@
 """Problem 2: sentence units of any language, by a finite transducer over boundary events.
 
-A text's events are its quotation marks, places where a sentence may end (``_may_end`` looks at the words around it: list
-of abbreviations, initials, numbers, case of what follows), blank lines, Thai spaces and the text's end. The transducer's
-state is the open quotation; it emits a boundary at an end candidate only outside quotations. Events of all texts of a
-batch form one sequence: it is cut into chunks, each chunk's transition function (state -> state) is composed for all
-chunks side by side, a prefix scan composes the chunk functions, and each chunk then runs from its known first state. A
-text of any length is therefore processed in chunks like many short ones.
+A text's events are its quotation marks, stops, blank lines, Thai spaces and the text's end. A stop's symbol is made of
+four classes: the word on its left (title, initial, number, word before numbers, ...), the stop, what follows it (capital,
+small letter, digit, word that starts or goes on with a sentence, ...) and the text's case. The boundary rules are rows
+over these classes; ``compiled`` turns them into the transducer's table, in which a symbol emits a boundary or not, and
+only outside quotations, which are the states. Events of all texts of a batch form one sequence: it is cut into chunks,
+each chunk's transition function (state -> state) is composed for all chunks side by side, a prefix scan composes the
+chunk functions, and each chunk then runs from its known first state. A text of any length is therefore processed in
+chunks like many short ones.
 """
 
 from __future__ import annotations
@@ -26,13 +28,19 @@ UNITS = "tbl string, row_key long, end_pos int"
 # --- Fixed values: abbreviations, by what may follow them --------------------------------------------------------------
 # never at a sentence's end
 NEVER = frozenset(
-    "dr dra mr mrs ms messrs prof sen rep gen gov sgt col capt lt cmdr adm maj rev hon pres st sr sra srta ste mt dott sig sigg avv ing hr fr frl m mme mlle mgr jr vs cf approx i.e e.g ie eg viz "
-    "z d h u a s o p ex ej ca bzw evtl ggf inkl av c.-à-d c.à.d cioè núm num nº nr tel ee т т.е напр им ул г-н г-жа проф акад см κ κα κος δρ π.χ πχ εκατ δισ αρ σ.σ د أ م डॉ श्री प्रो सं ver ed eds dept univ assn bros".split()
+    "dr dra mr mrs ms messrs prof sen rep gov sgt col capt lt cmdr adm maj rev hon pres sr sra srta ste mt dott sig sigg avv ing hr fr frl m mme mlle mgr jr vs cf approx i.e e.g ie eg viz "
+    "z d h u a s o p ex ej ca bzw evtl ggf inkl av c.-à-d c.à.d cioè núm num nº nr tel ee т т.е напр им ул г-н г-жа проф акад см κ κα κος δρ π.χ πχ εκατ δισ αρ σ.σ د أ م डॉ श्री प्रो सं ver".split()
 )
+# at the end only before a word that starts sentences
+MAYBE = frozenset("st gen ed eds dept univ assn bros".split())
 # not before a number
 BEFORE_NUMBER = frozenset("no nos n fig figs sec secs eq eqs ch chap vol pp pg art tab abs kap núm nr jan feb mar apr jun jul aug sep sept oct nov dec ene abr ago dic janv févr avr juil déc set out dez gen mag giu lug ott янв февр апр авг сент окт нояб дек № арт".split())
 # at the end before what can start a sentence, else inside
-EITHER = frozenset("etc inc ltd co corp plc llc jr sr al am pm a.m p.m u.s u.k u.n d.c ec ecc usw uu j.-c j.c др пр т.п т.д г гг в вв млн млрд тыс руб коп b.c a.d ff ibid".split())
+EITHER = frozenset("etc inc ltd co corp plc llc jr sr ec ecc d.c usw uu j.-c j.c др пр т.п т.д в вв руб коп b.c a.d ff ibid".split())
+TIMES = frozenset("al am pm a.m p.m".split())
+YEARS, MONEY = frozenset("г гг".split()), frozenset("млн млрд тыс".split())
+# "no." is a word and no number sign after these
+SAYING = frozenset("said says say saying answered answers answer replied replies is was means meant".split())
 GERMAN_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jahrhundert".split())
 # what goes on after a time or a name in text without case
 GOING_ON = frozenset("on in at and or to of for by with from until till before after but as than then".split())
@@ -52,28 +60,83 @@ CLOSERS = re.compile(r"(?:[\"'”’»›」』】）〉》〕)\]]|[    ](?
 SKIP = re.compile(r"[\s\"'“”«»„‘’‹›「」『』【】（）()\[\]<>*_—–\-•·#/|¿¡]*")
 WORD = re.compile(r"[^\s\"“”«»„‘’()\[\]「」¿¡]+$")
 NEXT = re.compile(r"\S+")
+LETTER_BEFORE = re.compile(r"(?:^|[^\w])\w\.\s*$")
+
+# classes of a stop's symbol
+LEFTS = PLAIN, TITLE, MAYBE_END, INITIAL, LETTER, NUMBERED, EITHER_WAY, TIME, YEAR, YEAR_AFTER_NUMBER, AMOUNT, DOTTED, ORDINAL, LIST_NUMBER = range(14)
+STOPS = DOT, ELLIPSIS, STRONG = range(3)
+RIGHTS = NOTHING, GLUED, GLUED_CAPITAL, DIGIT, STARTER, STARTER_OR_JOIN, JOIN, CAPITAL, MONTH, CASELESS, SOFT, SOFT_JOIN, SMALL = range(13)
+MODES = CASED, ALL_SMALL, ALL_CAPITALS = range(3)
+STARTS = {DIGIT, STARTER, STARTER_OR_JOIN, JOIN, CAPITAL, MONTH, CASELESS, SOFT, SOFT_JOIN}
+BY_CASE, CAPITALS = STARTS - {SOFT, SOFT_JOIN}, {STARTER, STARTER_OR_JOIN, JOIN, CAPITAL, MONTH}
+START_WORDS, JOINS, UNCASED = {STARTER, STARTER_OR_JOIN}, {STARTER_OR_JOIN, JOIN, SOFT_JOIN}, {ALL_SMALL, ALL_CAPITALS}
+ANY = None
+# the first row that fits decides: left, stop, right, case of the text, whether a sentence may end
+RULES = [
+    (ANY, ANY, {NOTHING}, ANY, True),
+    (ANY, ANY, {GLUED}, ANY, False),
+    ({TITLE, MAYBE_END}, ANY, {GLUED_CAPITAL}, ANY, False),
+    (ANY, ANY, {GLUED_CAPITAL}, ANY, True),
+    # an ellipsis in running capitals or small letters goes on before a joining word
+    (ANY, {ELLIPSIS}, JOINS, UNCASED, False),
+    (ANY, {ELLIPSIS, STRONG}, STARTS, ANY, True),
+    (ANY, {ELLIPSIS, STRONG}, ANY, ANY, False),
+    ({TITLE, LETTER}, ANY, ANY, ANY, False),
+    ({MAYBE_END, INITIAL, DOTTED}, ANY, START_WORDS, {CASED, ALL_SMALL}, True),
+    ({MAYBE_END, INITIAL, DOTTED}, ANY, ANY, ANY, False),
+    ({NUMBERED}, ANY, {DIGIT}, ANY, False),
+    ({YEAR_AFTER_NUMBER}, ANY, STARTS, ANY, True),
+    ({YEAR}, ANY, {DIGIT}, ANY, True),
+    ({AMOUNT}, ANY, CAPITALS, ANY, True),
+    ({YEAR_AFTER_NUMBER, YEAR, AMOUNT}, ANY, ANY, ANY, False),
+    ({TIME}, ANY, JOINS, UNCASED, False),
+    ({TIME, EITHER_WAY}, ANY, BY_CASE, ANY, True),
+    ({TIME, EITHER_WAY}, ANY, {SOFT, SOFT_JOIN}, {ALL_SMALL}, True),
+    ({TIME, EITHER_WAY}, ANY, ANY, ANY, False),
+    ({LIST_NUMBER}, ANY, ANY, ANY, False),
+    ({ORDINAL}, ANY, {MONTH}, ANY, False),
+    (ANY, ANY, STARTS, ANY, True),
+    (ANY, ANY, ANY, ANY, False),
+]
 
 DOC, BLANK, END, OPEN, CLOSE, LOW, HIGH_OR_CLOSE, STRAIGHT_OPEN, STRAIGHT_CLOSE, STRAIGHT = range(10)
+SHAPE = (len(LEFTS), len(STOPS), len(RIGHTS), len(MODES))
+FIRST_STOP = 10
 # states: 0 outside, 1 and 2 in one or two quotations, 3 in straight quotes, 4 in straight quotes within one, 5 in low-opened
 STATES = 6
-NEXT_STATE = np.array(
-    [
-        [0] * 6,  # DOC
-        [0] * 6,  # BLANK
-        [0, 1, 2, 3, 4, 5],  # END
-        [1, 2, 2, 3, 4, 5],  # OPEN
-        [0, 0, 1, 3, 4, 0],  # CLOSE
-        [5, 2, 2, 3, 4, 5],  # LOW „
-        [1, 2, 2, 3, 4, 0],  # “ closes a low-opened quotation and opens else
-        [3, 4, 2, 3, 4, 5],  # " before a word
-        [0, 1, 2, 0, 1, 5],  # " after a word
-        [3, 4, 2, 0, 1, 5],  # " between
-    ],
-    np.int8,
-)
-EMITS = np.zeros((10, STATES), bool)
-EMITS[DOC] = EMITS[BLANK] = True
-EMITS[END, 0] = True
+QUOTE_STATE = [
+    [0] * 6,  # DOC
+    [0] * 6,  # BLANK
+    [0, 1, 2, 3, 4, 5],  # END
+    [1, 2, 2, 3, 4, 5],  # OPEN
+    [0, 0, 1, 3, 4, 0],  # CLOSE
+    [5, 2, 2, 3, 4, 5],  # LOW „
+    [1, 2, 2, 3, 4, 0],  # “ closes a low-opened quotation and opens else
+    [3, 4, 2, 3, 4, 5],  # " before a word
+    [0, 1, 2, 0, 1, 5],  # " after a word
+    [3, 4, 2, 0, 1, 5],  # " between
+]
+
+
+def compiled(rules: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The transducer's tables: next state and whether a boundary is emitted, by symbol and state. END always may end, a
+    stop's symbol as its classes' rule says."""
+    ends = np.zeros(SHAPE, bool)
+    for *wanted, end in reversed(rules):
+        ends[np.ix_(*(range(n) if w is ANY else sorted(w) for w, n in zip(wanted, SHAPE)))] = end
+    follow = np.vstack([QUOTE_STATE, np.tile(QUOTE_STATE[END], (ends.size, 1))]).astype(np.int8)
+    emits = np.zeros(follow.shape, bool)
+    emits[[DOC, BLANK]] = True
+    emits[END, 0] = True
+    emits[FIRST_STOP:, 0] = ends.ravel()
+    return follow, emits
+
+
+NEXT_STATE, EMITS = compiled(RULES)
+
+
+def stop_symbol(left: int, stop: int, right: int, mode: int) -> int:
+    return FIRST_STOP + ((left * len(STOPS) + stop) * len(RIGHTS) + right) * len(MODES) + mode
 
 
 def run_transducer(symbols: np.ndarray) -> np.ndarray:
@@ -109,7 +172,8 @@ BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
 def _caseless(text: str) -> int:
-    """1 for a text all but without capitals, 2 for one of capitals, else 0 (also where the script has no case)."""
+    """ALL_SMALL for a text all but without capitals, ALL_CAPITALS for one of capitals, else CASED (also where the script has
+    no case)."""
     raw = text.encode("utf-8", "replace")
     up = len(raw) - len(raw.translate(None, _CAPITALS))
     low = len(raw) - len(raw.translate(None, _SMALL))
@@ -117,8 +181,8 @@ def _caseless(text: str) -> int:
         beyond = "".join(BEYOND.findall(text))
         up, low = up + sum(map(str.isupper, beyond)), low + sum(map(str.islower, beyond))
     if up + low < 20:
-        return 0
-    return 1 if up < 0.004 * low else 2 if low < 0.1 * up else 0
+        return CASED
+    return ALL_SMALL if up < 0.004 * low else ALL_CAPITALS if low < 0.1 * up else CASED
 
 
 def _first_in_unit(text: str, at: int) -> bool:
@@ -127,69 +191,88 @@ def _first_in_unit(text: str, at: int) -> bool:
     return at == 0 or text[at - 1] == "\n"
 
 
-def _may_end(text: str, start: int, end: int, mode: int) -> int:
-    """For the stop run text[start:end] the place after its closing marks if a sentence may end there, else -1."""
-    stop = text[start]
-    if stop == ";" or stop == ";":
-        if start == 0 or not ("Ͱ" <= text[start - 1] <= "Ͽ" or "ἀ" <= text[start - 1] <= "῿"):
-            return -1
-    close = CLOSERS.match(text, end).end()
+# a word's class, the later lists first
+LEFT_OF = dict.fromkeys(EITHER, EITHER_WAY) | dict.fromkeys(TIMES, TIME) | dict.fromkeys(YEARS, YEAR) | dict.fromkeys(MONEY, AMOUNT) | dict.fromkeys(BEFORE_NUMBER, NUMBERED) | dict.fromkeys(MAYBE, MAYBE_END) | dict.fromkeys(NEVER, TITLE)
+
+
+def _left(text: str, start: int, close: int) -> int:
+    """The class of the word before a single stop."""
+    before = WORD.search(text, max(0, start - 24), start)
+    if not before:
+        return PLAIN
+    word, at = before.group(), before.start()
+    if len(word) == 1 and word.isalpha():
+        # a letter at a unit's start, or after another with its stop, is no end of a sentence
+        lone = word.isupper() and not _first_in_unit(text, at) and not LETTER_BEFORE.search(text, max(0, at - 6), at)
+        if lone and text[close - 1] not in CLOSING:
+            return INITIAL
+        return LETTER if text[close - 1] not in CLOSING or word.lower() in NEVER else PLAIN
+    low = word.lower().lstrip("-–—/")
+    found = LEFT_OF.get(low)
+    if found is None:
+        last = low.rpartition(".")[2]
+        if len(last) > 1 and (last in NEVER or last in MAYBE):  # after a lost space
+            return TITLE
+        found = EITHER_WAY if low.rpartition("-")[2] in EITHER else TIME if low.rpartition("-")[2] in TIMES else None
+    if found == YEAR:
+        return YEAR_AFTER_NUMBER if text[max(0, at - 6) : at].rstrip()[-1:].isdigit() else YEAR
+    if found == NUMBERED and word == "no":
+        said = WORD.search(text[max(0, at - 24) : at].rstrip())
+        return PLAIN if said and said.group().lower() in SAYING else NUMBERED
+    if found is not None:
+        return found
+    parts = word.split(".")
+    if len(parts) > 1 and all(len(p) == 1 and p.isalpha() for p in parts):  # B.V., J.R., U.S.
+        return DOTTED
+    if word.isdigit() and len(word) <= 2:
+        return LIST_NUMBER if _first_in_unit(text, at) else ORDINAL
+    return PLAIN
+
+
+def _right(text: str, start: int, end: int, close: int, mode: int) -> int:
+    """The class of what follows the stop run text[start:end] and its closing marks."""
     after = SPACE.match(text, close).end()
     if after == len(text):
-        return close
+        return NOTHING
     if after == close:
         # a lost space: a small word, the stop, a capitalised word
         glued = close == end and end + 1 < len(text) and text[end].isupper() and not text[end + 1].isupper() and text[max(0, start - 2) : start].islower()
         word = WORD.search(text, max(0, start - 24), start) if glued else None
-        return close if word and word.group().isalpha() and word.group().lower() not in NEVER else -1
+        return GLUED_CAPITAL if word and word.group().isalpha() else GLUED
     first = SKIP.match(text, after).end()
     if first == len(text):
-        return close
+        return NOTHING
     c = text[first]
     following = NEXT.match(text, first)
     next_word = following.group() if following else ""
     bare = next_word.strip(".,;:!?…\"'”’»)").lower()
-    starts = not c.islower() or (len(next_word) > 1 and (next_word[1].isupper() or (c == "v" and next_word[1].isdigit())))
-    by_case = starts
-    if not starts and close == end:
+    join = bare in GOING_ON
+    if not c.islower() or (len(next_word) > 1 and (next_word[1].isupper() or (c == "v" and next_word[1].isdigit()))):
+        if c.isdigit():
+            return DIGIT
+        if not c.isupper():
+            return CASELESS
+        if bare in STARTERS and not (len(bare) == 1 and next_word[1:2] == "."):
+            return STARTER_OR_JOIN if join else STARTER
+        return JOIN if join else MONTH if bare in GERMAN_MONTHS else CAPITAL
+    if close == end:
         # a small letter starts a sentence in a text, or a stretch, without capitals
         word = WORD.search(text, max(0, start - 24), start)
         w = word.group() if word else ""
         plain = (len(w) > 1 and w.isalpha()) or (len(w) > 2 and w.isdigit())
-        if bare not in GOING_ON or (stop == "." and end - start == 1 and plain and len(w) > 2):
-            starts = mode == 1 or (plain and not any(map(str.isupper, text[first : first + 40])))
-    if stop != "." or end - start > 1:
-        # an ellipsis in running capitals or small letters goes on before a joining word
-        return close if starts and not (mode and stop in ".…" and bare in GOING_ON) else -1
-    before = WORD.search(text, max(0, start - 24), start)
-    word = before.group() if before else ""
-    low = word.lower().lstrip("-–—/")
-    if low not in NEVER and len(low.rpartition(".")[2]) > 1 and low.rpartition(".")[2] in NEVER:  # after a lost space
-        return -1
-    caps_next = starts and not c.isdigit()
-    if low in NEVER or (len(word) == 1 and word.isalpha() and text[close - 1] not in CLOSING):
-        return -1
-    if c.isdigit() and low in BEFORE_NUMBER:
-        return -1
-    # a hyphen may stand before an abbreviation
-    if low in EITHER or low.rpartition("-")[2] in EITHER:
-        if low in ("г", "гг") and caps_next:
-            prior = text[max(0, before.start() - 6) : before.start()].rstrip()
-            return close if prior[-1:].isdigit() else -1
-        if low in ("млн", "млрд", "тыс") and not c.isupper():
-            return -1
-        if mode and low in ("p.m", "a.m", "pm", "am", "al", "u.s", "u.k", "u.n") and bare in GOING_ON:
-            return -1
-        return close if by_case or (mode == 1 and starts) else -1
-    if not starts:
-        return -1
-    parts = word.split(".")
-    if len(parts) > 1 and all(len(p) == 1 and p.isalpha() for p in parts):  # B.V., J.R.
-        return close if bare in STARTERS and mode != 2 else -1
-    if word.isdigit() and len(word) <= 2:
-        if bare in GERMAN_MONTHS or _first_in_unit(text, before.start()):
-            return -1
-    return close
+        if not join or (text[start] == "." and end - start == 1 and plain and len(w) > 2):
+            if mode == ALL_SMALL or (plain and not any(map(str.isupper, text[first : first + 40]))):
+                return SOFT_JOIN if join else SOFT
+    return SMALL
+
+
+def _stop(text: str, start: int, end: int, mode: int) -> tuple[int, int]:
+    """The symbol of the stop run text[start:end] and the place after its closing marks."""
+    close = CLOSERS.match(text, end).end()
+    stop = DOT if text[start] == "." and end - start == 1 else ELLIPSIS if text[start] in ".…" else STRONG
+    right = _right(text, start, end, close, mode)
+    left = _left(text, start, close) if stop == DOT and right not in (NOTHING, GLUED, SMALL) or right == GLUED_CAPITAL else PLAIN
+    return stop_symbol(left, stop, right, mode), close
 
 
 def events(text: str) -> tuple[list[int], list[int], np.ndarray | None]:
@@ -206,10 +289,9 @@ def events(text: str) -> tuple[list[int], list[int], np.ndarray | None]:
     for m in EVENT.finditer(text):
         kind, s, e = m.lastgroup, m.start(), m.end()
         if kind == "stop":
-            end = _may_end(text, s, e, mode)
-            if end < 0:
+            if text[s] in ";\u037e" and not (s and ("Ͱ" <= text[s - 1] <= "Ͽ" or "ἀ" <= text[s - 1] <= "῿")):
                 continue
-            symbol = END
+            symbol, end = _stop(text, s, e, mode)
         elif kind == "wide":
             end = CLOSERS.match(text, e).end()
             if end > e and end < n and not text[end].isspace() and text[end] not in OPENING:
@@ -239,9 +321,9 @@ def events(text: str) -> tuple[list[int], list[int], np.ndarray | None]:
         at.append(end)
     symbols.append(DOC)
     at.append(n)
-    # an end candidate stands after its closing marks: events go in order of place, candidates last
+    # a stop's event stands after its closing marks: events go in order of place, stops last
     if any(a > b for a, b in zip(at, at[1:])):
-        order = sorted(range(len(at)), key=lambda i: (at[i], symbols[i] == END, i))
+        order = sorted(range(len(at)), key=lambda i: (at[i], symbols[i] == END or symbols[i] >= FIRST_STOP, i))
         symbols, at = [symbols[i] for i in order], [at[i] for i in order]
     stripped = text.rstrip()
     out = []

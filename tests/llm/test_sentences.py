@@ -40,6 +40,12 @@ def units(text):
         "A headline without a stop\n\n| LONDON (Desk) - It rains\nall day. | A rest that is cut",
         "It was lost.| The jury met at noon.| Gen. Lee left.".replace("| ", "|", 2),
         "the depot closed. | nobody came back to it in spring. | it rained.",
+        "The U.S. Senate voted. | He lives in the U.S. | They left.",
+        "I live on 5th St. | The house is big. | We met at St. Pancras.",
+        "He said no. | 5 people left the room. | See no. 5 there.",
+        "The band was called Plan A. | They split up in 1999. | J. A. Smith and George W. Bush came.",
+        "He works for Acme Bros. | They sell shoes.",
+        "She works at the univ. | Her boss is kind.",
     ],
 )
 def test_units(text):
@@ -47,6 +53,62 @@ def test_units(text):
     assert units(text.replace(" | ", " ").replace("|", "")) == want
 
 
+# Written once as a held-out set: no word list or rule was made or changed after it.
+HELD_OUT = [
+    "Prof. Lindqvist flew to St. Gallen on 3 Feb. 2019 and spoke for 2.5 hours. | The audience, approx. 300 people, stayed. | Why? | Nobody knew.",
+    "The shares rose 4.2 percent to $17.60. | Analysts at Hull & Co. had expected less; others, e.g. in Oslo, more.",
+    "“I won’t sign,” said the mayor. | “Not today, not ever!” | Then she left the room.",
+    'Mr. Okafor asked, "Is the bridge safe? Who checked it?" and got no answer. | The meeting closed at 9 p.m.',
+    "Visit www.rivertown.example or write to desk@paper.example. | We answer within a day.",
+    "Version 2.0.1 is out. | It fixes 14 bugs (see sec. 3). | Download it now!",
+    "She was born in Washington D.C. in 1961... | Her father, Sgt. Bill Crane, served abroad.",
+    "It was over. | Or was it? | The judge (a former coach) smiled. | [The text was cut.]",
+    "Der Vertrag gilt ab dem 1. Januar 2021. | Er umfasst ca. 40 Seiten, u. a. einen Anhang. | Wer unterschreibt?",
+    "Prof. Dr. Keller zitiert Abs. 3 bzw. Nr. 7. | „Das reicht nicht. Wir gehen vor Gericht“, sagte er. | Danach schwieg er.",
+    "M. Dubois a reçu env. 200 lettres. | Mme Petit n'en a lu que dix ! | Est-ce normal ?",
+    "Selon l'art. 12, le délai est de 30 jours. | « C'est trop long. On attend encore », dit un voisin. | Fin.",
+    "El Sr. Gómez pagó 3.500 euros, p. ej. en enero. | ¿Quién lo vio? | ¡Nadie!",
+    "La Dott. Bianchi arriva alle 10.30. | Il sig. Neri, invece, no. | Perché?",
+    "O Dr. Souza mora na Av. Central, n.º 8. | Ele gastou 1.200 reais. | Foi caro?",
+    "В 2015 г. завод закрыли. | Ущерб составил 3 млн руб. и более. | Кто виноват?",
+    "«Мы ждали. Никто не приехал», — рассказала она. | Потом пошёл дождь.",
+    "Ο κ. Παππάς πλήρωσε 5 εκατ. ευρώ. | Ποιος το ήξερε; | Κανείς δεν μίλησε.",
+    "وصل د. سامي أمس. | هل رآه أحد؟ | لا.",
+    "डॉ. मेहता ने 2.5 करोड़ दिए। | किसने देखा? | किसी ने नहीं।",
+    "桥在三点关闭。|“谁来修？没有人。”他说。|大家都走了！",
+    "橋は三時に閉まった。|「直すのは誰だ？分からない。」と彼は言った。|雨が降った。",
+    "สะพานปิดแล้ว | ไม่มีใครซ่อม | ใช้เงิน 20 ล้านบาท",
+    "RAIN STOPS PLAY AT NOON. | CROWD GOES HOME.",
+]
+
+
+def test_held_out():
+    """Recall and precision of unit ends over texts that shaped no rule."""
+    found = true = both = 0
+    for text in HELD_OUT:
+        want, at, plain = set(), 0, ""
+        for piece in text.split("|"):
+            piece = piece.strip() if " | " in text else piece
+            plain += (" " if plain and " | " in text else "") + piece
+            want.add(len(plain))
+        got = set(S.unit_ends([plain])[1].tolist())
+        found, true, both = found + len(got), true + len(want), both + len(got & want)
+        if got != want:
+            print(plain, sorted(got), sorted(want))
+    print(f"recall {both / true:.3f}, precision {both / found:.3f} of {true} ends")
+    assert both >= 0.9 * true and both >= 0.9 * found
+
+
+def test_rules_are_a_table():
+    """Every combination of classes has a symbol, and its entry is that of the first row that fits."""
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        classes = [int(rng.integers(n)) for n in S.SHAPE]
+        want = next(end for *wanted, end in S.RULES if all(w is None or c in w for w, c in zip(wanted, classes)))
+        symbol = S.stop_symbol(*classes)
+        assert S.EMITS[symbol, 0] == want and not S.EMITS[symbol, 1:].any() and (S.NEXT_STATE[symbol] == range(S.STATES)).all()
+
+
 def test_end_positions_count_code_points():
     own, end = S.unit_ends(["😀 It ra​ins. 😀 Yes.  ", None, "", " \n\n ", "x"])
     assert list(zip(own, end)) == [(0, 12), (0, 19), (4, 1)]
@@ -59,7 +121,7 @@ def test_blank_lines_and_breaks():
 def test_scan_equals_step_by_step():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 100, 5000):
-        symbols = rng.integers(0, 10, n)
+        symbols = rng.integers(0, 10, n) if n % 2 else rng.integers(0, len(S.EMITS), n)
         state, want = 0, []
         for s in symbols:
             want.append(S.EMITS[s, state])
