@@ -157,7 +157,9 @@ def term_counts(df: DataFrame, key: str, text: str, *, vocabulary: DataFrame | N
     have no term; an empty table gives no row. The terms of ``vocabulary`` (term) are added with no count of their own,
     so those that no record has come out with 0."""
     spark = df.sparkSession
-    blocks = blocks or max(4 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    read = df.select(F.col(key).cast("long"), text).where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    # two blocks for a task that reads, at least: what a merging task gets doesn't grow with the input
+    blocks = blocks or max(4 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * read.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Vertical()
@@ -169,16 +171,26 @@ def term_counts(df: DataFrame, key: str, text: str, *, vocabulary: DataFrame | N
             yield out
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[bytes]] = {}
+        # the rows come sorted: one block and range is held at a time
+        now, held = None, []
+
+        def merged() -> pa.RecordBatch:
+            names, occ, card = _merge(held)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(occ, pa.int64()), pa.array(card, pa.int64())], names=["term", "occurrences", "records"])
+
         for b in batches:
             for k, r, x in zip(*(b.column(i).to_pylist() for i in range(3))):
-                held.setdefault((k, r), []).append(x)
-        for k in sorted(held):
-            names, occ, card = _merge(held.pop(k))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(occ, pa.int64()), pa.array(card, pa.int64())], names=["term", "occurrences", "records"])
-
-    packed = df.select(F.col(key).cast("long"), text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(run, "block int, span long, bitmaps binary")
-    parts = packed.repartition(max(cores(spark), blocks // 4), "block", "span").mapInArrow(merge, COUNTS)
+                if (k, r) != now and held:
+                    yield merged()
+                    held = []
+                now = (k, r)
+                held.append(x)
+        if held:
+            yield merged()
+
+    packed = read.mapInArrow(run, "block int, span long, bitmaps binary")
+    sorted_blocks = packed.repartition(max(cores(spark), blocks // 4), "block", "span").sortWithinPartitions("block", "span")
+    parts = sorted_blocks.mapInArrow(merge, COUNTS)
     if vocabulary is not None:
         zero = F.lit(0).cast("long")
         wanted = vocabulary.select(F.lower(F.trim("term")).alias("term")).where(F.length("term") > 0).distinct()

@@ -4,7 +4,8 @@ The rows are written once, clustered: range-partitioned and sorted by group, the
 is then a stretch of row groups, over as many files as it needs, and the partitioning by score inside a group spreads a
 hot one. The reader opens only the footers first, takes a file's row groups in falling order of their highest score,
 keeps the N best of every group met so far, and skips a row group without reading it when its highest score is strictly
-below the N-th score of the one group it holds. What files keep (N rows a group at most) is merged at the end.
+below the current N-th score of every group it may contain, by the statistics of its first and last group. What files keep
+(N rows a group at most) is merged at the end.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import cores, materialize
 KEPT = "scheme string, qid long, doc_id long, similitud double"
 ROW_GROUP_BYTES = 1 << 20
 ROWS_PER_FILE = 1_500_000
+SPAN = 256  # qids a row group may range over to be asked for one by one
 
 
 def clean_runs(runs: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ class Kept:
     def __init__(self, n: int) -> None:
         self.n, self.codes = n, {}
         self.cols = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)]
-        self.floor: dict[tuple[int, int], float] = {}
+        self.nth: dict[tuple[int, int], float] = {}  # the n-th best score of the groups that have n
 
     def code(self, scheme: str | None) -> int:
         return self.codes.setdefault(scheme, len(self.codes))
@@ -74,11 +76,20 @@ class Kept:
         cols = [np.concatenate([a, b[top]]) for a, b in zip(self.cols, new)]
         top = best_of(cols[1], cols[2], cols[3], cols[0], self.n)
         self.cols = [c[top] for c in cols]
-
-    def nth(self, scheme: str | None, qid: int) -> float:
-        """The n-th best score of the group, or minus infinity while it has fewer."""
-        here = (self.cols[0] == self.code(scheme)) & (self.cols[1] == qid)
-        return self.cols[3][here].min() if here.sum() >= self.n else -np.inf
+        # groups stand together, best first: a group with n rows has its n-th at the last of them
+        group, qid, score = self.cols[0], self.cols[1], self.cols[3]
+        last = np.flatnonzero(np.r_[(group[1:] != group[:-1]) | (qid[1:] != qid[:-1]), True]) if len(qid) else np.empty(0, np.int64)
+        full = last[np.diff(np.r_[-1, last]) >= self.n]
+        self.nth.update(zip(zip(group[full].tolist(), qid[full].tolist()), score[full].tolist()))
+
+    def below(self, top: float, contained: tuple | None) -> bool:
+        """Whether a row group with this highest score can't change any group it may contain: (scheme, first qid, last
+        qid), or None if that isn't known. A qid in between that no row has counts as a group without rows, so it keeps
+        the row group from being skipped."""
+        if contained is None or contained[2] - contained[1] >= SPAN or contained[0] not in self.codes:
+            return False
+        code = self.codes[contained[0]]
+        return all(top < self.nth.get((code, q), -np.inf) for q in range(contained[1], contained[2] + 1))
 
     def batch(self) -> pa.RecordBatch:
         names = list(self.codes)
@@ -86,14 +97,14 @@ class Kept:
 
 
 def _bounds(group: pq.RowGroupMetaData, names: dict[str, int]) -> tuple[float, tuple | None]:
-    """A row group's highest score, and its group if it holds only one."""
+    """A row group's highest score, and its scheme, first and last qid where it holds one scheme."""
     stats = {c: group.column(i).statistics for c, i in names.items()}
     score = stats["similitud"]
     if score is None or not score.has_min_max:
         return np.inf, None
     s, q = stats["scheme"], stats["qid"]
-    one = s is not None and q is not None and s.has_min_max and q.has_min_max and not s.null_count and s.min == s.max and q.min == q.max
-    return score.max, ((s.min, q.min) if one else None)
+    known = s is not None and q is not None and s.has_min_max and q.has_min_max and not s.null_count and s.min == s.max
+    return score.max, ((s.min, q.min, q.max) if known else None)
 
 
 def read_skipping(path: str, n: int) -> tuple[pa.RecordBatch, int, int]:
@@ -103,11 +114,11 @@ def read_skipping(path: str, n: int) -> tuple[pa.RecordBatch, int, int]:
     names = {meta.row_group(0).column(i).path_in_schema: i for i in range(meta.num_columns)} if meta.num_row_groups else {}
     heap = []
     for k in range(meta.num_row_groups):
-        top, one = _bounds(meta.row_group(k), names)
-        heapq.heappush(heap, (-top, k, one))
+        top, contained = _bounds(meta.row_group(k), names)
+        heapq.heappush(heap, (-top, k, contained))
     while heap:
-        top, k, one = heapq.heappop(heap)
-        if one and -top < kept.nth(*one):
+        top, k, contained = heapq.heappop(heap)
+        if kept.below(-top, contained):
             skipped += 1
             continue
         kept.add(file.read_row_group(k, columns=list(names)))

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,14 @@ def test_row_groups_are_skipped(spark, tmp_path):
     assert kept.num_rows == 15 and skipped > read
 
 
+def test_row_groups_of_several_groups():
+    """Skipped only when every group that may be in it has n better items."""
+    kept = I.Kept(2)
+    kept.add(pa.table({"scheme": ["tf"] * 5, "qid": pa.array([1, 1, 2, 2, 4]), "doc_id": pa.array(range(5)), "similitud": [0.9, 0.8, 0.7, 0.6, 0.9]}))
+    assert kept.below(0.5, ("tf", 1, 2)) and not kept.below(0.6, ("tf", 1, 2)) and kept.below(0.7, ("tf", 1, 1))
+    assert not kept.below(0.1, ("tf", 1, 4)) and not kept.below(0.1, ("other", 1, 1)) and not kept.below(0.1, None)
+
+
 def test_clean_runs(spark):
     rows = [("Q007", 1, 0.5, "tf"), ("7", 1, 0.9, "tf"), (" 07 ", 2, 0.9, "tf"), ("x", 1, 0.5, "tf"), (None, 1, 0.5, "tf"), ("7", 3, float("nan"), "tf"), ("7", 4, None, "tf"), ("7", 5, 1.5, "tf"), ("7", 6, 0.0, "tf"), ("7", None, 0.3, "tf"), ("9" * 30, 1, 0.3, "tf")]
     df = spark.createDataFrame(rows, "qid string, doc_id long, similitud double, scheme string")
