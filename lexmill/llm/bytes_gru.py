@@ -137,10 +137,12 @@ class Network:
         gb = self.back.backward(x[::-1], (p @ self.back.V.T)[::-1], kb)
         return loss, [*gf, dVf, *gb, dVb, d.sum(0)]
 
-    def train(self, draw, steps: int, rate: float = 0.01) -> float:
-        """Adam over ``draw()`` -> (x, y), the rate falling to a tenth; the last losses' mean."""
+    def train(self, draw, steps: int, rate: float = 0.01, averaged: float = 0.0) -> float:
+        """Adam over ``draw()`` -> (x, y), the rate falling to a tenth; the last losses' mean. The weights become their mean
+        over the last share ``averaged`` of the steps."""
         ps = self.arrays()
         m, v = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps]
+        means, counted = [np.zeros(p.shape, np.float64) for p in ps], 0
         losses = []
         for i in range(1, steps + 1):
             loss, gs = self.loss_and_gradients(*draw())
@@ -153,6 +155,13 @@ class Network:
                 a += 0.1 * (g - a)
                 b += 0.005 * (g * g - b)
                 p -= (lr / (1 - 0.9**i)) * a / (np.sqrt(b / (1 - 0.995**i)) + 1e-8)
+            if i > steps * (1 - averaged):
+                counted += 1
+                for p, mean in zip(ps, means):
+                    mean += (p - mean) / counted
+        if counted:
+            for p, mean in zip(ps, means):
+                p[...] = mean
         return float(np.mean(losses[-20:]))
 
     def _lanes(self, x: np.ndarray) -> np.ndarray:

@@ -25,13 +25,15 @@ from .langs import CODES, UNKNOWN, label_code
 
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 1200
-STEPS, LANES, WINDOW = 600, 128, 72
+STEPS, LANES, WINDOW = 800, 128, 72
 LEAST_WORDS, LEAST_CHARS = 15, 40
 UNSPACED = frozenset({"ja", "th", "zh"})
 # a change of language costs SWITCH; sums of log-probabilities are divided by PER_STEPS, as neighbouring steps tell much the
 # same; a stretch's language must lead the next by LEAD a step (two bytes)
 SWITCH, PER_STEPS, LEAD = 6.0, 3.0, 0.2
 MODEL = "language_1"
+# of a training: share of its steps, rate, share of those averaged; texts are cleaned after each
+PHASES = ((0.25, 0.01, 0.3), (0.25, 0.006, 0.3), (0.5, 0.006, 0.5))
 BATCH_BYTES = 1_500_000
 LETTER = regex.compile(r"\p{L}")
 WORDS = re.compile(r"[^\W\d_]\S*")  # from a word's first letter on
@@ -88,18 +90,19 @@ class Windows:
         return np.ascontiguousarray(x.T), np.ascontiguousarray(y[:, ::2].T)
 
     def drop_doubtful(self, net: Network) -> None:
-        """Leaves out units whose language isn't their text's label (of mislabelled and mixed texts), unless a language
-        would lose more than half of its bytes."""
+        """Leaves out the texts whose pooled language isn't their label (mislabelled ones), and of the others the units of
+        another language (mixed ones), unless a language would lose more than half of its bytes."""
         for code in self.known:
-            texts, units = self.texts[code], self.units[code]
-            start = np.cumsum([0, *(len(u) for us in units for u in us)])[:-1]
-            first = np.cumsum([0, *(len(t) for t in texts[:-1])])
-            best = net.unit_scores(np.concatenate(texts), start, len(start), first).argmax(1).tolist()
-            kept, at = [], 0
-            for us in units:
-                kept.append(b"".join(u for u, x in zip(us, best[at : at + len(us)]) if x == code))
-                at += len(us)
-            if 2 * sum(map(len, kept)) >= sum(map(len, texts)):
+            units = self.units[code]
+            flat = np.frombuffer(b"".join(u for us in units for u in us), np.uint8)
+            size = np.array([len(u) for us in units for u in us])
+            start, many = np.cumsum(size) - size, np.array([len(us) for us in units])
+            first = np.cumsum(many) - many
+            scores = net.unit_scores(flat, start, len(start), start[first])
+            right = np.add.reduceat(scores, first).argmax(1) == code
+            best = scores.argmax(1) == code
+            kept = [b"".join(u for u, x in zip(us, best[at:]) if x) if ok else b"" for us, at, ok in zip(units, first, right)]
+            if 2 * sum(map(len, kept)) >= len(flat):
                 self.texts[code] = [np.frombuffer(t, np.uint8) for t in kept if len(t) > 1]
 
 
@@ -113,9 +116,10 @@ def sample_digest(sample: list[tuple[str, str]], steps: int) -> str:
 def fitted(sample: list[tuple[str, str]], steps: int = STEPS) -> Network:
     net, windows = Network(len(CODES)), Windows(sample)
     if windows.known:
-        net.train(windows.draw, steps // 2)
-        windows.drop_doubtful(net)
-        net.train(windows.draw, steps - steps // 2, 0.006)
+        # soon enough that wrong labels aren't learnt by heart, and once more
+        for part, rate, averaged in PHASES:
+            net.train(windows.draw, int(steps * part), rate, averaged)
+            windows.drop_doubtful(net)
     return net
 
 
