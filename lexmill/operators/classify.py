@@ -6,11 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import index as I
 
 
 def pipeline(kind: str = "logreg", *, features: int = 1 << 16, C: float = 4.0, rows: int = 1000, smoothing: float = 0.3, max_iter: int = 100, terms: list[str] | None = None) -> Pipeline:
@@ -70,6 +69,27 @@ def nb_counts(df: DataFrame) -> DataFrame:
     return counts.join(totals, "label").select("label", "term", "n", ((F.col("n") + 0.3) / (F.col("total") + 0.3 * types)).alias("p"))
 
 
+def nb_weights(df: DataFrame, alpha: float = 0.3) -> tuple[DataFrame, Column]:
+    """(term, w), ln P(term | 1) - ln P(term | 0) of multinomial naive Bayes with smoothing ``alpha``, and the log odds of
+    the classes as a scalar. Rows of labels other than 0 and 1 don't count."""
+    rows = df.where(F.col("label").isin(0, 1) & F.col("text").isNotNull())
+    tokens = rows.select("label", F.explode(F.filter(T.words(F.col("text")), T.not_stopword)).alias("term"))
+    side = lambda c: F.sum(F.when(F.col("label") == c, 1).otherwise(0))
+    counts = tokens.groupBy("term").agg(side(0).alias("n0"), side(1).alias("n1"))
+    total = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("*").alias("v"))  # one row
+    p = lambda n, t: F.log((F.col(n) + alpha) / (F.col(t) + alpha * F.col("v")))
+    prior = rows.agg((F.log(side(1)) - F.log(side(0))).alias("p")).scalar()
+    return counts.join(F.broadcast(total)).select("term", (p("n1", "t1") - p("n0", "t0")).alias("w")), prior
+
+
+def nb_probabilities(corpus: DataFrame, weights: DataFrame, prior: Column) -> DataFrame:
+    """(doc_id, prob_real) of corpus(doc_id, text); words the model doesn't know, and null texts, leave the prior."""
+    tokens = corpus.select("doc_id", F.explode_outer(F.filter(T.words(F.col("text")), T.not_stopword)).alias("term"))
+    counted = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    score = F.coalesce(F.sum(F.col("n") * F.col("w")), F.lit(0.0)) + F.coalesce(prior, F.lit(0.0))
+    return counted.join(weights, "term", "left").groupBy("doc_id").agg((1 / (1 + F.exp(-score))).alias("prob_real"))
+
+
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     return df.groupBy(label, pred).agg(F.count("*").alias("n"))
 
@@ -107,4 +127,4 @@ def vocabulary_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return marks.groupBy("term").agg(F.bit_or("m").alias("m")).select("term", F.when(F.col("m") == 3, "both").when(F.col("m") == 1, "left").otherwise("right").alias("side"))
 
 
-__all__ = ["I", "class_weights", "confusion", "fit", "frequent_terms", "nb_counts", "pipeline", "predict", "prepared", "report", "vocabulary_overlap"]
+__all__ = ["class_weights", "confusion", "fit", "frequent_terms", "nb_counts", "nb_probabilities", "nb_weights", "pipeline", "predict", "prepared", "report", "vocabulary_overlap"]

@@ -15,15 +15,17 @@ def judged(run: DataFrame, relevant: DataFrame, depth: int = max(CUTS)) -> DataF
     return rows.withColumn("met", F.sum("rel").over(Window.partitionBy("qid").orderBy("rank")))
 
 
-def per_query(run: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+def per_query(run: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = CUTS, totals: DataFrame | None = None) -> DataFrame:
     """P, R and NDCG at each cut, AP and RR per query of ``relevant``. Precision divides by the cut even if fewer were
-    retrieved; a query without hits scores 0 everywhere; AP divides by all relevant documents."""
+    retrieved; a query without hits scores 0 everywhere; AP divides by all relevant documents. With ``totals`` (qid, n) the
+    queries and their numbers of relevant documents are those, and ``relevant`` need only have the retrieved ones: the
+    relevant sets, however large, are never laid out."""
     sums = [F.sum(F.when((F.col("rel") == 1) & (F.col("rank") <= k), 1).otherwise(0)).alias(f"h{k}") for k in cuts]
     gains = [F.sum(F.when((F.col("rel") == 1) & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"g{k}") for k in cuts]
     ap = F.sum(F.when(F.col("rel") == 1, F.col("met") / F.col("rank")).otherwise(0.0)).alias("ap_sum")
     first = F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first")
     got = judged(run, relevant, max(cuts)).groupBy("qid").agg(*sums, *gains, ap, first)
-    total = relevant.select("qid", "doc_id").distinct().groupBy("qid").agg(F.count("*").alias("n"))
+    total = relevant.select("qid", "doc_id").distinct().groupBy("qid").agg(F.count("*").alias("n")) if totals is None else totals.select("qid", "n")
     rows = total.join(got, "qid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = [F.col("qid")]
@@ -33,9 +35,9 @@ def per_query(run: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = CUTS)
     return rows.select(*out, (zero("ap_sum") / F.col("n")).alias("ap"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
-def evaluate(run: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+def evaluate(run: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = CUTS, totals: DataFrame | None = None) -> DataFrame:
     """One row: the means over queries, as p_k, r_k, ndcg_k, map and mrr."""
-    each = per_query(run, relevant, cuts)
+    each = per_query(run, relevant, cuts, totals)
     names = [f"{m}_{k}" for k in cuts for m in ("p", "r", "ndcg")]
     return each.agg(*[F.round(F.avg(c), 6).alias(c) for c in names], F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("rr"), 6).alias("mrr"))
 

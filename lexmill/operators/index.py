@@ -25,6 +25,13 @@ def hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over one partition a core at least: a small table in one file would give one task the whole work by row. Where
+    there are enough partitions nothing is shuffled."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def fixed(column: Column) -> Column:
     """A generator of one row: the planner can't inline the column into what uses it, so it is computed once a row."""
     return F.explode(F.array(column))

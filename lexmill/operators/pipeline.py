@@ -35,24 +35,33 @@ def search_and_verify(
     model: str = "bm25",
     reranker: Callable[[Column, Column], Column] | None = R.lexical_score,
     stance: Callable[[Column, Column], tuple[Column, Column]] = lexical_stance,
+    classifier: Callable[[DataFrame], DataFrame] | None = None,
     probabilities: DataFrame | None = None,
     candidates: DataFrame | None = None,
     threshold: float = 0.6,
 ) -> DataFrame:
     """All hits of corpus(doc_id, title, text) for queries(qid, text): qid, rank, doc_id, title, snippet, score, prob_real,
-    evidence, supports, refutes, verdict, combined, decision, confidence. ``probabilities`` (doc_id, prob_real) come from a
-    classifier; without them a document counts one half. ``candidates`` (a run, for instance of a stored index) take the
-    place of the search. Any Pandas UDF fits as reranker or stance."""
+    evidence, supports, refutes, verdict, combined, decision, confidence. ``classifier`` gives (doc_id, prob_real) for a
+    frame (doc_id, text) and is asked for the hits only; ``probabilities`` (doc_id, prob_real) are ready ones; without
+    either, and for documents they don't know, a document counts one half. ``candidates`` (a run, for instance of a stored
+    index) take the place of the search. Any Pandas UDF fits as reranker or stance."""
     texts = corpus.select("doc_id", "text")
-    found = candidates if candidates is not None else R.retriever(model)(texts, queries, k=max(pool, k) if reranker else k)
-    run = R.rerank(found, texts, queries, k=k, scorer=reranker) if reranker else found.where(F.col("rank") <= k)
-    rows = run.join(queries.select("qid", F.coalesce("text", F.lit("")).alias("claim")), "qid")
+    depth = max(pool, k) if reranker else k
+    found = candidates if candidates is not None else R.retriever(model)(texts, queries, k=depth)
+    run = R.rerank(found, texts, queries, k=k, depth=depth, scorer=reranker) if reranker else found.where(F.col("rank") <= k)
+    few = R.few_rows(queries, k)
+    rows = run.join(I.hinted(queries.select("qid", F.coalesce("text", F.lit("")).alias("claim")), few), "qid")
     docs = corpus.select("doc_id", F.substring(F.coalesce("title", F.lit("")), 1, 120).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
-    rows = rows.join(docs, "doc_id").withColumn("snippet", T.snippet(F.col("body"))).withColumn("evidence", V.evidence_sentences(F.col("claim"), F.col("body")))
+    rows = R.fetched(rows, docs, small=few)
+    if classifier is not None:
+        hit_texts = R.fetched(run.select("doc_id").distinct(), texts, small=few)
+        probabilities = classifier(hit_texts)
     if probabilities is not None:
-        rows = rows.join(probabilities.select("doc_id", "prob_real"), "doc_id", "left")
+        known = probabilities.select("doc_id", "prob_real")
+        rows = rows.join(F.broadcast(known) if few and classifier is not None else known, "doc_id", "left").withColumn("prob_real", F.coalesce("prob_real", F.lit(0.5)))
     else:
         rows = rows.withColumn("prob_real", F.lit(0.5))
+    rows = rows.withColumn("snippet", T.snippet(F.col("body"))).withColumn("evidence", V.evidence_sentences(F.col("claim"), F.col("body")))
     supports, refutes = stance(F.col("claim"), F.col("evidence"))
     rows = rows.withColumn("supports", supports).withColumn("refutes", refutes).withColumn("verdict", V.verdict(F.col("supports"), F.col("refutes"), threshold))
     rows = rows.withColumn("combined", V.ensemble(F.col("prob_real"), F.col("verdict"), F.col("supports"), F.col("refutes")))
@@ -60,11 +69,11 @@ def search_and_verify(
     return decided.select("qid", "rank", "doc_id", "title", "snippet", "score", "prob_real", "evidence", "supports", "refutes", "verdict", "combined", "decision", "confidence")
 
 
-def evaluate_models(corpus: DataFrame, queries: DataFrame, relevant: DataFrame, models: list[str]) -> DataFrame:
+def evaluate_models(corpus: DataFrame, queries: DataFrame, relevant: DataFrame, models: list[str], totals: DataFrame | None = None) -> DataFrame:
     """One row of metrics per retriever, as (model, metrics...)."""
     out = None
     for name in models:
-        row = E.evaluate(R.retriever(name)(corpus, queries, k=max(E.CUTS)), relevant).withColumn("model", F.lit(name))
+        row = E.evaluate(R.retriever(name)(corpus, queries, k=max(E.CUTS)), relevant, totals=totals).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     if out is None:
         raise ValueError("no model named")
@@ -86,8 +95,8 @@ class StoredIndex:
     stats: DataFrame
 
 
-def stored_index(corpus: DataFrame, path: str, *, refit: bool = False, parts: int = 16) -> StoredIndex:
-    """The index at ``path`` if it was made from this very corpus, else a new one written there."""
+def _stored(corpus: DataFrame, path: str, refit: bool, write: Callable[[str], None]) -> None:
+    """Calls ``write(path)`` unless what is there was made from this very corpus."""
     spark: SparkSession = corpus.sparkSession
     mark = fingerprint(corpus)
     try:
@@ -95,12 +104,47 @@ def stored_index(corpus: DataFrame, path: str, *, refit: bool = False, parts: in
     except Exception:  # absent or unreadable: made anew
         same = False
     if refit or not same:
+        write(path)
+        spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/fingerprint")
+
+
+def stored_vectors(corpus: DataFrame, path: str, *, refit: bool = False, encoder=R.hashed_vectors) -> DataFrame:
+    """(doc_id, embedding) at ``path`` if made from this very corpus, else encoded and written there; for ``R.dense``."""
+    _stored(corpus, path, refit, lambda p: R.encoded(corpus, "doc_id", encoder).write.mode("overwrite").parquet(f"{p}/vectors"))
+    return corpus.sparkSession.read.parquet(f"{path}/vectors")
+
+
+def stored_tfidf(corpus: DataFrame, path: str, *, refit: bool = False, parts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary with idf, unit-length weights (doc_id, term, w)) of ``R.tfidf``'s index, stored the same way."""
+
+    def write(p: str) -> None:
+        vocab, post = R.tfidf_index(corpus)
+        vocab.write.mode("overwrite").parquet(f"{p}/vocabulary")
+        kept = corpus.sparkSession.read.parquet(f"{p}/vocabulary")
+        R.tfidf_index(corpus, vocabulary=kept)[1].withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{p}/weights")
+
+    _stored(corpus, path, refit, write)
+    read = corpus.sparkSession.read.parquet
+    return read(f"{path}/vocabulary"), read(f"{path}/weights").drop("part")
+
+
+def search_tfidf(index: tuple[DataFrame, DataFrame], queries: DataFrame, *, k: int = 10) -> DataFrame:
+    """Top-k over a stored tf-idf index; the same result as ``retrieval.tfidf`` on its corpus."""
+    return R.tfidf_search(*index, queries, k=k)
+
+
+def stored_index(corpus: DataFrame, path: str, *, refit: bool = False, parts: int = 16) -> StoredIndex:
+    """The index at ``path`` if it was made from this very corpus, else a new one written there."""
+    spark: SparkSession = corpus.sparkSession
+
+    def write(path: str) -> None:
         tokens = I.analysed(corpus)
         post = I.postings(tokens).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
         post.repartition(parts, "part").sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
         tokens.select("doc_id", F.size("tokens").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
         spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/stats")
-        spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/fingerprint")
+
+    _stored(corpus, path, refit, write)
     return StoredIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "stats")))
 
 

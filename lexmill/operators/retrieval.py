@@ -4,9 +4,12 @@ anything is shuffled, and the ranking is a window that keeps k rows per query in
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +18,8 @@ from lexmill.functions import text as T
 from lexmill.operators import index as I
 
 DIGITS = 6
-VECTOR_BLOCK = 4096
+BLOCK_BYTES = 16 << 20
+DIMENSIONS = 128
 
 
 def ranked(scores: DataFrame, k: int | None) -> DataFrame:
@@ -70,57 +74,125 @@ def bm25(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, k1: float
     return ranked(post.join(sides, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k)
 
 
-def tfidf(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, min_df: int = 2, max_df: float = 0.95, max_features: int = 50_000) -> DataFrame:
-    """Cosine of sublinear tf-idf over words and word pairs: weight (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), unit length.
-    The vocabulary has the terms with min_df <= df <= max_df n, at most max_features of them by collection count."""
+def _weight(tf: str) -> Column:
+    return (1 + F.log(F.col(tf))) * F.col("idf")
+
+
+def tfidf_index(corpus: DataFrame, *, min_df: int = 2, max_df: float = 0.95, max_features: int = 50_000, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary (term, idf), weights (doc_id, term, w) scaled to unit length) of words and word pairs: weight
+    (1 + ln tf)(ln((1 + n) / (1 + df)) + 1). The vocabulary, unless given, has the terms with min_df <= df <= max_df n, at
+    most max_features of them by collection count."""
     tokens = I.grams(I.analysed(corpus))
-    n = I.collection_size(corpus)
-    stats = I.term_stats(tokens).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    kept = stats.orderBy(F.col("tf").desc(), "term").limit(max_features)
-    vocab = F.broadcast(kept.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))  # max_features rows
-    weight = lambda tf: (1 + F.log(F.col(tf))) * F.col("idf")
-    each = tokens.select("doc_id", F.explode("tokens").alias("term")).join(vocab, "term")
-    post = each.groupBy("doc_id", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", weight("tf"))
+    if vocabulary is None:
+        n = I.collection_size(corpus)
+        stats = I.term_stats(tokens).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+        vocabulary = stats.orderBy(F.col("tf").desc(), "term").limit(max_features).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    each = tokens.select("doc_id", F.explode("tokens").alias("term")).join(F.broadcast(vocabulary), "term")  # max_features rows
+    post = each.groupBy("doc_id", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", _weight("tf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return vocabulary, post.select("doc_id", "term", "w", norm.alias("dn"))
+
+
+def tfidf_search(vocabulary: DataFrame, weights: DataFrame, queries: DataFrame, *, k: int | None = 10) -> DataFrame:
+    """Top-k by the dot products of the queries' unit vectors with ``weights``."""
     q = I.grams(I.analysed(queries.select(F.col("qid").alias("doc_id"), "text")))
-    asked = I.postings(q).join(vocab, "term").select(F.col("doc_id").alias("qid"), "term", weight("tf").alias("qw"))
-    norms = post.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    asked = I.postings(q).join(F.broadcast(vocabulary), "term").select(F.col("doc_id").alias("qid"), "term", _weight("tf").alias("qw"))
+    few = I.is_small(queries.select("qid"))
     qnorms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = asked.join(post, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "doc_id").join(I.hinted(qnorms, I.is_small(queries.select("qid"))), "qid")
+    dots = asked.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("dn").alias("dn"))
+    scored = dots.join(I.hinted(qnorms, few), "qid")
     return ranked(scored.select("qid", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")), k)
 
 
+def tfidf(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, **index: float) -> DataFrame:
+    """Cosine of sublinear tf-idf over words and word pairs (``tfidf_index``). Documents that share no term of the
+    vocabulary with a query give no row."""
+    return tfidf_search(*tfidf_index(corpus, **index), queries, k=k)
+
+
+def best_rows(scores: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, ties by ``doc``: only what reaches the k-th score is sorted."""
+    n = scores.shape[1]
+    if n > k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = np.divmod(np.arange(scores.size), max(n, 1))
+    order = np.lexsort((doc[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(scores)))[row]
+    return row[rank < k], col[rank < k]
+
+
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length 1, and which have a length."""
+    length = np.linalg.norm(x, axis=1)
+    return x[length > 0] / length[length > 0, None], length > 0
+
+
 def dense(vectors: DataFrame, queries: DataFrame, *, k: int = 10) -> DataFrame:
     """Cosine top-k of (qid, embedding) against (doc_id, embedding), as matrix products of a block of queries with each
-    batch of vectors; each batch gives at most k rows a query, the window picks among those. The query set is the stated,
-    bounded side and goes out in blocks of VECTOR_BLOCK. Null vectors, and vectors of length 0, give no row."""
-    spark = vectors.sparkSession
-    asked = [(r[0], np.array(r[1], np.float64)) for r in queries.where("embedding is not null").select("qid", "embedding").orderBy("qid").toLocalIterator()]
-    out = None
-    for at in range(0, max(1, len(asked)), VECTOR_BLOCK):
-        block = asked[at : at + VECTOR_BLOCK]
-        ids = np.array([q for q, _ in block], np.int64)
-        m = np.stack([v for _, v in block]) if block else np.empty((0, 0))
-        norm = np.linalg.norm(m, axis=1, keepdims=True) if block else m
-        shared = spark.sparkContext.broadcast((ids[(norm > 0).ravel()], (m / np.where(norm > 0, norm, 1))[(norm > 0).ravel()]) if block else (ids, m))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    batch of vectors; each batch gives at most k rows a query, the window picks among those. The query set is the stated
+    side: it goes out in blocks of BLOCK_BYTES, of which the driver holds one at a time. Null vectors, and vectors of
+    length 0, give no row."""
+    context = vectors.sparkSession.sparkContext
+    searched = vectors.where("embedding is not null").select(F.col("doc_id").cast("long"), "embedding")
+
+    def block(held: list) -> DataFrame:
+        q, ok = unit_rows(np.stack([np.array(v, np.float64) for _, v in held]))
+        shared = context.broadcast((np.array([i for i, _ in held], np.int64)[ok], q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for b in batches:
                 if not len(ids) or not b.num_rows:
                     continue
-                x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-                length = np.linalg.norm(x, axis=1)
-                doc = b.column(0).to_numpy()[length > 0]
-                s = np.round(q @ (x[length > 0] / length[length > 0, None]).T, DIGITS)
-                order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(doc[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["qid", "doc_id", "score"])
-
-        part = vectors.where("embedding is not null").select(F.col("doc_id").cast("long"), "embedding").mapInArrow(run, "qid long, doc_id long, score double")
-        out = part if out is None else out.unionAll(part)
+                x, ok = unit_rows(np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
+                doc = b.column(0).to_numpy()[ok]
+                rows = max(1, BLOCK_BYTES // max(1, 8 * len(doc)))  # scores of so many queries at once
+                for at in range(0, len(ids), rows):
+                    s = np.round(q[at : at + rows] @ x.T, DIGITS)
+                    row, col = best_rows(s, doc, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(doc[col]), pa.array(s[row, col])], names=["qid", "doc_id", "score"])
+
+        return searched.mapInArrow(run, "qid long, doc_id long, score double")
+
+    out, held, size = None, [], 0
+    for r in queries.where("embedding is not null").select("qid", "embedding").toLocalIterator():
+        held.append((r[0], r[1]))
+        size += 8 * len(r[1])
+        if size >= BLOCK_BYTES:
+            part, held, size = block(held), [], 0
+            out = part if out is None else out.unionAll(part)
+    if held:
+        out = block(held) if out is None else out.unionAll(block(held))
+    if out is None:
+        out = searched.limit(0).select(F.lit(0).cast("long").alias("qid"), "doc_id", F.lit(0.0).alias("score"))
     return ranked(out, k)
 
 
+def hashed_vectors(texts: pd.Series) -> pd.Series:
+    """Stand-in for a sentence encoder: every word has a vector of signs from its hash, a text the sum of its words'."""
+    found = [re.findall(T.WORD, t.lower()) if isinstance(t, str) else [] for t in texts]
+    code, words = pd.factorize(np.array([w for ws in found for w in ws] or ["x"], dtype=object))
+    signs = np.stack([np.unpackbits(np.frombuffer(hashlib.shake_128(w.encode()).digest(DIMENSIONS // 8), np.uint8)) for w in words]).astype(np.int8) * 2 - 1
+    out, at = [], 0
+    for ws in found:
+        out.append(signs[code[at : at + len(ws)]].sum(0, dtype=np.float32) if ws else np.zeros(DIMENSIONS, np.float32))
+        at += len(ws)
+    return pd.Series(out)
+
+
+def encoded(df: DataFrame, key: str, encoder: Callable[[pd.Series], pd.Series] = hashed_vectors) -> DataFrame:
+    """(key, embedding) of df[text] by any function of a series of texts."""
+    return df.select(key, F.pandas_udf(encoder, "array<float>")(F.coalesce("text", F.lit(""))).alias("embedding"))
+
+
+def semantic(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, encoder: Callable[[pd.Series], pd.Series] = hashed_vectors) -> DataFrame:
+    """Cosine of encoded texts. Texts without words have a vector of length 0 and give no row."""
+    return dense(encoded(corpus, "doc_id", encoder), encoded(queries, "qid", encoder), k=k or 1000)
+
+
 def min_max(run: DataFrame) -> DataFrame:
     """Scores of each query scaled to [0, 1]; a range under 1e-9 gives zeros."""
     w = Window.partitionBy("qid")
@@ -144,21 +216,42 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, T.overlap_words(text))) / F.size(q))
 
 
-def rerank(pool: DataFrame, corpus: DataFrame, queries: DataFrame, *, k: int = 10, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
-    """The pool's pairs scored anew by ``scorer(query text, document text)``; the corpus is cut to the pool's documents.
-    Any Pandas UDF of two text columns fits as scorer."""
-    pairs = pool.select("qid", "doc_id").join(queries.select("qid", F.col("text").alias("query_text")), "qid")
-    full = pairs.join(corpus.select("doc_id", "text"), "doc_id")
+def few_rows(queries: DataFrame, k: int) -> bool:
+    """Whether a run of k rows a query is small enough to be broadcast; only the queries are counted."""
+    return I.is_small(queries.select("qid"), max(1, I.BROADCAST_ROWS // max(1, k)))
+
+
+def fetched(run: DataFrame, corpus: DataFrame, *, small: bool) -> DataFrame:
+    """The run's rows with the corpus's columns. A small run goes to the corpus, whose texts are never shuffled; beyond
+    that the corpus is first cut to the run's documents (the planner adds a Bloom filter of them where it pays)."""
+    if small:
+        return I.spread(corpus).join(F.broadcast(run), "doc_id")
+    return corpus.join(run.select("doc_id").distinct(), "doc_id", "left_semi").join(run, "doc_id")
+
+
+def rerank(pool: DataFrame, corpus: DataFrame, queries: DataFrame, *, k: int = 10, depth: int = 100, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
+    """The pool's pairs (at most ``depth`` a query) scored anew by ``scorer(query text, document text)``; the corpus is cut
+    to the pool's documents. Any Pandas UDF of two text columns fits as scorer."""
+    small = few_rows(queries, depth)
+    pairs = pool.select("qid", "doc_id").join(I.hinted(queries.select("qid", F.col("text").alias("query_text")), small), "qid")
+    full = fetched(pairs, corpus.select("doc_id", "text"), small=small)
     return ranked(full.select("qid", "doc_id", scorer(F.coalesce("query_text", F.lit("")), F.coalesce("text", F.lit(""))).alias("score")), k)
 
 
-def hits(run: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The run with title (120 characters) and snippet (240 and an ellipsis) of corpus(doc_id, title, text)."""
+def hits(run: DataFrame, corpus: DataFrame, *, small: bool = False) -> DataFrame:
+    """The run with title (120 characters) and snippet (240 and an ellipsis) of corpus(doc_id, title, text). ``small``:
+    whether the run may be broadcast (``few_rows``)."""
     rows = corpus.select("doc_id", F.substring(F.coalesce("title", F.lit("")), 1, 120).alias("title"), T.snippet(F.coalesce("text", F.lit(""))).alias("snippet"))
-    return run.join(rows, "doc_id").select("qid", "rank", "doc_id", "title", "snippet", "score")
+    return fetched(run, rows, small=small).select("qid", "rank", "doc_id", "title", "snippet", "score")
+
+
+def hybrid_search(corpus: DataFrame, queries: DataFrame, *, k: int | None = 10, alpha: float = 0.5) -> DataFrame:
+    """``hybrid`` of BM25 and ``semantic``, each with its pool."""
+    pool = pool_size(k or 10)
+    return hybrid(bm25(corpus, queries, k=pool), semantic(corpus, queries, k=pool), alpha=alpha, k=k or 10)
 
 
-RETRIEVERS: dict[str, Callable[..., DataFrame]] = {"bm25": bm25, "tfidf": tfidf}
+RETRIEVERS: dict[str, Callable[..., DataFrame]] = {"bm25": bm25, "tfidf": tfidf, "semantic": semantic, "hybrid": hybrid_search}
 
 
 def retriever(name: str) -> Callable[..., DataFrame]:

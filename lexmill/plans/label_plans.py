@@ -130,8 +130,8 @@ QUERIES = {
 _MAP = "CASE WHEN {0} IN ('true', 'mostly-true', 'half-true') THEN 1 WHEN {0} IN ('barely-true', 'false', 'pants-fire') THEN 0 END"
 _TITLES = f"(SELECT DISTINCT unnest({sql.index_words('title')}) AS term FROM news)"
 _VOC = "(SELECT DISTINCT lower(trim(term)) AS term FROM vocabulario WHERE length(trim(term)) > 0)"
-_SPLIT = """(SELECT rec_id, label, CASE WHEN u < 70 THEN 'train' WHEN u < 85 THEN 'valid' ELSE 'test' END AS part FROM
-  (SELECT rec_id, label, CAST('0x' || substring(md5(coalesce(CAST(label AS VARCHAR), '') || '-' || CAST(rec_id AS VARCHAR) || '-42'), 1, 8) AS BIGINT) % 100 AS u FROM news WHERE label IS NOT NULL))"""
+_SPLIT = """(SELECT rec_id, label, CASE WHEN r <= floor(n * 70 / 100.0 + 0.5) THEN 'train' WHEN r <= floor(n * 85 / 100.0 + 0.5) THEN 'valid' ELSE 'test' END AS part FROM
+  (SELECT rec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(coalesce(CAST(label AS VARCHAR), '') || '-' || CAST(rec_id AS VARCHAR) || '-42'), rec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM news WHERE label IS NOT NULL))"""
 _JUDGED = "(SELECT evid_id, rec_id, CASE WHEN prob_real >= 0.5 THEN 1 ELSE 0 END AS pred, label FROM evidence JOIN news USING (rec_id) WHERE prob_real IS NOT NULL AND label IS NOT NULL)"
 _CLASS = f"""(SELECT c, sum(hit) AS hit, sum(sup) AS support, sum(said) AS said, sum(hit) / CAST(sum(said) AS DOUBLE) AS precision, sum(hit) / CAST(sum(sup) AS DOUBLE) AS recall FROM
   (SELECT label AS c, CASE WHEN label = pred THEN 1 ELSE 0 END AS hit, 1 AS sup, 0 AS said FROM {_JUDGED} UNION ALL SELECT pred, 0, 0, 1 FROM {_JUDGED}) GROUP BY c)"""

@@ -3,10 +3,13 @@ by 20, against all documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import classify as K
 from lexmill.operators import evaluation as E
 from lexmill.operators import index as I
 from lexmill.operators import pipeline as P
@@ -100,7 +103,7 @@ def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_hits(spark: SparkSession, d: str) -> DataFrame:
-    return R.hits(bm25_topk(spark, d), table(spark, d, "documents"))
+    return R.hits(bm25_topk(spark, d), table(spark, d, "documents"), small=R.few_rows(asked(spark, d), 10))
 
 
 def run_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -146,16 +149,33 @@ def score_softmax(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("evid_id", *[F.round(F.col("s")[i], 6).alias(c) for i, c in enumerate(("s", "r", "n"))], best.alias("best"), F.least(F.floor(F.abs(F.col("s")[0] - 0.5) * 200), F.lit(100)).cast("int").alias("bar"))
 
 
+def classified(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
+    """Naive Bayes of the news records, as a function of (doc_id, text)."""
+    weights, prior = K.nb_weights(table(spark, d, "news"))
+    return lambda texts: K.nb_probabilities(texts, weights, prior)
+
+
+def nb_document_scores(spark: SparkSession, d: str) -> DataFrame:
+    """P(real) of every document by the news records' naive Bayes."""
+    return classified(spark, d)(corpus(spark, d)).select("doc_id", F.round("prob_real", 6).alias("prob_real"))
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    return P.search_and_verify(table(spark, d, "documents").select("doc_id", "title", "text"), asked(spark, d), k=5, classifier=classified(spark, d))
+
+
 def search_and_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Search, rerank, evidence, verdict of every hit."""
-    out = P.search_and_verify(table(spark, d, "documents").select("doc_id", "title", "text"), asked(spark, d), k=5)
-    return out.select("qid", "rank", "doc_id", "title", "snippet", "score", "evidence", F.round("supports", 6).alias("supports"), F.round("refutes", 6).alias("refutes"), "verdict", F.round("combined", 6).alias("combined"), "decision", F.round("confidence", 6).alias("confidence"))
+    """Search, rerank, class probability, evidence, verdict of every hit."""
+    rounded = [F.round(c, 6).alias(c) for c in ("prob_real", "supports", "refutes", "combined", "confidence")]
+    return _searched(spark, d).select("qid", "rank", "doc_id", "title", "snippet", "score", "evidence", "verdict", "decision", *rounded)
 
 
 def search_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Verdict counts of a query's hits."""
-    hits = P.search_and_verify(table(spark, d, "documents").select("doc_id", "title", "text"), asked(spark, d), k=5)
-    return V.consensus(hits.withColumnRenamed("verdict", "fever_verdict"), "qid").select("qid", "supports", "refutes", "nei", "total", "dominant")
+    """Verdict counts of a query's hits, and their percentages: whole ones, the neutral one what is left to 100."""
+    out = V.consensus(_searched(spark, d).withColumnRenamed("verdict", "fever_verdict"), "qid")
+    percent = lambda c: F.floor(100 * F.col(c)).cast("int")
+    out = out.select("qid", "supports", "refutes", "nei", "total", "dominant", percent("support_share").alias("percent_s"), percent("refute_share").alias("percent_r"))
+    return out.withColumn("percent_n", 100 - F.col("percent_s") - F.col("percent_r"))
 
 
 def _run(spark: SparkSession, d: str) -> DataFrame:
@@ -164,27 +184,61 @@ def _run(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(ev.select("qid", F.col("rec_id").alias("doc_id"), "score"), None)
 
 
-def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieved or not, the records of the query's subject among those judged (the evidence rows)."""
+def _relevant(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, doc_id) of the retrieved records that have the query's subject, and (qid, n): all records of that subject."""
     q = table(spark, d, "queries").where("relevant_subject is not null").select("qid", F.lower(F.trim("relevant_subject")).alias("s"))
-    n = table(spark, d, "news").select(F.col("rec_id").alias("doc_id"), F.lower(F.trim("subject")).alias("s"))
+    n = table(spark, d, "news").where("subject is not null").select(F.col("rec_id").alias("doc_id"), F.lower(F.trim("subject")).alias("s"))
     ev = table(spark, d, "evidence").where("qid is not null and rec_id is not null").select("qid", F.col("rec_id").alias("doc_id")).distinct()
-    return ev.join(q, "qid").join(n, ["doc_id", "s"]).select("qid", "doc_id")
+    return ev.join(q, "qid").join(n, ["doc_id", "s"]).select("qid", "doc_id"), q.join(n.groupBy("s").agg(F.count("*").alias("n")), "s").select("qid", "n")
 
 
 def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return E.evaluate(_run(spark, d), _relevant(spark, d))
+    relevant, totals = _relevant(spark, d)
+    return E.evaluate(_run(spark, d), relevant, totals=totals)
 
 
 def ir_metrics_by_query(spark: SparkSession, d: str) -> DataFrame:
-    out = E.per_query(_run(spark, d), _relevant(spark, d))
+    relevant, totals = _relevant(spark, d)
+    out = E.per_query(_run(spark, d), relevant, totals=totals)
     return out.select("qid", *[F.round(c, 6).alias(c) for c in out.columns if c != "qid"])
 
 
+def _subject_queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(corpus (doc_id, text, s), queries (qid, text, n)): the titles of the three first records of every subject of ten
+    records or more, with the size of the subject."""
+    news = table(spark, d, "news").where("text is not null and subject is not null").select(F.col("rec_id").alias("doc_id"), "title", "text", F.lower(F.trim("subject")).alias("s"))
+    sizes = news.groupBy("s").agg(F.count("*").alias("n")).where("n >= 10")
+    titled = news.where("title is not null").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("doc_id"))).where("r <= 3")
+    return news.select("doc_id", "text", "s"), titled.join(sizes, "s").select(F.col("doc_id").alias("qid"), F.col("title").alias("text"), "s", "n")
+
+
+def _evaluated(model: str) -> Callable[[SparkSession, str], DataFrame]:
+    def plan(spark: SparkSession, d: str) -> DataFrame:
+        docs, q = _subject_queries(spark, d)
+        run = R.retriever(model)(docs.select("doc_id", "text"), q.select("qid", "text"), k=max(E.CUTS))
+        relevant = run.join(q.select("qid", "s"), "qid").join(docs.select("doc_id", "s"), ["doc_id", "s"]).select("qid", "doc_id")
+        return E.evaluate(run, relevant, totals=q.select("qid", "n"))
+
+    plan.__name__, plan.__doc__ = f"ir_metrics_{model}", f"Metrics of the {model} retriever over titles as queries, a subject's records being relevant."
+    return plan
+
+
+def metric_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Mean reciprocal rank with a bootstrap interval."""
+    relevant, totals = _relevant(spark, d)
+    return E.bootstrap(E.per_query(_run(spark, d), relevant, totals=totals), "rr")
+
+
+def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
+    return R.semantic(corpus(spark, d), asked(spark, d))
+
+
+def hybrid_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return R.hybrid_search(corpus(spark, d), asked(spark, d))
+
+
 def subject_truth(spark: SparkSession, d: str) -> DataFrame:
     """Relevant records by subject for at most three queries a subject, of subjects with ten records or more (sizes only)."""
-    from pyspark.sql import Window
-
     n = table(spark, d, "news").where("subject is not null").select("rec_id", F.lower(F.trim("subject")).alias("s"))
     sizes = n.groupBy("s").agg(F.count("*").alias("relevant")).where("relevant >= 10")
     q = table(spark, d, "queries").where("relevant_subject is not null").select("qid", F.lower(F.trim("relevant_subject")).alias("s"))
@@ -197,14 +251,15 @@ QUERIES = {
     for f in (
         postings, term_stats, vocab_bands, band_shares, vocabulary_index, tf_matrix, tfidf_weights, cosine_tf, cosine_tfidf, bm25_topk, tfidf_sublinear_topk, dense_topk, hybrid_topk, rerank_lexical, search_hits,
         run_lines, evidence_sentences, verify_claims, explain_claims, evidence_consensus, ensemble_verdict, verdict_summary, score_softmax, search_and_verify, search_consensus, ir_metrics, ir_metrics_by_query, subject_truth,
+        nb_document_scores, semantic_topk, hybrid_semantic, metric_interval, *map(_evaluated, ("bm25", "tfidf", "semantic", "hybrid")),
     )
 }
 
 _VOCAB = "(SELECT DISTINCT lower(trim(term)) AS term FROM vocabulario WHERE length(trim(term)) > 0)"
+_DOCS, _ASKED = "(SELECT doc_id, text FROM documents)", "(SELECT qid, query_text AS text FROM queries WHERE qid % 20 = 0)"
 _POST = f"(SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql.index_words('text')}) AS term FROM documents) GROUP BY ALL)"
 _POST_ALL = f"(SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql.words('text')}) AS term FROM documents) GROUP BY ALL)"
 _Q_ALL = f"(SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({sql.words('query_text')}) AS term FROM queries WHERE qid % 20 = 0) GROUP BY ALL)"
-_Q = f"(SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({sql.index_words('query_text')}) AS term FROM queries WHERE qid % 20 = 0) GROUP BY ALL)"
 _N = "(SELECT count(*) FROM documents)"
 _BANDS = f"""(SELECT term, df, CASE WHEN df < 2 THEN 'low' WHEN df > floor(CAST(0.8 AS DOUBLE) * {_N}) THEN 'high' ELSE 'kept' END AS band FROM (SELECT term, count(*) AS df FROM {_POST_ALL} GROUP BY term))"""
 
@@ -214,28 +269,32 @@ def _ranked(scores: str, k: int | None) -> str:
     return f"SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM (SELECT qid, doc_id, round(score, 6) AS score FROM ({scores}))){cut}"
 
 
-def _bm25(k: int) -> str:
+def _bm25(k: int, docs: str = _DOCS, asked: str = _ASKED) -> str:
+    post = f"(SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql.index_words('text')}) AS term FROM {docs}) GROUP BY ALL)"
+    wanted = f"(SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({sql.index_words('text')}) AS term FROM {asked}) GROUP BY ALL)"
     return _ranked(
         f"""
-        WITH post AS {_POST}, lens AS (SELECT doc_id, len({sql.index_words('text')}) AS dl FROM documents), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+        WITH post AS {post}, lens AS (SELECT doc_id, len({sql.index_words('text')}) AS dl FROM {docs}), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
         df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post CROSS JOIN n GROUP BY term, n), fl AS (SELECT avg(raw) * 0.25 AS f FROM df),
         idf AS (SELECT term, CASE WHEN raw < 0 THEN f ELSE raw END AS idf FROM df CROSS JOIN fl)
         SELECT qid, p.doc_id, sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-        FROM {_Q} q JOIN post p USING (term) JOIN idf USING (term) JOIN lens l ON l.doc_id = p.doc_id CROSS JOIN n GROUP BY qid, p.doc_id""",
+        FROM {wanted} q JOIN post p USING (term) JOIN idf USING (term) JOIN lens l ON l.doc_id = p.doc_id CROSS JOIN n GROUP BY qid, p.doc_id""",
         k,
     )
 
 
-def _tfidf(k: int) -> str:
+def _tfidf(k: int, docs: str = _DOCS, queries: str = _ASKED) -> str:
+    n = f"(SELECT count(*) FROM {docs})"
+
     def grams(text: str, key: str, source: str) -> str:
         return f"""(SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term
             FROM (SELECT {key}, {sql.index_words(text)} AS t FROM {source})) GROUP BY ALL)"""
 
     return _ranked(
         f"""
-        WITH post AS {grams('text', 'doc_id', 'documents')}, asked AS {grams('query_text', 'qid', '(SELECT * FROM queries WHERE qid % 20 = 0)')},
+        WITH post AS {grams('text', 'doc_id', docs)}, asked AS {grams('text', 'qid', queries)},
         stats AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM post GROUP BY term),
-        vocab AS (SELECT term, ln((1.0 + {_N}) / (1 + df)) + 1 AS idf FROM stats WHERE df >= 2 AND df <= CAST(0.95 AS DOUBLE) * {_N} ORDER BY tf DESC, term LIMIT 50000),
+        vocab AS (SELECT term, ln((1.0 + {n}) / (1 + df)) + 1 AS idf FROM stats WHERE df >= 2 AND df <= CAST(0.95 AS DOUBLE) * {n} ORDER BY tf DESC, term LIMIT 50000),
         dw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM post JOIN vocab USING (term)), qw AS (SELECT qid, term, (1 + ln(tf)) * idf AS w FROM asked JOIN vocab USING (term)),
         dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY doc_id), qn AS (SELECT qid, sqrt(sum(w * w)) AS n FROM qw GROUP BY qid),
         dots AS (SELECT qid, doc_id, sum(q.w * d.w) AS dot FROM qw q JOIN dw d USING (term) GROUP BY ALL)
@@ -270,11 +329,35 @@ _RUN = _ranked("SELECT qid, rec_id AS doc_id, max(score) AS score FROM evidence
 _REL = """SELECT DISTINCT e.qid, e.rec_id AS doc_id FROM evidence e JOIN queries q ON q.qid = e.qid JOIN news n ON n.rec_id = e.rec_id AND lower(trim(n.subject)) = lower(trim(q.relevant_subject))"""
 _CUT = lambda k: f"""coalesce(CAST(sum(CASE WHEN rel = 1 AND rank <= {k} THEN 1 ELSE 0 END) AS DOUBLE), 0) / {k} AS p_{k}, coalesce(CAST(sum(CASE WHEN rel = 1 AND rank <= {k} THEN 1 ELSE 0 END) AS DOUBLE), 0) / n AS r_{k},
   coalesce(sum(CASE WHEN rel = 1 AND rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END), 0) / list_sum(list_transform(range(1, least(n, {k}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_{k}"""
-_PER_QUERY = f"""
-  WITH run AS ({_RUN}), rel AS ({_REL}), tot AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
+_TOT = "SELECT qid, n FROM queries JOIN (SELECT lower(trim(subject)) AS s, count(*) AS n FROM news WHERE subject IS NOT NULL GROUP BY 1) ON s = lower(trim(relevant_subject))"
+
+
+def _per_query(run: str, rel: str, tot: str) -> str:
+    return f"""
+  WITH run AS ({run}), rel AS ({rel}), tot AS ({tot}),
   jud AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS met FROM (SELECT run.*, CASE WHEN rel.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM run LEFT JOIN rel USING (qid, doc_id) WHERE rank <= 10))
   SELECT tot.qid, {", ".join(_CUT(k) for k in E.CUTS)}, coalesce(sum(CASE WHEN rel = 1 THEN met / rank ELSE 0 END), 0) / n AS ap, coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0) AS rr
   FROM tot LEFT JOIN jud USING (qid) GROUP BY tot.qid, n"""
+
+
+_SUBJECTS = "(SELECT rec_id AS doc_id, title, text, lower(trim(subject)) AS s FROM news WHERE text IS NOT NULL AND subject IS NOT NULL)"
+_TITLES = f"""(SELECT doc_id AS qid, title AS text, t.s, n FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS r FROM {_SUBJECTS} WHERE title IS NOT NULL) t
+  JOIN (SELECT s, count(*) AS n FROM {_SUBJECTS} GROUP BY s HAVING count(*) >= 10) USING (s) WHERE r <= 3)"""
+_METRICS = [f"{m}_{k}" for k in E.CUTS for m in ("p", "r", "ndcg")]
+
+
+def _evaluated_sql(run: str) -> str:
+    rel = f"SELECT q.qid, d.doc_id FROM {_TITLES} q JOIN {_SUBJECTS} d ON q.s = d.s"
+    return f"SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)}, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr FROM ({_per_query(run, rel, f'SELECT qid, n FROM {_TITLES}')})"
+
+
+_NB = f"""(WITH tok AS (SELECT label, unnest({sql.index_words('text')}) AS term FROM news WHERE label IN (0, 1) AND text IS NOT NULL),
+  cnt AS (SELECT term, count_if(label = 0) AS n0, count_if(label = 1) AS n1 FROM tok GROUP BY term), all_of AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM cnt)
+  SELECT term, ln((n1 + CAST(0.3 AS DOUBLE)) / (t1 + CAST(0.3 AS DOUBLE) * v)) - ln((n0 + CAST(0.3 AS DOUBLE)) / (t0 + CAST(0.3 AS DOUBLE) * v)) AS w FROM cnt, all_of)"""
+_PROB = f"""(SELECT d.doc_id, 1 / (1 + exp(-(coalesce(s, 0) + (SELECT ln(count_if(label = 1)) - ln(count_if(label = 0)) FROM news WHERE text IS NOT NULL)))) AS prob_real
+  FROM documents d LEFT JOIN (SELECT doc_id, sum(tf * w) AS s FROM {_POST} JOIN {_NB} USING (term) GROUP BY doc_id) USING (doc_id))"""
+
+
 def _search(k: int) -> str:
     claim, words = "q.query_text", sql.overlap_words("coalesce(q.query_text, '')")
     pool = _bm25(100)
@@ -285,16 +368,14 @@ def _search(k: int) -> str:
       WITH r AS ({rer}), a AS (SELECT r.*, coalesce({claim}, '') AS claim, substring(coalesce(d.title, ''), 1, 120) AS title, coalesce(d.text, '') AS text, {words} AS w, {sql.sentences("coalesce(d.text, '')")} AS s FROM r JOIN queries q USING (qid) JOIN documents d ON d.doc_id = r.doc_id),
       b AS (SELECT *, list_sort(list_transform(range(1, len(s) + 1), lambda i: {{'o': -len(list_intersect(w, {sql.overlap_words('s[i]')})), 'i': i}})) AS o FROM a),
       c AS (SELECT *, substring(CASE WHEN len(s) = 0 THEN text WHEN len(s) <= 3 THEN array_to_string(s, ' ') WHEN len(w) = 0 THEN array_to_string(s[1:3], ' ') ELSE array_to_string(list_transform(o[1:3], lambda x: s[x.i]), ' ') END, 1, 700) AS evidence FROM b),
-      e AS (SELECT *, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_intersect(w, {ev})) / CAST(len(w) AS DOUBLE) END AS share, {no.format("claim")} <> {no.format("evidence")} AS apart FROM c),
+      e AS (SELECT *, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_intersect(w, {ev})) / CAST(len(w) AS DOUBLE) END AS share, {no.format("claim")} <> {no.format("evidence")} AS apart, prob_real FROM c JOIN {_PROB} USING (doc_id)),
       f AS (SELECT *, CASE WHEN apart THEN 0.0 ELSE share END AS supports, CASE WHEN apart THEN share ELSE 0.0 END AS refutes FROM e),
       g AS (SELECT *, {_VERDICT} AS verdict FROM f),
-      h AS (SELECT *, least(greatest(0.5 + 0.35 * CASE verdict WHEN 'SUPPORTS' THEN supports WHEN 'REFUTES' THEN -refutes ELSE 0 END, 0.0), 1.0) AS combined FROM g)
-      SELECT qid, rank, doc_id, title, trim(substring(text, 1, 240)) || '…' AS snippet, score, evidence, round(supports, 6) AS supports, round(refutes, 6) AS refutes, verdict, round(combined, 6) AS combined,
+      h AS (SELECT *, least(greatest(prob_real + 0.35 * CASE verdict WHEN 'SUPPORTS' THEN supports WHEN 'REFUTES' THEN -refutes ELSE 0 END, 0.0), 1.0) AS combined FROM g)
+      SELECT qid, rank, doc_id, title, trim(substring(text, 1, 240)) || '…' AS snippet, score, evidence, round(prob_real, 6) AS prob_real, round(supports, 6) AS supports, round(refutes, 6) AS refutes, verdict, round(combined, 6) AS combined,
         CASE WHEN combined >= 0.5 THEN 'REAL' ELSE 'FAKE' END AS decision, round(abs(combined - 0.5), 6) AS confidence FROM h"""
 
 
-_METRICS = [f"{m}_{k}" for k in E.CUTS for m in ("p", "r", "ndcg")]
-
 ORACLE = {
     "postings": f"SELECT * FROM {_POST}",
     "term_stats": f"SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM {_POST} GROUP BY term",
@@ -330,10 +411,14 @@ ORACLE = {
       p AS (SELECT evid_id, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM a)
       SELECT evid_id, round(a, 6) AS s, round(b, 6) AS r, round(c, 6) AS n, CASE WHEN a >= b AND a >= c THEN 'SUPPORTS' WHEN b >= c THEN 'REFUTES' ELSE 'NEI' END AS best, CAST(least(floor(abs(a - 0.5) * 200), 100) AS INT) AS bar FROM p""",
     "search_and_verify": _search(5),
-    "search_consensus": f"""SELECT qid, s AS supports, r AS refutes, n AS nei, s + r + n AS total, CASE WHEN s >= r AND s >= n THEN 'SUPPORTS' WHEN r >= n THEN 'REFUTES' ELSE 'NEI' END AS dominant
+    "search_consensus": f"""SELECT qid, s AS supports, r AS refutes, n AS nei, s + r + n AS total, CAST(floor(100 * (s / CAST(s + r + n AS DOUBLE))) AS INT) AS percent_s, CAST(floor(100 * (r / CAST(s + r + n AS DOUBLE))) AS INT) AS percent_r,
+      CAST(100 - floor(100 * (s / CAST(s + r + n AS DOUBLE))) - floor(100 * (r / CAST(s + r + n AS DOUBLE))) AS INT) AS percent_n, CASE WHEN s >= r AND s >= n THEN 'SUPPORTS' WHEN r >= n THEN 'REFUTES' ELSE 'NEI' END AS dominant
       FROM (SELECT qid, count_if(verdict = 'SUPPORTS')::BIGINT AS s, count_if(verdict = 'REFUTES')::BIGINT AS r, count_if(verdict = 'NEI')::BIGINT AS n FROM ({_search(5)}) GROUP BY qid)""",
-    "ir_metrics": f"SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)}, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr FROM ({_PER_QUERY})",
-    "ir_metrics_by_query": f"SELECT qid, {', '.join(f'round({m}, 6) AS {m}' for m in [*_METRICS, 'ap', 'rr'])} FROM ({_PER_QUERY})",
+    "ir_metrics": f"SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)}, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr FROM ({_per_query(_RUN, _REL, _TOT)})",
+    "ir_metrics_by_query": f"SELECT qid, {', '.join(f'round({m}, 6) AS {m}' for m in [*_METRICS, 'ap', 'rr'])} FROM ({_per_query(_RUN, _REL, _TOT)})",
+    "nb_document_scores": f"SELECT doc_id, round(prob_real, 6) AS prob_real FROM {_PROB}",
+    "ir_metrics_bm25": _evaluated_sql(_bm25(10, _SUBJECTS, _TITLES)),
+    "ir_metrics_tfidf": _evaluated_sql(_tfidf(10, _SUBJECTS, _TITLES)),
     "subject_truth": """
       WITH s AS (SELECT lower(trim(subject)) AS s, count(*) AS relevant FROM news WHERE subject IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
       q AS (SELECT qid, lower(trim(relevant_subject)) AS s, row_number() OVER (PARTITION BY lower(trim(relevant_subject)) ORDER BY qid) AS r FROM queries WHERE relevant_subject IS NOT NULL)
