@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,10 +82,12 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
 
 
-def clean_text(text: Column, *, remove_digits: bool = False, min_len: int = 2) -> Column:
-    """``normalise`` without stopwords and words under ``min_len`` letters."""
+def clean_text(text: Column, *, remove_digits: bool = False, min_len: int = 2, lemmatise: Callable[[Column], Column] | None = None) -> Column:
+    """``normalise`` without stopwords and words under ``min_len`` letters; ``lemmatise`` (a function of a column of words
+    parted by spaces, such as ``stem.text_udf(stem.lemma)``) has the rest."""
     kept = F.filter(F.split(normalise(text, remove_digits=remove_digits), " "), lambda t: (F.length(t) >= min_len) & not_stopword(t))
-    return F.array_join(kept, " ")
+    out = F.array_join(kept, " ")
+    return lemmatise(out) if lemmatise else out
 
 
 def join_columns(*columns: str) -> Column:
@@ -102,7 +106,19 @@ def strip_punctuation(token: Column) -> Column:
 
 
 def has_digit(token: Column) -> Column:
-    return token.rlike("[0-9]")
+    return token.rlike(r"\p{Nd}")
+
+
+def is_lower(token: Column) -> Column:
+    """Has letters of case, and all of them are small."""
+    return (F.lower(token) == token) & (F.upper(token) != token)
+
+
+def aligned(text: Column, width: Column, how: str) -> Column:
+    """Padded with spaces to ``width``, left, right or centred (the odd space at the right); longer texts stay whole."""
+    room = F.greatest(width - F.length(text), F.lit(0)).cast("int")
+    before = {"left": F.lit(0), "right": room, "centre": F.floor(room / 2).cast("int")}[how]
+    return F.concat(F.repeat(F.lit(" "), before), text, F.repeat(F.lit(" "), room - before))
 
 
 def sentences(text: Column) -> Column:

@@ -76,10 +76,10 @@ def nb_weights(df: DataFrame, alpha: float = 0.3) -> tuple[DataFrame, Column]:
     tokens = rows.select("label", F.explode(F.filter(T.words(F.col("text")), T.not_stopword)).alias("term"))
     side = lambda c: F.sum(F.when(F.col("label") == c, 1).otherwise(0))
     counts = tokens.groupBy("term").agg(side(0).alias("n0"), side(1).alias("n1"))
-    total = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("*").alias("v"))  # one row
-    p = lambda n, t: F.log((F.col(n) + alpha) / (F.col(t) + alpha * F.col("v")))
+    total = counts.agg(F.struct(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("*").alias("v"))).scalar()
+    p = lambda n, t: F.log((F.col(n) + alpha) / (total[t] + alpha * total["v"]))
     prior = rows.agg((F.log(side(1)) - F.log(side(0))).alias("p")).scalar()
-    return counts.join(F.broadcast(total)).select("term", (p("n1", "t1") - p("n0", "t0")).alias("w")), prior
+    return counts.select("term", (p("n1", "t1") - p("n0", "t0")).alias("w")), prior
 
 
 def nb_probabilities(corpus: DataFrame, weights: DataFrame, prior: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
@@ -24,12 +24,15 @@ def token(i: Column, shift: int = 0) -> Column:
     return F.get("tokens", i + shift)
 
 
-def places(corpus: DataFrame, wanted: Callable[[Column], Column], **build: Callable[[Column], Column]) -> DataFrame:
+def places(corpus: DataFrame, wanted: Callable[[Column], Column], given: dict[str, Column] | None = None, **build: Callable[[Column], Column]) -> DataFrame:
     """(doc_id, build...) of the places i of each document for which ``wanted(i)`` holds. The document's token array is read
-    by place, never copied to each of its rows."""
+    by place, never copied to each of its rows. ``given`` names values that are the same for all rows."""
     all_places = F.transform("tokens", lambda t, i: i)
     found = F.transform(F.filter(all_places, wanted), lambda i: F.struct(*[f(i).alias(n) for n, f in build.items()]))
-    return I.analysed(corpus, stop=False).select("doc_id", F.explode(found).alias("h")).select("doc_id", "h.*")
+    tokens = I.analysed(corpus, stop=False)
+    for name, value in (given or {}).items():
+        tokens = tokens.select("*", I.fixed(value).alias(name))
+    return tokens.select("doc_id", F.explode(found).alias("h")).select("doc_id", "h.*")
 
 
 def concordance(corpus: DataFrame, word: str, *, width: int = 4, lines: int | None = None) -> DataFrame:
@@ -157,14 +160,42 @@ def ngram_model(corpus: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("a").agg(F.sum("n").alias("na")), "a").select("a", "b", "n", (F.col("n") / F.col("na")).alias("p"))
 
 
-def generate(model: DataFrame, start: str, length: int = 20) -> list[str]:
-    """The likeliest continuation of ``start``: each step one lookup in the model's best followers."""
-    best = model.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("p").desc(), "b"))).where("r = 1").select("a", "b").cache()
+def generate(model: DataFrame, start: str, length: int = 20, *, seed: int | None = None) -> list[str]:
+    """A continuation of ``start``: the likeliest, or with a ``seed`` one drawn by the model's probabilities (the least of
+    -ln(u) / p over the followers, u from a hash). Each step is one lookup that gives one row."""
+    model = model.cache()
     out = [start]
     while len(out) < length:
-        row = best.where(F.col("a") == out[-1]).first()
+        if seed is None:
+            order = [F.col("p").desc(), F.col("b")]
+        else:
+            u = (F.pmod(F.xxhash64("b", F.lit(len(out)), F.lit(seed)), F.lit(1_000_000_007)) + 0.5) / 1_000_000_007.0
+            order = [-F.log(u) / F.col("p"), F.col("b")]
+        row = model.where(F.col("a") == out[-1]).orderBy(*order).select("b").first()
         if row is None:
             break
         out.append(row["b"])
-    best.unpersist()
+    model.unpersist()
     return out
+
+
+def stem_lines(corpus: DataFrame, word: str, stemmer: Callable[[Column], Column], *, width: int = 40, lines: int | None = 5) -> DataFrame:
+    """(doc_id, pos, left_side, right_side): the words with the stem of ``word`` and their surroundings, a quarter of
+    ``width`` words at either side, the left one cut and padded to its last ``width`` characters, the right one (from the
+    word on) to its first; with ``lines`` so many first places. The forms of the stem are one array of a subquery."""
+    spark = corpus.sparkSession
+    key = spark.createDataFrame([(word,)], "w string").select(F.lower(stemmer(F.col("w"))).alias("key"))
+    terms = I.analysed(corpus, stop=False).select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+    forms = terms.withColumn("key", F.lower(stemmer(F.col("term")))).join(F.broadcast(key), "key").agg(F.collect_set("term").alias("f")).scalar()
+    n = max(1, width // 4)
+    out = places(
+        corpus,
+        lambda i: F.array_contains("forms", token(i)),
+        {"forms": forms},
+        pos=lambda i: i,
+        before=lambda i: F.array_join(F.slice("tokens", F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n))), " "),
+        after=lambda i: F.array_join(F.slice("tokens", i + 1, F.lit(n)), " "),
+    )
+    left = F.lpad(F.right("before", F.lit(width)), width, " ")
+    out = out.select("doc_id", "pos", left.alias("left_side"), F.rpad("after", width, " ").alias("right_side"))
+    return out.orderBy("doc_id", "pos").limit(lines) if lines else out

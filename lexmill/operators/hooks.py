@@ -22,16 +22,16 @@ def map_texts(df: DataFrame, key: str, text: str, factory: Callable[[], Callable
     return df.select(key, F.col(text).alias("t")).mapInPandas(run, f"{key} {key_type}, value {kind}")
 
 
-def map_pairs(df: DataFrame, keys: list[str], claim: str, evidence: str, factory: Callable[[], Callable[[list[tuple[str, str]]], list[tuple[float, float, float]]]], *, chars: int = 800) -> DataFrame:
-    """(keys..., p_supports, p_refutes, p_nei): the model gives the three by name order for each (evidence, claim), the
-    evidence cut to ``chars``."""
+def map_pairs(df: DataFrame, keys: list[str], claim: str, evidence: str, factory: Callable[[], Callable[[list[tuple[str, str]]], list[tuple[float, float, float]]]], *, chars: int = 800, order: tuple[str, ...] = ("supports", "refutes", "nei")) -> DataFrame:
+    """(keys..., p_supports, p_refutes, p_nei): the model gives three values for each (evidence, claim), in the given
+    ``order`` of names (models often have refutes, nei, supports); the evidence is cut to ``chars``."""
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for b in batches:
             pairs = [(e if isinstance(e, str) else "", c if isinstance(c, str) else "") for e, c in zip(b["e"], b["c"])]
-            out = pd.DataFrame(model(pairs), columns=["p_supports", "p_refutes", "p_nei"], dtype=float)
+            out = pd.DataFrame(model(pairs), columns=[f"p_{o}" for o in order], dtype=float)[["p_supports", "p_refutes", "p_nei"]]
             yield pd.concat([b[keys].reset_index(drop=True), out], axis=1)
 
     rows = df.select(*keys, F.col(claim).alias("c"), F.substring(evidence, 1, chars).alias("e"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import classify as K
 from lexmill.operators import evaluation as E
 from lexmill.operators import index as I
 from lexmill.operators import retrieval as R
@@ -160,3 +162,55 @@ def search_index(index: StoredIndex, queries: DataFrame, *, k: int = 10, k1: flo
     post = index.postings.join(I.hinted(asked, few), "term").join(index.lengths, "doc_id")
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return R.ranked(post.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k)
+
+
+def fit_retriever(name: str, corpus: DataFrame, path: str | None = None, *, refit: bool = False) -> Callable[..., DataFrame]:
+    """A function (queries, k) -> run of the named retriever over corpus(doc_id, text). With ``path`` its index is the one
+    kept there, if made from this very corpus, else made anew; all queries of a frame are searched at once."""
+    if path is None or name not in R.RETRIEVERS:
+        search = R.retriever(name)
+        return lambda queries, k=10: search(corpus, queries, k=k)
+    if name == "bm25":
+        index = stored_index(corpus, f"{path}/bm25", refit=refit)
+        return lambda queries, k=10: search_index(index, queries, k=k)
+    if name == "tfidf":
+        kept = stored_tfidf(corpus, f"{path}/tfidf", refit=refit)
+        return lambda queries, k=10: search_tfidf(kept, queries, k=k)
+    vectors = stored_vectors(corpus, f"{path}/vectors", refit=refit)
+    near = lambda queries, k=10: R.dense(vectors, R.encoded(queries, "qid"), k=k)
+    if name == "semantic":
+        return near
+    words = fit_retriever("bm25", corpus, path, refit=refit)
+    return lambda queries, k=10: R.hybrid(words(queries, R.pool_size(k)), near(queries, R.pool_size(k)), k=k)
+
+
+class Searcher:
+    """A corpus (doc_id, title, text) with a retriever, a classifier and a history of its searches."""
+
+    def __init__(self, corpus: DataFrame, *, model: str = "bm25", index: str | None = None, refit: bool = False, labelled: DataFrame | None = None, classifier: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """``labelled`` (text, label) trains a naive Bayes classifier; ``classifier`` is one ready (see
+        ``search_and_verify``)."""
+        self.corpus, self.model = corpus, model
+        self.find = fit_retriever(model, corpus.select("doc_id", "text"), index, refit=refit)
+        if classifier is None and labelled is not None:
+            weights, prior = K.nb_weights(labelled)
+            classifier = lambda texts: K.nb_probabilities(texts, weights, prior)
+        self.classifier = classifier
+        self.history: list[dict] = []
+
+    def search(self, queries: DataFrame, *, k: int = 10, pool: int = 100, **options) -> DataFrame:
+        """``search_and_verify`` with this searcher's index and classifier."""
+        depth = max(pool, k) if options.get("reranker", R.lexical_score) else k
+        self.history.append({"model": self.model, "k": k, "options": sorted(options)})
+        return search_and_verify(self.corpus, queries, k=k, pool=pool, model=self.model, candidates=self.find(queries, depth), classifier=self.classifier, **options)
+
+
+def warm_up(corpus: DataFrame, path: str, *, labelled: DataFrame | None = None, models: tuple[str, ...] = ("bm25", "tfidf", "semantic"), refit: bool = False) -> list[tuple[str, float]]:
+    """Makes the indexes at ``path`` and runs a search over each; (step, seconds)."""
+    spark, took = corpus.sparkSession, []
+    asked = spark.createDataFrame([(1, "warm up")], "qid int, text string")
+    for model in models:
+        began = time.perf_counter()
+        Searcher(corpus, model=model, index=path, refit=refit, labelled=labelled).search(asked, k=1).count()
+        took.append((model, round(time.perf_counter() - began, 2)))
+    return took

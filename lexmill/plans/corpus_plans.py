@@ -53,6 +53,11 @@ def stem_concordance(spark: SparkSession, d: str) -> DataFrame:
     return C.inverted_positions(texts(spark, d), S.word_udf(S.porter))
 
 
+def stem_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines around the words with the stem of 'closed'."""
+    return C.stem_lines(texts(spark, d), "closed", S.word_udf(S.porter), lines=None)
+
+
 def positional_index(spark: SparkSession, d: str) -> DataFrame:
     return C.inverted_positions(texts(spark, d)).select("stem", "doc_id", F.array_join(F.transform("places", lambda p: p.cast("string")), " ").alias("places"))
 
@@ -113,7 +118,7 @@ def text_lengths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        freqdist_topn, cond_freqdist, lexical_diversity, word_share, words_per_sentence, concordance, stem_concordance, positional_index, dispersion, similar_words, common_contexts, bigrams, collocations, ngram_model,
+        freqdist_topn, cond_freqdist, lexical_diversity, word_share, words_per_sentence, concordance, stem_concordance, stem_lines, positional_index, dispersion, similar_words, common_contexts, bigrams, collocations, ngram_model,
         token_pattern_search, hypernym_pairs, phrase_count, vowel_sequences, length_histogram, text_lengths,
     )
 }

@@ -115,6 +115,14 @@ def set_intersection(spark: SparkSession, d: str) -> DataFrame:
     return _vocab(spark, d).intersect(_title_terms(spark, d))
 
 
+def arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    """Sum, difference, product, quotient, whole quotient, rest and power of whole numbers."""
+    n = F.col("p_size").cast("long")
+    return table(spark, d, "part").select(
+        "p_partkey", (n + 3).alias("plus"), (n - 9).alias("minus"), (n * 7).alias("times"), F.round(n / 4, 6).alias("quotient"), F.floor(n / 4).alias("whole"), (n % 4).alias("rest"), F.pow(n, F.lit(3)).cast("long").alias("power")
+    )
+
+
 def distinct_subjects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "news").select("subject").distinct()
 
@@ -123,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unified_records, label_remap, class_balance, subject_label_crosstab, group_sizes, stratified_sample, split_70_15_15, split_shares, class_weights, confusion_matrix, classification_report, nb_counts, logreg_proba, nb_proba,
-        vocabulary_sides, set_difference, set_intersection, distinct_subjects,
+        vocabulary_sides, set_difference, set_intersection, distinct_subjects, arithmetic,
     )
 }
 
@@ -160,5 +168,6 @@ ORACLE = {
     "vocabulary_sides": f"SELECT coalesce(a.term, b.term) AS term, CASE WHEN b.term IS NULL THEN 'left' WHEN a.term IS NULL THEN 'right' ELSE 'both' END AS side FROM {_TITLES} a FULL JOIN {_VOC} b ON a.term = b.term",
     "set_difference": f"SELECT * FROM {_VOC} EXCEPT SELECT * FROM {_TITLES}",
     "set_intersection": f"SELECT * FROM {_VOC} INTERSECT SELECT * FROM {_TITLES}",
+    "arithmetic": "SELECT p_partkey, CAST(p_size + 3 AS BIGINT) AS plus, CAST(p_size - 9 AS BIGINT) AS minus, CAST(p_size * 7 AS BIGINT) AS times, round(p_size / CAST(4 AS DOUBLE), 6) AS quotient, CAST(p_size // 4 AS BIGINT) AS whole, CAST(p_size % 4 AS BIGINT) AS rest, CAST(pow(p_size, 3) AS BIGINT) AS power FROM part",
     "distinct_subjects": "SELECT DISTINCT subject FROM news",
 }

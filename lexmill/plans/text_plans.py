@@ -33,10 +33,13 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "liar").select("rec_id", T.normalise(F.col("statement")).alias("normalised"))
 
 
-def _stages(df: DataFrame) -> DataFrame:
-    """(qid, tokens, stripped, lowercase, no_numbers, no_stopwords) as arrays."""
-    marks = F.regexp_extract_all(F.replace(F.col("query_text"), F.lit("-"), F.lit(" ")), F.lit(r"[A-Za-z0-9_'’]+|[^A-Za-z0-9_\s]"), F.lit(0))
-    out = df.where("query_text is not null").select("qid", marks.alias("tokens"))
+STAGES = ("tokens", "stripped", "lowercase", "no_numbers", "no_stopwords")
+
+
+def _stages(df: DataFrame, key: str, text: str, tokens: F.Column | None = None) -> DataFrame:
+    """(key, tokens, stripped, lowercase, no_numbers, no_stopwords) as arrays; a null text counts as ''."""
+    marks = F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit("-"), F.lit(" ")), F.lit(r"[A-Za-z0-9_'’]+|[^A-Za-z0-9_\s]"), F.lit(0))
+    out = df.select(key, (marks if tokens is None else tokens).alias("tokens"))
     out = out.withColumn("stripped", F.transform("tokens", T.strip_punctuation))
     out = out.withColumn("lowercase", F.filter(F.transform("stripped", F.lower), lambda t: t != ""))
     out = out.withColumn("no_numbers", F.filter("lowercase", lambda t: ~T.has_digit(t)))
@@ -44,19 +47,38 @@ def _stages(df: DataFrame) -> DataFrame:
 
 
 def preprocess_stages(spark: SparkSession, d: str) -> DataFrame:
-    names = ("tokens", "stripped", "lowercase", "no_numbers", "no_stopwords")
-    return _stages(table(spark, d, "queries")).select("qid", *[F.array_join(n, " ").alias(n) for n in names])
+    return _stages(table(spark, d, "queries").where("query_text is not null"), "qid", "query_text").select("qid", *[F.array_join(n, " ").alias(n) for n in STAGES])
 
 
-def preprocess_full(spark: SparkSession, d: str) -> DataFrame:
+def preprocess_records(spark: SparkSession, d: str) -> DataFrame:
+    """The stages of titles and texts, a row a record and field; an empty field has empty stages."""
+    out = None
+    for field in ("title", "text"):
+        rows = _stages(news(spark, d), "rec_id", field).select("rec_id", F.lit(field).alias("field"), *[F.array_join(n, " ").alias(n) for n in STAGES])
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _all_stages(df: DataFrame, key: str, text: str) -> DataFrame:
     """All eight stages, with the Treebank-like tokeniser, stems and lemmas."""
-    base = table(spark, d, "queries").where("query_text is not null").select("qid", K.treebank_words(F.replace(F.col("query_text"), F.lit("-"), F.lit(" "))).alias("tokens"))
-    base = base.withColumn("stripped", F.transform("tokens", T.strip_punctuation)).withColumn("lowercase", F.filter(F.transform("stripped", F.lower), lambda t: t != ""))
-    base = base.withColumn("no_numbers", F.filter("lowercase", lambda t: ~T.has_digit(t))).withColumn("kept", F.array_join(F.filter("no_numbers", T.not_stopword), " "))
-    return base.select(
-        "qid", *[F.array_join(c, " ").alias(c) for c in ("tokens", "stripped", "lowercase", "no_numbers")], F.col("kept").alias("no_stopwords"),
-        S.text_udf(S.porter)("kept").alias("porter"), S.text_udf(S.snowball)("kept").alias("snowball"), S.text_udf(S.verb_lemma)("kept").alias("lemmatized"),
-    )
+    split = K.treebank_words(F.replace(F.coalesce(text, F.lit("")), F.lit("-"), F.lit(" ")))
+    base = _stages(df, key, text, split).select(key, *[F.array_join(c, " ").alias(c) for c in STAGES])
+    return base.select("*", S.text_udf(S.porter)("no_stopwords").alias("porter"), S.text_udf(S.snowball)("no_stopwords").alias("snowball"), S.text_udf(S.verb_lemma)("no_stopwords").alias("lemmatized"))
+
+
+def preprocess_full(spark: SparkSession, d: str) -> DataFrame:
+    return _all_stages(table(spark, d, "queries").where("query_text is not null"), "qid", "query_text")
+
+
+def preprocess_full_records(spark: SparkSession, d: str) -> DataFrame:
+    """The eight stages of titles and texts apart."""
+    title, text = (_all_stages(news(spark, d), "rec_id", f) for f in ("title", "text"))
+    return title.withColumn("field", F.lit("title")).unionByName(text.withColumn("field", F.lit("text")))
+
+
+def clean_lemmatised(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned texts with lemmas in place of the words."""
+    return news(spark, d).select("rec_id", T.clean_text(F.col("text"), lemmatise=S.text_udf(S.lemma)).alias("clean_text"))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +108,12 @@ def stemmer_agreement(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(same("p", "l").alias("porter_lancaster"), same("p", "n").alias("porter_lemma"), F.count("*").alias("terms"))
 
 
+def stem_table(spark: SparkSession, d: str) -> DataFrame:
+    """The normalisers side by side."""
+    kinds = {"porter": S.porter, "snowball": S.snowball, "lancaster": S.lancaster, "noun": S.lemma, "verb": S.verb_lemma}
+    return _terms(spark, d).select("term", *[S.word_udf(f)("term").alias(n) for n, f in kinds.items()])
+
+
 def regex_stem(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("term", T.regex_stem(F.col("term")).alias("stem"))
 
@@ -118,12 +146,24 @@ def regex_battery(spark: SparkSession, d: str) -> DataFrame:
     return hits.select(F.explode(F.array(*[F.struct(F.lit(n).alias("pattern"), F.coalesce(F.col(n), F.lit(0)).alias("tokens")) for n in FULL])).alias("x")).select("x.*")
 
 
+def regex_matches(spark: SparkSession, d: str) -> DataFrame:
+    """(pattern, token, n): the tokens that each search pattern finds."""
+    counted = _raw_tokens(spark, d).groupBy("token").agg(F.count("*").alias("n"))
+    found = F.filter(F.array(*[F.when(F.col("token").rlike(p), F.lit(n)) for n, p in SEARCH.items()]), lambda x: x.isNotNull())
+    return counted.select(F.explode(found).alias("pattern"), "token", "n")
+
+
+def regex_full_matches(spark: SparkSession, d: str) -> DataFrame:
+    """(token, a column per full-match pattern): the battery over every distinct token."""
+    return _raw_tokens(spark, d).distinct().select("token", *[F.col("token").rlike(f"^(?:{p})$").alias(n) for n, p in FULL.items()])
+
+
 def token_filters(spark: SparkSession, d: str) -> DataFrame:
     """Per record: letters-only tokens, tokens without digits, tokens of two or more characters, lower-case tokens."""
     t = F.split("text", r"[ \t\n]+")
     n = lambda f: F.size(F.filter(t, f))
     return news(spark, d).where("text is not null").select(
-        "rec_id", n(lambda x: x.rlike(r"^\p{L}+$")).alias("alpha"), n(lambda x: ~T.has_digit(x)).alias("no_digit"), n(lambda x: F.length(x) >= 2).alias("long_enough"), n(lambda x: x.rlike("^[a-z]+$")).alias("lower_case"),
+        "rec_id", n(lambda x: x.rlike(r"^\p{L}+$")).alias("alpha"), n(lambda x: ~T.has_digit(x)).alias("no_digit"), n(lambda x: F.length(x) >= 2).alias("long_enough"), n(T.is_lower).alias("lower_case"),
     )
 
 
@@ -172,6 +212,12 @@ def string_operations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects at the left, right and centre of a width that each row sets."""
+    t, width = F.col("subject"), (F.col("rec_id") % 30).cast("int")
+    return news(spark, d).where("subject is not null").select("rec_id", *[T.aligned(t, width, h).alias(f"at_{h}") for h in ("left", "right", "centre")])
+
+
 def truncations(spark: SparkSession, d: str) -> DataFrame:
     return news(spark, d).where("text is not null").select("rec_id", T.short_title(F.col("text")).alias("short_title"), F.substring("title", 1, 120).alias("title_120"), T.snippet(F.col("text")).alias("snippet"), F.substring("text", 1, 300).alias("text_300"))
 
@@ -217,14 +263,26 @@ def term_slices(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_text, clean_corpus, normalise_text, preprocess_stages, preprocess_full, porter_stem, snowball_stem, lancaster_stem, lemma_lookup, stemmer_agreement, regex_stem, compress_vowels, regex_filters,
-        regex_battery, token_filters, tokenizer_counts, treebank_tokens, sentence_split, html_to_text, html_parsed, html_escape, nonascii_chars, char_names, string_operations, truncations, body_between, highlighted,
+        clean_text, clean_corpus, clean_lemmatised, normalise_text, preprocess_stages, preprocess_records, preprocess_full, preprocess_full_records, porter_stem, snowball_stem, lancaster_stem, lemma_lookup, stemmer_agreement, stem_table, regex_stem, compress_vowels, regex_filters, regex_matches, regex_full_matches,
+        regex_battery, token_filters, tokenizer_counts, treebank_tokens, sentence_split, html_to_text, html_parsed, html_escape, nonascii_chars, char_names, string_operations, aligned, truncations, body_between, highlighted,
         wrapped, pipe_records, segmentation, term_slices,
     )
 }
 
 _TERMS = f"(SELECT DISTINCT unnest({sql.words('text')}) AS term FROM news)"
-_STAGE = r"regexp_extract_all(replace(query_text, '-', ' '), '[A-Za-z0-9_''’]+|[^A-Za-z0-9_\s]')"
+
+
+def _stage_sql(source: str, key: str, text: str, more: str = "") -> str:
+    return rf"""
+        WITH a AS (SELECT {key}, regexp_extract_all(replace(coalesce({text}, ''), '-', ' '), '[A-Za-z0-9_''’]+|[^A-Za-z0-9_\s]') AS tokens FROM {source}),
+        b AS (SELECT *, list_transform(tokens, lambda t: regexp_replace(t, '[!-/:-@\[-`{{-~’]', '', 'g')) AS stripped FROM a),
+        c AS (SELECT *, list_filter(list_transform(stripped, lambda t: lower(t)), lambda t: t <> '') AS lowercase FROM b),
+        e AS (SELECT *, list_filter(lowercase, lambda t: NOT regexp_matches(t, '\p{{Nd}}')) AS no_numbers FROM c),
+        f AS (SELECT *, list_filter(no_numbers, lambda t: t NOT IN {sql.STOP}) AS no_stopwords FROM e)
+        SELECT {key}, {more} array_to_string(tokens, ' ') AS tokens, array_to_string(stripped, ' ') AS stripped, array_to_string(lowercase, ' ') AS lowercase,
+          array_to_string(no_numbers, ' ') AS no_numbers, array_to_string(no_stopwords, ' ') AS no_stopwords FROM f"""
+
+
 _TOKENS = r"(SELECT unnest(string_split_regex(text, '[ \t\n]+')) AS token FROM news WHERE text IS NOT NULL)"
 
 
@@ -245,14 +303,12 @@ ORACLE = {
     "clean_text": f"SELECT rec_id, {sql.clean('text')} AS clean_text FROM news",
     "clean_corpus": f"SELECT * FROM (SELECT rec_id, coalesce(title, '') AS title, label, {sql.clean(chr(40) + 'coalesce(title, ' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(text, ' + chr(39) * 2 + '))')} AS clean_text FROM news) WHERE length(clean_text) > 0",
     "normalise_text": f"SELECT rec_id, {sql.normalise('statement')} AS normalised FROM liar",
-    "preprocess_stages": rf"""
-        WITH a AS (SELECT qid, {_STAGE} AS tokens FROM queries WHERE query_text IS NOT NULL),
-        b AS (SELECT *, list_transform(tokens, lambda t: regexp_replace(t, '[!-/:-@\[-`{{-~’]', '', 'g')) AS stripped FROM a),
-        c AS (SELECT *, list_filter(list_transform(stripped, lambda t: lower(t)), lambda t: t <> '') AS lowercase FROM b),
-        e AS (SELECT *, list_filter(lowercase, lambda t: NOT regexp_matches(t, '[0-9]')) AS no_numbers FROM c),
-        f AS (SELECT *, list_filter(no_numbers, lambda t: t NOT IN {sql.STOP}) AS no_stopwords FROM e)
-        SELECT qid, array_to_string(tokens, ' ') AS tokens, array_to_string(stripped, ' ') AS stripped, array_to_string(lowercase, ' ') AS lowercase,
-          array_to_string(no_numbers, ' ') AS no_numbers, array_to_string(no_stopwords, ' ') AS no_stopwords FROM f""",
+    "preprocess_stages": _stage_sql("queries WHERE query_text IS NOT NULL", "qid", "query_text"),
+    "preprocess_records": " UNION ALL ".join(f"SELECT * FROM ({_stage_sql('news', 'rec_id', f, f'{chr(39)}{f}{chr(39)} AS field,')})" for f in ("title", "text")),
+    "regex_matches": " UNION ALL ".join(f"SELECT '{n}' AS pattern, token, count(*) AS n FROM {_TOKENS} WHERE regexp_matches(token, '{p}') GROUP BY token" for n, p in SEARCH.items()),
+    "regex_full_matches": f"SELECT token, {', '.join(f'regexp_matches(token, {chr(39)}^(?:{p})${chr(39)}) AS {n}' for n, p in FULL.items())} FROM (SELECT DISTINCT token FROM {_TOKENS})",
+    "aligned": """WITH a AS (SELECT rec_id, subject, greatest(rec_id % 30 - length(subject), 0)::INT AS room FROM news WHERE subject IS NOT NULL)
+        SELECT rec_id, subject || repeat(' ', room) AS at_left, repeat(' ', room) || subject AS at_right, repeat(' ', room // 2) || subject || repeat(' ', room - room // 2) AS at_centre FROM a""",
     "regex_stem": f"SELECT term, regexp_extract(term, '^(.*?)(ing|ly|ed|ious|ies|ive|es|s|ment)?$', 1) AS stem FROM {_TERMS}",
     "compress_vowels": f"""SELECT term, array_to_string(regexp_extract_all(term, '^[AEIOUaeiou]+|[AEIOUaeiou]+$|[^AEIOUaeiou]'), '') AS compressed,
         array_to_string(list_sort(list_distinct(regexp_extract_all(term, '[aeiou]'))), '') AS vowels, CAST(len(regexp_extract_all(term, '[aeiou]')) AS INT) AS n_vowels FROM {_TERMS}""",
@@ -260,8 +316,8 @@ ORACLE = {
     "regex_battery": _pattern_rows(FULL, True),
     "token_filters": r"""
         WITH a AS (SELECT rec_id, string_split_regex(text, '[ \t\n]+') AS t FROM news WHERE text IS NOT NULL)
-        SELECT rec_id, CAST(len(list_filter(t, lambda x: regexp_matches(x, '^\p{L}+$'))) AS INT) AS alpha, CAST(len(list_filter(t, lambda x: NOT regexp_matches(x, '[0-9]'))) AS INT) AS no_digit,
-          CAST(len(list_filter(t, lambda x: length(x) >= 2)) AS INT) AS long_enough, CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[a-z]+$'))) AS INT) AS lower_case FROM a""",
+        SELECT rec_id, CAST(len(list_filter(t, lambda x: regexp_matches(x, '^\p{L}+$'))) AS INT) AS alpha, CAST(len(list_filter(t, lambda x: NOT regexp_matches(x, '\p{Nd}'))) AS INT) AS no_digit,
+          CAST(len(list_filter(t, lambda x: length(x) >= 2)) AS INT) AS long_enough, CAST(len(list_filter(t, lambda x: lower(x) = x AND upper(x) <> x)) AS INT) AS lower_case FROM a""",
     "tokenizer_counts": rf"""SELECT rec_id, CAST(len(list_filter(string_split_regex(trim(statement), '\s+'), lambda t: t <> '')) AS INT) AS n_split, CAST(len(string_split_regex(statement, '[ \t\n]+')) AS INT) AS n_resplit,
         CAST(len(regexp_extract_all(statement, '{K.WORD_RUN}')) AS INT) AS n_words, CAST(len(regexp_extract_all(statement, '{K.HYPHENATED.replace("'", "''")}')) AS INT) AS n_hyphenated,
         CAST(len(regexp_extract_all(statement, '{K.VERBOSE.replace("'", "''")}')) AS INT) AS n_verbose FROM liar WHERE statement IS NOT NULL""",

@@ -7,12 +7,25 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.functions.tokenize import decode_bytes
+from lexmill.operators import sampling
 
 # The statements table's columns, in file order, and its classes as 1 and 0.
 LIAR_SCHEMA = "id string, label_str string, statement string, subject string, speaker string, job string, state string, party string, barely_true_n int, false_n int, half_true_n int, mostly_true_n int, pants_on_fire_n int, context string"
 LIAR_REAL, LIAR_FAKE = ("true", "mostly-true", "half-true"), ("barely-true", "false", "pants-fire")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df, just read from files, with ``row``: its place from 0 in file order, over files by name. Rows are numbered within
+    the stretch of a file that one task reads, to which the sizes of the stretches before are added; only the table of
+    stretches (one row a task) is summed in one place."""
+    at = ["_file", "_start"]
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    local = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*at).orderBy("_at")))
+    sizes = rows.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = sizes.select(*at, (F.sum("_n").over(Window.orderBy(*at)) - F.col("_n")).alias("_before"))
+    return local.join(F.broadcast(before), at).select(*df.columns, (F.col("_r") + F.col("_before") - 1).alias("row"))
+
+
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: value."""
     return spark.read.text(path, wholetext=True)
@@ -68,9 +81,9 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(term, idx): one term a line, idx its place."""
-    rows = lines(spark, path).withColumn("at", F.monotonically_increasing_id())
-    return rows.select(F.col("value").alias("term"), (F.row_number().over(Window.orderBy("at")) - 1).alias("idx"))  # a vocabulary file is small
+    """(term, idx): one term a line, idx its place among the lines that aren't blank."""
+    rows = numbered(spark.read.text(path).where(F.length(F.trim("value")) > 0))
+    return rows.select(F.trim("value").alias("term"), F.col("row").alias("idx"))
 
 
 def judgements(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +93,9 @@ def judgements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dense_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, values) of one row of numbers a line; row_id follows the file order within a partition."""
-    return lines(spark, path).select(F.monotonically_increasing_id().alias("row_id"), F.transform(F.split("value", r"\s+"), lambda x: x.cast("double")).alias("values"))
+    """(row_id, values) of one row of numbers a line; row_id is its place in the file."""
+    rows = numbered(spark.read.text(path).where(F.length(F.trim("value")) > 0))
+    return rows.select(F.col("row").alias("row_id"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("values"))
 
 
 def _required(spark: SparkSession, paths: list[str]) -> None:
@@ -96,14 +110,20 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
-def labelled_pair(spark: SparkSession, fake: str, real: str) -> DataFrame:
+def labelled_pair(spark: SparkSession, fake: str, real: str, *, sample_size: int | None = None, seed: int = 42) -> DataFrame:
     """(id, title, text, subject, label) of two CSV files; fake 0, real 1. Rows without text drop out; a missing title or
-    subject is ''; the id is a hash of the row, equal in every run."""
+    subject is ''; the id is the row's place among those kept, the fake file's first. With ``sample_size`` at most half of
+    it of each class, by hashed order."""
     _required(spark, [fake, real])
-    both = _csv(spark, fake).withColumn("label", F.lit(0)).unionByName(_csv(spark, real).withColumn("label", F.lit(1)), allowMissingColumns=True).dropna(subset=["text"])
-    col = lambda c: F.coalesce(F.col(c), F.lit("")) if c in both.columns else F.lit("")
-    key = F.xxhash64(col("title"), F.col("text"), col("subject"), "label").cast("string")
-    return both.select(key.alias("id"), col("title").alias("title"), "text", col("subject").alias("subject"), "label")
+    sides = []
+    for label, path in ((0, fake), (1, real)):
+        rows = numbered(_csv(spark, path).dropna(subset=["text"]))
+        col = lambda c, rows=rows: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+        sides.append(rows.select("row", col("title").alias("title"), "text", col("subject").alias("subject"), F.lit(label).alias("label")))
+    first = sides[0].agg(F.count("*")).scalar()
+    both = sides[0].unionAll(sides[1].withColumn("row", F.col("row") + first))
+    out = both.select(F.col("row").cast("string").alias("id"), "title", "text", "subject", "label")
+    return out if sample_size is None else sampling.per_class(out, "label", "id", sample_size // 2, seed)
 
 
 def liar_label(label: Column) -> Column:

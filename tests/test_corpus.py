@@ -58,3 +58,17 @@ def test_positions(corpus):
     got = {(r["stem"], r["doc_id"]): r["places"] for r in C.inverted_positions(corpus).collect()}
     assert got[("the", 0)] == [0, 4, 8, 12]
     assert rows(C.dispersion(corpus, ["man"]), "doc_id", "pos") == [(0, 2, "man"), (0, 10, "man"), (1, 1, "man")]
+
+
+def test_stem_lines(corpus):
+    from lexmill.functions import stem as S
+
+    got = rows(C.stem_lines(corpus, "houses", S.word_udf(S.porter), width=12), "doc_id", "pos")
+    assert [(r[0], r[1]) for r in got] == [(0, 6), (0, 14), (1, 8)]
+    assert got[0][2] == " saw the old"[-12:] and got[0][3] == "house and the young"[:12] and all(len(r[2]) == len(r[3]) == 12 for r in got)
+
+
+def test_drawn_continuations(corpus):
+    model = C.ngram_model(corpus)
+    one, again = C.generate(model, "the", 8, seed=3), C.generate(model, "the", 8, seed=3)
+    assert one == again and one[0] == "the" and len({tuple(C.generate(model, "the", 8, seed=s)) for s in range(6)}) > 1

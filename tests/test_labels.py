@@ -15,7 +15,10 @@ def test_sample_and_split(spark):
     assert sorted(r["k"] for r in got.collect()) == sorted(r["k"] for r in sampling.per_class(df.drop("r").repartition(7), "label", "k", 100).collect())
     parts = sampling.split(df, "label", "k")
     share = {r["part"]: r["count"] / 3000 for r in parts.groupBy("part").count().collect()}
-    assert share["train"] == pytest.approx(0.7, abs=0.04) and share["test"] == pytest.approx(0.15, abs=0.03)
+    assert share == {"train": 0.7, "valid": 0.15, "test": 0.15}
+    by_class = {(r["label"], r["part"]): r["count"] for r in parts.groupBy("label", "part").count().collect()}
+    assert by_class == {(0, "train"): 1400, (0, "valid"): 300, (0, "test"): 300, (1, "train"): 700, (1, "valid"): 150, (1, "test"): 150}
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, sampling.split(df.repartition(5), "label", "k").collect()))
 
 
 def test_report(spark):

@@ -164,6 +164,69 @@ def test_search_and_verify(spark, corpus, asked):
     assert [r["model"] for r in table] == ["bm25", "tfidf"] and table[0]["mrr"] == 1.0
 
 
+def test_best_rows_with_ties():
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 3), (5, 5), (40, 5)):
+        s, doc = np.round(rng.random((7, n)), 1), rng.permutation(n)
+        row, col = R.best_rows(s, doc, k)
+        want = [(i, j) for i in range(7) for j in sorted(range(n), key=lambda j: (-s[i, j], doc[j]))[:k]]
+        assert list(zip(row.tolist(), col.tolist())) == want
+    assert len(R.best_rows(np.empty((2, 0)), np.empty(0, np.int64), 3)[0]) == 0
+
+
+def test_semantic_and_hybrid(spark, corpus, asked):
+    for name in ("semantic", "hybrid"):
+        got = R.retriever(name)(corpus.select("doc_id", "text"), asked, k=3).where("qid = 1").orderBy("rank").collect()
+        assert got[0]["doc_id"] == 5 and len(got) == 3 and got[0]["score"] >= got[1]["score"]
+    assert R.semantic(corpus.select("doc_id", "text"), asked.limit(0)).count() == 0
+    assert R.semantic(corpus.select("doc_id", "text").limit(0), asked).count() == 0
+
+
+def test_fitted_retrievers(spark, corpus, asked, tmp_path):
+    texts = corpus.select("doc_id", "text")
+    for name in R.RETRIEVERS:
+        want = sorted(map(tuple, R.retriever(name)(texts, asked, k=3).collect()))
+        for _ in range(2):  # made, then read
+            got = P.fit_retriever(name, texts, str(tmp_path))(asked, 3)
+            assert sorted(map(tuple, got.collect())) == want, name
+    with pytest.raises(ValueError, match="unknown retriever"):
+        P.fit_retriever("none", texts, str(tmp_path))
+
+
+def test_searcher_classifies_hits(spark, corpus, asked):
+    labelled = spark.createDataFrame([("nasa found water on the moon", 1), ("aliens stole the election", 0), (None, 1), ("x", None)], "text string, label int")
+    searcher = P.Searcher(corpus, labelled=labelled)
+    got = searcher.search(asked.where("qid = 1"), k=2).orderBy("rank").collect()
+    assert got[0]["doc_id"] == 5 and got[0]["prob_real"] > 0.5 and searcher.history[0]["k"] == 2
+    assert all(0 < r["prob_real"] < 1 for r in got)
+
+
+def test_corpus_texts_are_not_shuffled(spark, asked, tmp_path):
+    """No exchange below the hits carries the documents' texts."""
+    path = str(tmp_path / "docs")
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("water moon "), F.col("id").cast("string")).alias("text"), F.lit("t").alias("title")).repartition(8).write.parquet(path)
+    docs = spark.read.option("x", 1).parquet(path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))  # a task a file
+    try:
+        run = spark.createDataFrame([(1, 1, 5, 1.0), (1, 2, 7, 0.5)], "qid int, rank int, doc_id long, score double")
+        small = R.few_rows(asked, 10)
+        for df in (R.hits(run, docs, small=small), R.rerank(run, docs.select("doc_id", "text"), asked)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            join = plan[plan.index("BroadcastHashJoin") :]
+            scan = join[: join.index("FileScan")]
+            assert "RoundRobin" not in scan and "hashpartitioning" not in scan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_metrics_with_totals(spark):
+    run = spark.createDataFrame([(1, r, d) for r, d in enumerate([1, 2, 3], 1)], "qid int, rank int, doc_id long")
+    rel, totals = spark.createDataFrame([(1, 1)], "qid int, doc_id long"), spark.createDataFrame([(1, 4), (2, 3)], "qid int, n long")
+    got = {r["qid"]: r for r in E.per_query(run, rel, totals=totals).collect()}
+    assert got[1]["r_3"] == 0.25 and got[1]["ap"] == 0.25 and got[2]["ap"] == 0
+
+
 def test_command_line(spark, corpus, asked, tmp_path, capsys):
     from lexmill import cli
 
@@ -178,5 +241,11 @@ def test_command_line(spark, corpus, asked, tmp_path, capsys):
     spark.createDataFrame([(1, 5), (2, 0)], "qid int, doc_id long").write.parquet(str(tmp_path / "rel"))
     out = cli.main(["--corpus", path, "--eval", str(tmp_path / "q"), "--qrels", str(tmp_path / "rel"), "--models", "bm25"])
     assert "'mrr': 1.0" in out
+    labelled = str(tmp_path / "labelled")
+    spark.createDataFrame([("nasa moon water", 1), ("hoax", 0)], "text string, label int").write.parquet(labelled)
+    history = str(tmp_path / "history")
+    out = cli.main(["--corpus", path, "-q", "nasa moon water", "-k", "1", "-m", "hybrid", "--labelled", labelled, "--history", history, "--verifier"])
+    assert "REAL" in out and '"model": "hybrid"' in open(history).read()
+    assert "tfidf:" in cli.main(["--corpus", path, "--warm-up", str(tmp_path / "warm")])
     with pytest.raises(SystemExit):
         cli.main(["--corpus", path])

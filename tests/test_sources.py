@@ -39,6 +39,19 @@ def test_word_lists_and_matrices(spark, tmp_path):
     assert rows(readers.lines(spark, put(tmp_path, "l", " a \n\n b\n")), "value") == [("a",), ("b",)]
 
 
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    """Over several stretches of a file, whatever the order of the tasks."""
+    path = put(tmp_path, "long", "\n".join(f"{i} {i * 2}" for i in range(5000)) + "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = rows(readers.dense_matrix(spark, path), "row_id")
+        words = rows(readers.vocabulary(spark, path), "idx")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(i, v) for i, v in got] == [(i, [float(i), float(2 * i)]) for i in range(5000)] and words[4321] == ("4321 8642", 4321)
+
+
 def test_encoded(spark, tmp_path):
     assert readers.encoded_text(spark, put(tmp_path, "e", "zażółć", "latin2"), "latin2").first()["value"] == "zażółć"
 
@@ -48,6 +61,11 @@ def test_labelled_pair(spark, tmp_path):
     real = put(tmp_path, "r.csv", "text,date\nreal text,2020\n")
     got = rows(readers.labelled_pair(spark, fake, real), "label")
     assert [(t, x, s, y) for _, t, x, s, y in got] == [("A", 'two\nlines, "quoted"', "s", 0), ("", "real text", "", 1)]
+    assert [r[0] for r in got] == ["0", "1"]
+    many = put(tmp_path, "m.csv", "title,text\n" + "a,same\n" * 10)
+    ids = rows(readers.labelled_pair(spark, many, many), "id")
+    assert sorted(int(r[0]) for r in ids) == list(range(20)) and all((int(r[0]) >= 10) == (r[4] == 1) for r in ids)
+    assert sorted(r[4] for r in readers.labelled_pair(spark, many, many, sample_size=6).collect()) == [0, 0, 0, 1, 1, 1]
     with pytest.raises(FileNotFoundError, match="missing"):
         readers.labelled_pair(spark, fake, str(tmp_path / "none.csv"))
 
