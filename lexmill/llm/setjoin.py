@@ -159,15 +159,20 @@ def column_counts(inc: DataFrame, entries: int) -> np.ndarray:
     ranges = min(4096, max(64, 1 << (4 * cores(inc.sparkSession)).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = np.zeros(size, np.uint32), set()
+        sums, seen, held, waiting = np.zeros(size, np.uint32), set(), [], 0
         for b in rows(batches, ARROW_ROWS, 3):
             _, flat, many, n, _ = _batch_grams(b, seen)
             if len(flat) > n.sum():  # sequences in text order have repeats
-                flat = np.unique(np.repeat(np.arange(len(many), dtype=np.uint64), many) << np.uint64(BITS) | flat) & MASK
-            if len(flat):
-                at, times = np.unique((flat % np.uint64(size)).astype(np.int64), return_counts=True)
-                sums[at] += times.astype(np.uint32)
+                flat |= np.repeat(np.arange(len(many), dtype=np.uint64), many) << np.uint64(BITS)
+                flat.sort()
+                flat = flat[np.r_[True, flat[1:] != flat[:-1]]] & MASK
+            held.append((flat % np.uint64(size)).astype(np.int64))
+            waiting += len(flat)
+            if waiting >= size:
+                sums += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
+                held, waiting = [], 0
         if seen:
+            sums += np.bincount(np.concatenate(held or [np.empty(0, np.int64)]), minlength=size).astype(np.uint32)
             parts = [zstandard.compress(x.tobytes(), 1) for x in sums.reshape(ranges, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], names=["r", "part"])
 
