@@ -97,20 +97,29 @@ def incidence(df: DataFrame, *, k: int, min_words: int, ordered: bool = False, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, ARROW_ROWS, 3):
-            keys, sides, salts, texts = (b.column(i).to_pylist() for i in range(4))
-            out: list[tuple] = []
-            for key, side, salt, g in zip(keys, sides, salts, document_sequences(texts, k, min_words, short)):
-                if g is None:
-                    continue
-                if salt:
-                    g = mix(g + np.uint64(salt)) & MASK
-                u = np.unique(g)
-                packed = pack40(u)
-                cls = signed(xxhash.xxh3_64_intdigest(packed, side))
-                out.append((key, cls, side, len(u), pack40(g) if ordered else packed))
-            if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary())], names=["key", "cls", "side", "n", "grams"])
+            found = list(document_sequences(b.column(3).to_pylist(), k, min_words, short))
+            at = [i for i, g in enumerate(found) if g is not None]
+            if not at:
+                continue
+            kept = b.take(pa.array(at, pa.int64()))
+            sides, salts = kept.column(1).to_pylist(), kept.column(2).to_numpy().astype(np.uint64)
+            many = np.array([len(found[i]) for i in at])
+            flat = np.concatenate([found[i] for i in at])
+            if salts.any():
+                salt = np.repeat(salts, many)
+                flat = np.where(salt > 0, mix(flat + salt) & MASK, flat)
+            # one sort of (row, sequence) gives every row's set
+            u = flat | np.repeat(np.arange(len(at), dtype=np.uint64), many) << np.uint64(BITS)
+            u.sort()
+            u = u[np.r_[True, u[1:] != u[:-1]]]
+            n = np.bincount((u >> np.uint64(BITS)).astype(np.int64), minlength=len(at))
+            packed, ends = memoryview(pack40(u & MASK)), (WIDTH * np.cumsum(n)).tolist()
+            cls = [signed(xxhash.xxh3_64_intdigest(packed[s:e], side)) for s, e, side in zip([0, *ends], ends, sides)]
+            data = pack40(flat) if ordered else packed.obj
+            offsets = np.r_[0, WIDTH * np.cumsum(many if ordered else n)]
+            # a record's sequences are far below the 2 GB that 32-bit offsets of a batch allow (see rows)
+            grams = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(cls, pa.int64()), pa.array(sides, pa.int32()), pa.array(n.astype(np.int32)), grams], names=["key", "cls", "side", "n", "grams"])
 
     made = df.select("key", "side", "salt", "text").mapInArrow(run, INCIDENCE)
     return materialize(made, name, compression="uncompressed")
