@@ -69,6 +69,11 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return I.tfidf(post, weights).withColumn("weight", F.round("weight", 6))
 
 
+def matrix_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the dense count matrix over the reduced vocabulary in alphabetical order, of documents with a term."""
+    return writers.matrix_lines(tf_matrix(spark, d), I.vocabulary(vocab(spark, d)))
+
+
 def cosine_tf(spark: SparkSession, d: str) -> DataFrame:
     """Every pair above 0 over the reduced vocabulary, ranked."""
     return R.cosine(corpus(spark, d), asked(spark, d), vocab(spark, d), weighting="tf")
@@ -237,20 +242,31 @@ def hybrid_semantic(spark: SparkSession, d: str) -> DataFrame:
     return R.hybrid_search(corpus(spark, d), asked(spark, d))
 
 
+def _first_queries(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, s) of at most three queries a subject."""
+    q = table(spark, d, "queries").where("relevant_subject is not null").select("qid", F.lower(F.trim("relevant_subject")).alias("s"))
+    return q.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("qid"))).where("r <= 3").drop("r")
+
+
+def subject_relevant(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, doc_id): the relevant records of ``subject_truth``'s queries."""
+    n = table(spark, d, "news").where("subject is not null").select(F.col("rec_id").alias("doc_id"), F.lower(F.trim("subject")).alias("s"))
+    large = n.groupBy("s").agg(F.count("*").alias("relevant")).where("relevant >= 10").select("s")
+    return n.join(_first_queries(spark, d).join(large, "s"), "s").select("qid", "doc_id")
+
+
 def subject_truth(spark: SparkSession, d: str) -> DataFrame:
     """Relevant records by subject for at most three queries a subject, of subjects with ten records or more (sizes only)."""
     n = table(spark, d, "news").where("subject is not null").select("rec_id", F.lower(F.trim("subject")).alias("s"))
     sizes = n.groupBy("s").agg(F.count("*").alias("relevant")).where("relevant >= 10")
-    q = table(spark, d, "queries").where("relevant_subject is not null").select("qid", F.lower(F.trim("relevant_subject")).alias("s"))
-    first = q.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("qid"))).where("r <= 3")
-    return first.join(sizes, "s").select("qid", F.col("s").alias("subject"), "relevant")
+    return _first_queries(spark, d).join(sizes, "s").select("qid", F.col("s").alias("subject"), "relevant")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        postings, term_stats, vocab_bands, band_shares, vocabulary_index, tf_matrix, tfidf_weights, cosine_tf, cosine_tfidf, bm25_topk, tfidf_sublinear_topk, dense_topk, hybrid_topk, rerank_lexical, search_hits,
-        run_lines, evidence_sentences, verify_claims, explain_claims, evidence_consensus, ensemble_verdict, verdict_summary, score_softmax, search_and_verify, search_consensus, ir_metrics, ir_metrics_by_query, subject_truth,
+        postings, term_stats, vocab_bands, band_shares, vocabulary_index, tf_matrix, matrix_rows, tfidf_weights, cosine_tf, cosine_tfidf, bm25_topk, tfidf_sublinear_topk, dense_topk, hybrid_topk, rerank_lexical, search_hits,
+        run_lines, evidence_sentences, verify_claims, explain_claims, evidence_consensus, ensemble_verdict, verdict_summary, score_softmax, search_and_verify, search_consensus, ir_metrics, ir_metrics_by_query, subject_truth, subject_relevant,
         nb_document_scores, semantic_topk, hybrid_semantic, metric_interval, *map(_evaluated, ("bm25", "tfidf", "semantic", "hybrid")),
     )
 }
@@ -383,6 +399,8 @@ ORACLE = {
     "band_shares": f"SELECT band, count(*) AS terms, round(100.0 * count(*) / (SELECT count(*) FROM {_BANDS}), 6) AS percent FROM {_BANDS} GROUP BY band",
     "vocabulary_index": f"SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM {_BANDS} WHERE band = 'kept'",
     "tf_matrix": f"SELECT doc_id, term, tf FROM {_POST_ALL} JOIN {_VOCAB} USING (term)",
+    "matrix_rows": f"""WITH v AS (SELECT term FROM {_VOCAB}), post AS (SELECT * FROM {_POST_ALL} JOIN {_VOCAB} USING (term)), docs AS (SELECT DISTINCT doc_id FROM post)
+      SELECT doc_id, string_agg(CAST(coalesce(tf, 0) AS VARCHAR), ' ' ORDER BY v.term) AS line FROM docs CROSS JOIN v LEFT JOIN post USING (doc_id, term) GROUP BY doc_id""",
     "tfidf_weights": f"WITH post AS (SELECT * FROM {_POST_ALL} JOIN {_VOCAB} USING (term)) SELECT doc_id, term, round(tf * ln(CAST({_N} AS DOUBLE) / count(*) OVER (PARTITION BY term)), 6) AS weight FROM post",
     "cosine_tf": _cosine(False, None),
     "cosine_tfidf": _cosine(True, 10),
@@ -419,6 +437,10 @@ ORACLE = {
     "nb_document_scores": f"SELECT doc_id, round(prob_real, 6) AS prob_real FROM {_PROB}",
     "ir_metrics_bm25": _evaluated_sql(_bm25(10, _SUBJECTS, _TITLES)),
     "ir_metrics_tfidf": _evaluated_sql(_tfidf(10, _SUBJECTS, _TITLES)),
+    "subject_relevant": """
+      WITH n AS (SELECT rec_id AS doc_id, lower(trim(subject)) AS s FROM news WHERE subject IS NOT NULL), big AS (SELECT s FROM n GROUP BY s HAVING count(*) >= 10),
+      q AS (SELECT qid, lower(trim(relevant_subject)) AS s, row_number() OVER (PARTITION BY lower(trim(relevant_subject)) ORDER BY qid) AS r FROM queries WHERE relevant_subject IS NOT NULL)
+      SELECT qid, doc_id FROM q JOIN big USING (s) JOIN n USING (s) WHERE r <= 3""",
     "subject_truth": """
       WITH s AS (SELECT lower(trim(subject)) AS s, count(*) AS relevant FROM news WHERE subject IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
       q AS (SELECT qid, lower(trim(relevant_subject)) AS s, row_number() OVER (PARTITION BY lower(trim(relevant_subject)) ORDER BY qid) AS r FROM queries WHERE relevant_subject IS NOT NULL)

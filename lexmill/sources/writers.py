@@ -39,6 +39,20 @@ def run_file(run: DataFrame, path: str, *, single: bool = False) -> None:
     text_lines(run, run_line(), path, single=single)
 
 
+def matrix_lines(post: DataFrame, vocabulary: DataFrame, value: str = "tf") -> DataFrame:
+    """(doc_id, line): a number for each term of vocabulary(term, idx), by idx from 0, 0 where post(doc_id, term, value) has
+    none. The vocabulary is the small side; a line is as long as it."""
+    size = vocabulary.agg(F.count("*")).scalar()
+    cells = post.join(F.broadcast(vocabulary), "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"), F.col(value).cast("string").alias("x")))).alias("m"))
+    places = cells.withColumn("places", F.sequence(F.lit(0), (size - 1).cast("int")))
+    return places.select("doc_id", F.array_join(F.transform("places", lambda i: F.coalesce(F.col("m")[i], F.lit("0"))), " ").alias("line"))
+
+
+def dense_matrix(post: DataFrame, vocabulary: DataFrame, path: str, value: str = "tf") -> None:
+    """The lines of ``matrix_lines`` in the order of doc_id, as text."""
+    matrix_lines(post, vocabulary, value).orderBy("doc_id").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
 def table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -112,3 +112,11 @@ def test_streaming(spark, tmp_path):
     assert spark.sql("select source, n from windows").collect()[0]["source"] == "a"
     index_updates.append_postings(stream(), str(tmp_path / "post"), str(tmp_path / "chk")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "post")).count() == 3
+
+
+def test_dense_matrix_round_trip(spark, tmp_path):
+    post = spark.createDataFrame([(7, "b", 2), (7, "d", 1), (3, "a", 5)], "doc_id long, term string, tf long")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "term string, idx long")
+    path = str(tmp_path / "matrix")
+    writers.dense_matrix(post, vocab, path)
+    assert [v for _, v in rows(readers.dense_matrix(spark, path), "row_id")] == [[5, 0, 0, 0], [0, 2, 0, 1]]
