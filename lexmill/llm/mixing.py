@@ -82,7 +82,7 @@ def token_counts(documents: DataFrame, listed: list[str], tokenizer: str = TOKEN
     return mine.where(F.col("source_key").isin(listed)).mapInArrow(run, COUNTED)
 
 
-def rake(have: dict[tuple, float], targets: list[dict], caps: dict, rounds: int = 1000, tolerance: float = 1e-9) -> tuple[dict[tuple, float], bool]:
+def rake(have: dict[tuple, float], targets: list[dict], caps: dict, rounds: int = 1000, tolerance: float = 1e-7) -> tuple[dict[tuple, float], bool]:
     """(weights of the cells {(source, language, kind): tokens}, whether they settled within ``rounds``), by proportional
     fitting to each margin's targets in turn, the sources last; a cell stays within its source's cap of repeats. Margins
     that the caps make unreachable are met as far as they allow: a source whose target is beyond its tokens times its cap
