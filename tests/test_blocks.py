@@ -86,3 +86,18 @@ def test_ids_of_text(corpus, asked):
 
 def test_halves_are_rounded_up():
     assert B.rounded(np.array([0.0390625, -0.0390625, 0.5])).tolist() == [0.039063, -0.039063, 0.5]
+
+
+def test_tfidf_makes_no_pairs(corpus, asked, texts):
+    found = R.tfidf(corpus, asked, k=5)
+    assert exchanges(found) == []
+    grams = [Counter(w := t.split()) + Counter(f"{a} {b}" for a, b in zip(w, w[1:])) for t in texts]
+    n, df = len(grams), Counter(g for d in grams for g in d)
+    idf = {g: math.log((1 + n) / (1 + c)) + 1 for g, c in df.items() if 2 <= c <= 0.95 * n}
+    vec = [{g: (1 + math.log(c)) * idf[g] for g, c in d.items() if g in idf} for d in grams]
+    length = [math.sqrt(sum(x * x for x in v.values())) for v in vec]
+    run = got(found)
+    for i in range(30):
+        q = vec[i * 7]
+        want = {d: sum(x * v[g] for g, x in q.items() if g in v) / (length[d] * length[i * 7]) for d, v in enumerate(vec) if q.keys() & v.keys()}
+        same(run.get(i, []), best(want, 5))
