@@ -101,3 +101,22 @@ def test_tfidf_makes_no_pairs(corpus, asked, texts):
         q = vec[i * 7]
         want = {d: sum(x * v[g] for g, x in q.items() if g in v) / (length[d] * length[i * 7]) for d, v in enumerate(vec) if q.keys() & v.keys()}
         same(run.get(i, []), best(want, 5))
+
+
+def cosine(texts, query, weighted):
+    docs = [Counter(w for w in t.split() if w in VOCABULARY) for t in texts]
+    df = Counter(w for d in docs for w in d)
+    idf = {w: math.log(len(docs) / c) if weighted else 1.0 for w, c in df.items()}
+    length = lambda d: math.sqrt(sum((c * idf[w]) ** 2 for w, c in d.items()))
+    q = Counter(w for w in query.split() if w in VOCABULARY)
+    scores = {i: sum(c * d[w] * idf[w] ** 2 for w, c in q.items()) for i, d in enumerate(docs)}
+    return {i: s / (length(docs[i]) * length(q)) for i, s in scores.items() if s > 0}
+
+
+def test_cosine_makes_no_pairs(spark, corpus, asked, texts):
+    vocabulary = spark.createDataFrame([(w,) for w in [*VOCABULARY, None]], "term string")
+    found = R.cosine(corpus, asked, vocabulary, k=6)
+    assert exchanges(found) == []
+    run = got(found)
+    for i in range(30):
+        same(run.get(i, []), best(cosine(texts, texts[i * 7], True), 6))
