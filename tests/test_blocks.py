@@ -120,3 +120,16 @@ def test_cosine_makes_no_pairs(spark, corpus, asked, texts):
     run = got(found)
     for i in range(30):
         same(run.get(i, []), best(cosine(texts, texts[i * 7], True), 6))
+
+
+def test_semantic_makes_no_pairs(corpus, asked, texts):
+    found = R.semantic(corpus, asked, k=5)
+    assert exchanges(found) == []
+    import pandas as pd
+
+    x = np.stack(R.hashed_vectors(pd.Series(texts))).astype(float)
+    length = np.linalg.norm(x, axis=1)
+    run = got(found)
+    for i in range(30):
+        if length[i * 7]:
+            same(run[i], best({d: x[d] @ x[i * 7] / (length[d] * length[i * 7]) for d in range(len(texts)) if length[d]}, 5))
