@@ -133,3 +133,10 @@ def test_semantic_makes_no_pairs(corpus, asked, texts):
     for i in range(30):
         if length[i * 7]:
             same(run[i], best({d: x[d] @ x[i * 7] / (length[d] * length[i * 7]) for d in range(len(texts)) if length[d]}, 5))
+
+
+def test_hybrid_ranks_small_runs(corpus, asked):
+    """What is shuffled after the two searches are their k rows a query, without a sort of pairs for either."""
+    a, b = R.bm25(corpus, asked, k=5), R.tfidf(corpus, asked, k=5)
+    plan = R.hybrid(a, b, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
