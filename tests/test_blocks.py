@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import blocks as B
 from lexmill.operators import retrieval as R
+from lexmill.plans import registry
 
 WORDS = ["budget", "senate", "moon", "water", "river", "cat", "mars", "nasa", "bill", "storm", "quota", "ferry"]
 VOCABULARY = WORDS[:8]
@@ -140,3 +141,15 @@ def test_hybrid_ranks_small_runs(corpus, asked):
     a, b = R.bm25(corpus, asked, k=5), R.tfidf(corpus, asked, k=5)
     plan = R.hybrid(a, b, k=3)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_rerank_takes_a_text_apart_once(corpus, asked):
+    """Words are found below the join with the pairs, not for each pair."""
+    plan = R.rerank(R.bm25(corpus, asked, k=5), corpus, asked, k=2)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.parametrize("name", ["search_hits", "run_lines", "search_and_verify", "search_consensus"])
+def test_registered_searches_make_no_pairs(spark, data, name):
+    df = registry.QUERIES[name](spark, data)
+    assert not [x for x in exchanges(df) if "hashpartitioning(qid" in x and "doc_id" in x]
