@@ -153,3 +153,12 @@ def test_rerank_takes_a_text_apart_once(corpus, asked):
 def test_registered_searches_make_no_pairs(spark, data, name):
     df = registry.QUERIES[name](spark, data)
     assert not [x for x in exchanges(df) if "hashpartitioning(qid" in x and "doc_id" in x]
+
+
+def test_all_pairs_of_cosine_are_ranked_where_they_are_made(spark, corpus, asked, texts):
+    """Only the queries are shuffled."""
+    found = R.cosine(corpus, asked, spark.createDataFrame([(w,) for w in VOCABULARY], "term string"), weighting="tf")
+    assert not [x for x in exchanges(found) if "doc_id" in x and "qid" in x]
+    run = got(found)
+    for i in range(30):
+        same(run.get(i, []), best(cosine(texts, texts[i * 7], False), None))
