@@ -162,3 +162,21 @@ def test_all_pairs_of_cosine_are_ranked_where_they_are_made(spark, corpus, asked
     run = got(found)
     for i in range(30):
         same(run.get(i, []), best(cosine(texts, texts[i * 7], False), None))
+
+
+def test_blocks_are_scored_together(corpus, asked, texts, monkeypatch):
+    """The blocks of the seven partitions are one when scored, with the hits of a block at a time."""
+    tokens = R.I.analysed(corpus)
+    terms = [(w, 1.0 + i / 7) for i, w in enumerate(sorted(WORDS))]
+    blocks = B.postings(tokens, terms, len(terms), weight="log")
+    batch = R._coded(R.query_terms(asked), terms, F.col("qtf") * F.col("idf")).orderBy("qid").toArrow().combine_chunks().to_batches()[0]
+    runs, sizes = [], []
+    for rows in (B.JOINED_ROWS, 100, 1):
+        monkeypatch.setattr(B, "JOINED_ROWS", rows)
+        best, parts = [B.Best(4) for _ in range(batch.num_rows)], list(B.decoded(B.reader(blocks._lexmill_path), B.Postings))
+        for x, _ in parts:
+            B.add_postings(True)(x, batch, best)
+        runs.append([tuple(c.tolist() for c in b.rows()) for b in best])
+        sizes.append([n for _, n in parts])
+    assert sizes[0] == [7] and sizes[2] == [1] * 7 and 1 < len(sizes[1]) < 7 and sum(sizes[1]) == 7
+    assert runs[0] == runs[1] == runs[2]
