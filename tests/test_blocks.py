@@ -180,3 +180,26 @@ def test_blocks_are_scored_together(corpus, asked, texts, monkeypatch):
         sizes.append([n for _, n in parts])
     assert sizes[0] == [7] and sizes[2] == [1] * 7 and 1 < len(sizes[1]) < 7 and sum(sizes[1]) == 7
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_large_runs_shuffle_ids_not_words(spark, corpus, asked, monkeypatch):
+    """Where a run is too large to be broadcast, the queries' words join the pairs after these met their documents, and the
+    corpus is cut by a broadcast of ids; the rows are those of a small run."""
+    import lexmill.operators.pipeline as P
+
+    docs = corpus.withColumn("title", F.lit("t"))
+    search = lambda: P.search_and_verify(docs, asked, k=2, pool=5, classifier=lambda texts: texts.select("doc_id", (F.col("doc_id") / 240).alias("prob_real")))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    small = rows(R.rerank(R.bm25(corpus, asked, k=5), corpus, asked, k=2)), rows(search())
+    monkeypatch.setattr(R, "few_rows", lambda queries, k: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reranked = R.rerank(R.bm25(corpus, asked, k=5), corpus, asked, k=2)
+        plan = reranked._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("BroadcastHashJoin [qid") < plan.index("SortMergeJoin [doc_id")
+        found = search()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [x for x in plan.splitlines() if "BroadcastHashJoin [doc_id" in x and "LeftSemi" in x]
+        assert (rows(reranked), rows(found)) == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
