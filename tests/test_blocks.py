@@ -203,3 +203,21 @@ def test_large_runs_shuffle_ids_not_words(spark, corpus, asked, monkeypatch):
         assert (rows(reranked), rows(found)) == small
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_all_pairs_are_made_in_tasks_of_bounded_size(spark, corpus, asked, texts, monkeypatch):
+    """A task's file doesn't grow with queries times documents; no pair is lost by that."""
+    monkeypatch.setattr(B, "TASK_PAIRS", 2 * len(texts), raising=False)
+    monkeypatch.setattr(B, "TASK_QUERIES", 1, raising=False)
+    found = R.cosine(corpus, asked, spark.createDataFrame([(w,) for w in VOCABULARY], "term string"), weighting="tf")
+    assert found.rdd.getNumPartitions() >= sum(bool({*texts[i * 7].split()} & {*VOCABULARY}) for i in range(30)) / 2
+    run = got(found)
+    for i in range(30):
+        same(run.get(i, []), best(cosine(texts, texts[i * 7], False), None))
+
+
+def test_queries_keep_their_tasks_where_these_are_as_many_as_shuffle_partitions(spark, corpus, asked):
+    cores = max(2, spark.sparkContext.defaultParallelism)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(cores)
+    found = R.cosine(corpus, asked, spark.createDataFrame([(w,) for w in VOCABULARY], "term string"), weighting="tf")
+    assert found.rdd.getNumPartitions() == cores
