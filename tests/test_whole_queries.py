@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from lexmill.operators import blocks as B
 from lexmill.operators import retrieval as R
 
-WHOLE = ["bm25_topk"]
+WHOLE = ["bm25_topk", "search_hits"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -51,3 +51,22 @@ def test_queries_without_an_id(spark, corpus):
     ids = lambda run: {r["qid"] for r in run.collect()}
     assert ids(R.bm25(corpus, asked)) == {None, 2}
     assert ids(R.tfidf(corpus, asked)) == ids(R.cosine(corpus, asked, vocabulary, k=10)) == {2}
+
+
+def rows(run):
+    return run.orderBy("qid", "rank").collect()
+
+
+def test_pools_mixed_in_a_task(spark, corpus):
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "unknown"), (3, None), (4, "gamma alpha omega"), (5, "delta")], "qid int, text string")
+    pool = R.pool_size(4)
+    assert rows(R.hybrid_topk(corpus, asked, k=4)) == rows(R.hybrid(R.bm25(corpus, asked, k=pool), R.tfidf(corpus, asked, k=pool), k=4))
+    assert rows(R.hybrid_search(corpus, asked, k=4)) == rows(R.hybrid(R.bm25(corpus, asked, k=pool), R.semantic(corpus, asked, k=pool), k=4))
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_pools_reranked_in_a_task(spark, corpus, again):
+    asked = [(1, "alpha beta at"), (2, "unknown"), (3, None), (4, "gamma alpha omega other words"), (5, "delta"), (None, "alpha")] + ([(1, "beta nothing")] if again else [])
+    asked = spark.createDataFrame(asked, "qid int, text string")
+    got = R.bm25_reranked(corpus, asked, k=4, depth=30)
+    assert rows(got) == rows(R.rerank(R.bm25(corpus, asked, k=30), corpus, asked, k=4, depth=30)) and got.count() == 12
