@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from lexmill.operators import blocks as B
 from lexmill.operators import retrieval as R
 
-WHOLE = ["bm25_topk", "search_hits", "cosine_tfidf", "hybrid_topk", "hybrid_semantic", "rerank_lexical"]
+WHOLE = ["bm25_topk", "search_hits", "cosine_tfidf", "hybrid_topk", "hybrid_semantic", "rerank_lexical", "search_consensus"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
